@@ -1,0 +1 @@
+"""Operators of a training-data pipeline; nothing else in refsift imports this subpackage."""
