@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, sharding
+from . import exact_dedup, fingerprints, near_dedup, sharding
 from .common import table
 
 SHARDS = 256
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op9_sharding, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op9_sharding, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
