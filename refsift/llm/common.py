@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,9 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def shipped(spark: SparkSession, model: object) -> Callable[[], object]:
+    """A function that gives workers a model of bounded size; its classes travel by value with it."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(held.value)  # noqa: S301  our own bytes

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, shipped
 from .textvec import codepoints, slices
 
 DOCS = 400
@@ -215,10 +215,10 @@ def fit(docs: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, bits: one row per row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model_of = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = model_of()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sizes = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])

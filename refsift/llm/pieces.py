@@ -39,7 +39,7 @@ UNIGRAM, BPE = 1, 2
 #: Remembered answers about pairs of pieces (a power of two).
 PAIRS = 1 << 21
 #: Segments up to so many code points are searched together.
-SHORT = 40
+SHORT = 64
 COMMON = 255
 
 
@@ -143,7 +143,7 @@ class Vocabulary:
         if (last, piece) not in self.asked:
             if len(self.asked) >= PAIRS:
                 self.asked.clear()
-            self.asked[last, piece] = self.pairs([(last, piece)])[0]
+            self.asked[last, piece] = self.merges.encode(self.name[last] + self.name[piece]) == [last, piece]
         return self.asked[last, piece]
 
     def spelled(self, char: str) -> list[int]:
