@@ -28,7 +28,7 @@ from .textvec import codepoints, slices
 
 DOCS = 400
 LONGEST = 20_000
-LETTERS = 40_000
+LETTERS = 16_000
 BLOCK = 256
 #: How sharply differences of entropy (bits a symbol) turn into the score.
 SHARPNESS = 8.0
@@ -118,8 +118,12 @@ class Parser:
     def __init__(self, symbols: np.ndarray, size: int):
         self.length = max(2, len(symbols))
         table = suffix_automaton(symbols, size)
-        restart = np.where(table[0] >= 0, table[0], 0)
-        self.steps = np.where(table >= 0, 2 * table, 2 * restart[None, :] + 1).astype(np.int32).ravel()
+        lost = len(table)  # the state after a symbol that the sample lacks: the next one begins a phrase in any case
+        restart = np.where(table[0] >= 0, table[0], lost)
+        steps = np.where(table >= 0, 2 * table, 2 * restart[None, :] + 1)
+        steps[0] = 2 * restart  # a block's first symbol is in its first phrase
+        whole = np.concatenate([steps, 2 * restart[None, :] + 1])
+        self.steps = whole.astype(np.uint16 if whole.max() < 65536 else np.int32).ravel()
         self.size = size
 
     def phrases(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -132,7 +136,7 @@ class Parser:
                 active -= 1
             if not active:
                 break
-            step = self.steps[(state[:active] >> 1) * self.size + grid[row, :active]]
+            step = self.steps[(state[:active] >> 1) * self.size + grid[row, :active]].astype(np.int32)
             count[:active] += step & 1
             state[:active] = step
         return count
