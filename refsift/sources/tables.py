@@ -174,3 +174,54 @@ def best_title(wanted: DataFrame, found: DataFrame, least: float) -> DataFrame:
     met = wanted.join(c, "key").withColumn("_score", indel(F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("_t", F.lit("")))))
     near = F.coalesce(F.abs(F.col("year") - F.col("_y")) <= 1, F.lit(True))
     return met.where((F.col("_score") >= least) & near).groupBy("key").agg(F.min_by("value", "rank").alias("value"))
+
+
+def pubmed(responses: DataFrame) -> DataFrame:
+    """responses: _seq, article struct(pmid, title, abstract array<string>, authors array<struct<last,initials>>, journal,
+    volume, issue, pages, year, medline_date, elocation_doi, article_ids array<struct<type,value>>, pub_types)."""
+    a = F.col("article")
+    year = F.coalesce(a["year"].try_cast("int"), F.regexp_extract(F.coalesce(a["medline_date"], F.lit("")), r"(\d{4})", 1).try_cast("int"))
+    listed = F.get(F.transform(F.filter(a["article_ids"], lambda x: x["type"] == "doi"), lambda x: x["value"]), F.lit(0))
+    return conformed(
+        responses.select(
+            "_seq", F.concat(F.lit("pubmed_"), a["pmid"]).alias("id"), a["pmid"].alias("pmid"), a["title"].alias("title"), F.array_join(a["abstract"], " ").alias("abstract"),
+            F.transform(F.filter(a["authors"], lambda x: F.length(x["last"]) > 0), lambda x: F.concat_ws(" ", x["last"], x["initials"])).alias("authors"),
+            a["journal"].alias("journal"), a["volume"].alias("volume"), a["issue"].alias("issue"), a["pages"].alias("pages"), year.alias("year"),
+            F.coalesce(filled(a["elocation_doi"]), listed).alias("doi"), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), a["pmid"], F.lit("/")).alias("url"),
+            F.get(a["pub_types"], F.lit(0)).alias("pub_type"), F.lit("pubmed").alias("source_api"),
+        )
+    )
+
+
+def semantic_scholar(responses: DataFrame) -> DataFrame:
+    """responses: _seq, paper struct(paperId, title, abstract, year, authors array<struct<name>>, venue, externalIds
+    struct<DOI,PubMed>, url, publicationTypes, isOpenAccess, openAccessPdf struct<url>). Counts of citations are left out."""
+    p = F.col("paper")
+    return conformed(
+        responses.select(
+            "_seq", F.concat(F.lit("s2_"), F.substring(p["paperId"], 1, 12)).alias("id"), p["title"].alias("title"), p["abstract"].alias("abstract"), p["year"].cast("int").alias("year"),
+            F.transform(p["authors"], lambda x: x["name"]).alias("authors"), p["venue"].alias("journal"), p["externalIds"]["DOI"].alias("doi"), p["externalIds"]["PubMed"].alias("pmid"),
+            p["url"].alias("url"), F.get(p["publicationTypes"], F.lit(0)).alias("pub_type"), p["isOpenAccess"].alias("is_open_access"), p["openAccessPdf"]["url"].alias("oa_url"), F.lit("semantic_scholar").alias("source_api"),
+        )
+    )
+
+
+def lilacs(responses: DataFrame) -> DataFrame:
+    """responses: _seq, doc map<string, array<string>>; of a field's values the first counts. Without an id the row's
+    content gives one."""
+    d = F.col("doc")
+    first = lambda *names: F.coalesce(*[filled(F.get(d[n], F.lit(0))) for n in names])
+    title = first("ti", "title", "ti_pt", "ti_es", "ti_en")
+    key = F.coalesce(first("id"), F.conv(F.abs(F.xxhash64(title, first("da", "dp"))).cast("string"), 10, 16))
+    return conformed(
+        responses.select(
+            "_seq", F.concat(F.lit("bvs_"), key).alias("id"), title.alias("title"), F.coalesce(d["au"], F.array().cast("array<string>")).alias("authors"),
+            F.regexp_extract(F.coalesce(first("da", "dp"), F.lit("")), r"(\d{4})", 1).try_cast("int").alias("year"), first("doi").alias("doi"), first("ta", "fo").alias("journal"),
+            first("ab", "ab_pt", "ab_es", "ab_en").alias("abstract"), first("ur").alias("url"), first("type", "pt").alias("pub_type"), F.lit("bvs_lilacs").alias("source_api"),
+        )
+    )
+
+
+def open_access(responses: DataFrame) -> DataFrame:
+    """responses: doi, is_oa, best struct(url_for_pdf, url). Licences for refsift.operators.records.add_access."""
+    return responses.select("doi", "is_oa", F.coalesce(filled(F.col("best.url_for_pdf")), F.col("best.url")).alias("oa_link"))
