@@ -47,6 +47,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/refsift-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: list[tuple[DataFrame, str]] = []
         atexit.register(_at_exit, weakref.ref(spark), self.path)
 
     def cut(self, df: DataFrame, label: str = "t") -> DataFrame:
@@ -55,12 +56,14 @@ class Workspace:
         path = f"{self.path}/{self._n:03d}-{label}"
         with freed_shuffles(self.spark):
             df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths.append((out, path))
+        return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete the files under frames that cut() returned; only for frames which no later plan reads."""
+        """Delete the files of frames that cut() returned; only for frames which no later plan reads."""
         for df in frames:
-            for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            for path in [p for f, p in self._paths if f is df]:
                 _remove(self.spark, path)
 
 
