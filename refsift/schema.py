@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the output contract.
@@ -37,23 +37,18 @@ REFS = (
     " access_status string, is_open_access boolean, oa_url string, grade string"
 )
 
-_DEFAULTS = {"is_duplicate": F.lit, "relevance_score": F.lit}
-
-
 def conformed(df: DataFrame) -> DataFrame:
     """All columns of REFS, typed, missing ones with their defaults, further ones after them. `_seq` must be there."""
-    names = []
-    out = df
-    for field in REFS.split(", "):
-        for part in field.split("," if "<" not in field else "\0"):
-            name, kind = part.strip().split(" ", 1)
-            names.append(name)
-            value = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
-            if name == "is_duplicate":
-                value = F.coalesce(value, F.lit(False))
-            if name == "relevance_score":
-                value = F.coalesce(value, F.lit(0.0))
-            if kind == "array<string>":
-                value = F.coalesce(value, F.array().cast(kind))
-            out = out.withColumn(name, value)
-    return out.select(*names, *[c for c in df.columns if c not in names])
+    kinds = dict(field.split(" ", 1) for field in REFS.split(", "))
+
+    def value(name: str, kind: str) -> Column:
+        own = (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+        if name == "is_duplicate":
+            own = F.coalesce(own, F.lit(False))
+        elif name == "relevance_score":
+            own = F.coalesce(own, F.lit(0.0))
+        elif kind == "array<string>":
+            own = F.coalesce(own, F.array().cast(kind))
+        return own.alias(name)
+
+    return df.select(*[value(n, k) for n, k in kinds.items()], *[c for c in df.columns if c not in kinds])
