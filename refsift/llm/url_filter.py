@@ -4,7 +4,8 @@ A rule is a host and a path. It fits the host and all its subdomains where the u
 longest rule that fits decides. Elsewhere the host's share of bad pages decides. Labelled page outcomes (bad or not)
 are counted by host, registered domain and suffix. From the root down, each level's share is a beta-binomial posterior
 mean with the level above as prior; a prior's weight is fitted to the spread of the shares below it (method of moments).
-A host is blocked if the lower bound of its posterior, BOUND standard deviations below the mean, is over LIMIT.
+A host is blocked if the lower bound of its posterior, BOUND standard deviations below the mean, is over LIMIT. A host
+without outcomes has the posterior of an unseen host of its registered domain, else of its suffix, else of the root.
 
 Only counts by host are joined to the pages; a host of any number of pages is summed up before it is shuffled.
 
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
 from .exact_dedup import digests
 from .html_text import blocks, host_of, main_text, path_of
 
@@ -87,33 +89,69 @@ def _weight(groups: DataFrame) -> Column:
     return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce(raw, F.lit(MOST))))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, k, share, bound for every host with outcomes, and suffix and domain. outcomes: host, bad (0 or 1)."""
+def _posterior(a: Column, b: Column) -> tuple[Column, Column]:
+    """share and bound of a beta posterior."""
+    share, deviation = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    return share.alias("share"), (share - BOUND * deviation).alias("bound")
+
+
+def levels(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Posteriors by host, domain and suffix, and the root's one row. outcomes: host, bad (0 or 1).
+
+    Hosts: host, n, k, share, bound, of the host itself. Domains, suffixes, root: key (but for the root), share, bound,
+    of a host below them that has no outcomes and no known level nearer to it. Its share varies by what is unknown of the
+    level and by each step from there down; with a weight w for each, the steps' w / (w + 1) multiply.
+    """
     known = outcomes.where("bad is not null").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("k"))
     known = known.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
-    root = known.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("m"))
-
-    def level(groups: DataFrame, prior: DataFrame, key: str | None) -> DataFrame:
-        """groups with m (the prior's share) and w (its weight), one weight for a level."""
-        joined = groups.join(prior, key) if key else groups.join(F.broadcast(prior), F.lit(True))
+    known = Workspace(outcomes.sparkSession, "outcomes").cut(known)  # one row a host, read for every level
+    n, k = F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))
+    root = known.agg(((k + 1) / (n + 2)).alias("m"), (n + 2).alias("size"))
+
+    def level(groups: DataFrame, prior: DataFrame, key: str | None) -> tuple[DataFrame, DataFrame]:
+        """groups with m (the prior's share) and w (its weight), one weight for a level; and that weight."""
+        above = prior.select(*([key] if key else []), "m")
+        joined = groups.join(above, key) if key else groups.join(F.broadcast(above), F.lit(True))
         weight = joined.agg(_weight(joined).alias("w"))  # one row
-        return joined.join(F.broadcast(weight), F.lit(True))
+        return joined.join(F.broadcast(weight), F.lit(True)), weight
+
+    def shrunk(rows: DataFrame, key: str) -> DataFrame:
+        return rows.select(key, ((F.col("k") + F.col("w") * F.col("m")) / (F.col("n") + F.col("w"))).alias("m"), (F.col("n") + F.col("w")).alias("size"))
 
-    by_suffix = known.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = level(by_suffix, root, None).select("suffix", ((F.col("k") + F.col("w") * F.col("m")) / (F.col("n") + F.col("w"))).alias("m"))
-    by_domain = known.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    domains = level(by_domain, suffixes, "suffix").select("domain", ((F.col("k") + F.col("w") * F.col("m")) / (F.col("n") + F.col("w"))).alias("m"))
-    hosts = level(known, domains, "domain")
-    a, b = F.col("k") + F.col("w") * F.col("m"), F.col("n") - F.col("k") + F.col("w") * (1 - F.col("m"))
-    deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.select("host", "n", "k", (a / (a + b)).alias("share"), (a / (a + b) - BOUND * deviation).alias("bound"))
+    by_suffix, w_suffix = level(known.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), root, None)
+    suffixes = shrunk(by_suffix, "suffix")
+    by_domain, w_domain = level(known.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), suffixes, "suffix")
+    domains = shrunk(by_domain, "domain")
+    by_host, w_host = level(known, domains, "domain")
+    hosts = by_host.select("host", "n", "k", *_posterior(F.col("k") + F.col("w") * F.col("m"), F.col("n") - F.col("k") + F.col("w") * (1 - F.col("m"))))
+
+    def below(prior: DataFrame, key: str | None, weights: list[DataFrame]) -> DataFrame:
+        """The posterior of a host without outcomes, the weights being those of the steps down to it."""
+        kept = F.col("size") / (F.col("size") + 1)
+        for i, weight in enumerate(weights):
+            prior = prior.join(F.broadcast(weight.select(F.col("w").alias(f"w{i}"))), F.lit(True))
+            kept = kept * F.col(f"w{i}") / (F.col(f"w{i}") + 1)
+        size = kept / (1 - kept)
+        return prior.select(*([key] if key else []), *_posterior(size * F.col("m"), size * (1 - F.col("m"))))
+
+    return hosts, below(domains, "domain", [w_host]), below(suffixes, "suffix", [w_domain, w_host]), below(root, None, [w_suffix, w_domain, w_host])
+
+
+def reputation(outcomes: DataFrame) -> DataFrame:
+    """host, n, k, share, bound for every host with outcomes. outcomes: host, bad (0 or 1)."""
+    return levels(outcomes)[0]
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES, limit: float = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict, share, bound: one row per row of pages. A host without outcomes of its own
-    has no posterior and is allowed."""
+    is judged by its domain's, else by its suffix's, else by the root's."""
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    told = reputation(outcomes).select(F.col("host").alias("_rs_host"), "share", "bound")
+    told = placed.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
+    hosts, domains, suffixes, root = levels(outcomes)
+    for i, (found, key) in enumerate(((hosts, "host"), (domains, "domain"), (suffixes, "suffix"))):
+        told = told.join(found.select(key, F.struct("share", "bound").alias(f"p{i}")), key, "left")
+    told = told.join(F.broadcast(root.select(F.struct("share", "bound").alias("p3"))), F.lit(True))
+    told = told.select(F.col("host").alias("_rs_host"), F.coalesce("p0", "p1", "p2", "p3").alias("p")).select("_rs_host", "p.share", "p.bound")
     joined = placed.join(told, F.col("host") == F.col("_rs_host"), "left")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bound") > limit, "block").otherwise("allow")

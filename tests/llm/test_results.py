@@ -340,6 +340,21 @@ def test_host_reputation(spark):
     assert 0 < one["bound"] < one["share"] < 1
 
 
+def test_unseen_hosts_inherit(spark):
+    """A host without outcomes is judged by its domain, else by its suffix, else by the root."""
+    rows = [(f"bad{i}.spam.org", 1) for i in range(6) for _ in range(30)] + [(f"h{i}.fine{i % 4}.org", 0) for i in range(12) for _ in range(30)]
+    rows += [(f"h{i}.d{i}.ru", 1) for i in range(20) for _ in range(30)]
+    urls = ["http://new.spam.org/1", "http://new.fine1.org/1", "http://a.unseen.ru/1", "http://a.unseen.org/1", "http://a.b.zz/1", None, "http://bad0.spam.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, outcomes).collect()}
+    assert [got[i]["verdict"] for i in range(7)] == ["block", "allow", "block", "allow", "allow", "allow", "block"]
+    assert all(0 < got[i]["bound"] < got[i]["share"] < 1 or got[i]["share"] < 0.5 for i in got)
+    assert got[0]["bound"] <= got[6]["bound"] and got[2]["share"] > 0.5 > got[3]["bound"]
+    assert got[4]["share"] == got[5]["share"] == pytest.approx((sum(b for _, b in rows) + 1) / (len(rows) + 2))
+    assert {r["verdict"] for r in url_filter.judge(pages, outcomes.limit(0)).collect()} == {"allow"}
+
+
 def test_lookup_table():
     names = sharding.shard_names(10)
     owner = sharding.lookup_table(names, 1009)
