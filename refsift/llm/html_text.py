@@ -6,8 +6,11 @@ scripts, styles, comments of readers) are dropped. If the page marks its article
 blocks are the text. Otherwise the page is paired with the page of its host whose path is nearest (the neighbour in
 path order with the longer common beginning, of equals the one before), both pages' blocks are aligned by longest
 common subsequence, and the shared blocks are deleted. Where that would delete more than half of the page's text the two
-are copies of one article rather than pages of one template: then the other neighbour is tried, and if that is a copy
-too, nothing is deleted. Marked articles are not differenced, since passages that two articles share belong to both.
+may be copies of one article rather than pages of one template, and the other neighbour is tried. Blocks that both
+neighbours share go whatever their part of the text is, if both are other pages than this one: of another title (or
+none), and with text that this one lacks and the other way round. Three edited copies in a row without titles can't be
+told from a template, and lose what they share. Marked articles are not differenced, since passages that two articles
+share belong to both.
 
 Hosts of any size are handled in ranges of path order, see `ordered`.
 
@@ -22,6 +25,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from itertools import zip_longest
 from os.path import commonprefix
 from typing import NamedTuple
 
@@ -56,6 +60,7 @@ CLOSES_ITSELF = frozenset("p li dd dt tr td th option".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>([^<]*)", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -191,17 +196,18 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: list[Block], neighbours: list[list[Block]]) -> list[Block]:
-    """The blocks of the main text; neighbours: the nearest page's first."""
+def main_text(own: list[Block], neighbours: list[list[Block]], copies: tuple[bool, ...] = ()) -> list[Block]:
+    """The blocks of the main text; neighbours: the nearest page's first; copies: which of them have the page's title."""
     if any(b.marked for b in own):
         return [b for b in own if b.marked]
     lines = [b.text for b in own]
     size = sum(map(len, lines))
-    for other in neighbours:
-        gone = shared(lines, [b.text for b in other])
-        if 2 * sum(len(lines[i]) for i in gone) <= size:
-            return [b for i, b in enumerate(own) if i not in gone]
-    return own
+    found = [shared(lines, [b.text for b in other]) for other in neighbours]
+    gone = next((g for g in found if 2 * sum(len(lines[i]) for i in g) <= size), set())
+    others = [len(g) < min(len(lines), len(n)) and not c for g, n, c in zip_longest(found, neighbours, copies[: len(found)], fillvalue=False)]
+    if len(found) > 1 and all(others):
+        gone = gone | set.intersection(*found)
+    return [b for i, b in enumerate(own) if i not in gone]
 
 
 def host_of(url: Column) -> Column:
@@ -222,13 +228,20 @@ class _Page(NamedTuple):
     path: str
     page_id: object
     url: str | None
+    title: str
     blocks: list[Block]
 
 
 def _text(before: _Page | None, page: _Page, after: _Page | None) -> str:
     near = [x for x in (before, after) if x is not None and x.range == page.range and x.host == page.host]
     near.sort(key=lambda x: -len(commonprefix([x.path, page.path])))
-    return "\n\n".join(b.text for b in main_text(page.blocks, [x.blocks for x in near]))
+    copies = tuple(bool(page.title) and x.title == page.title for x in near)
+    return "\n\n".join(b.text for b in main_text(page.blocks, [x.blocks for x in near], copies))
+
+
+def title_of(html: str | None) -> str:
+    m = _TITLE.search(html or "")
+    return " ".join(m[1].split()) if m else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -258,7 +271,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.schema.field(2).type
             for r, g, i, url, html, host, path in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-                after = _Page(r, g, host, path, i, url, blocks(html))
+                after = _Page(r, g, host, path, i, url, title_of(html), blocks(html))
                 told(after)
                 before, page = page, after
                 if len(rows) >= 512:

@@ -311,6 +311,17 @@ def test_page_differencing(spark, monkeypatch):
     assert got[100] == got[101] == "the same article at two places"
 
 
+def test_short_pages_of_a_large_template(spark, monkeypatch):
+    """Blocks that both neighbours share go even if they are most of the page; edited copies of one title stay whole."""
+    monkeypatch.setattr(html_text, "ROWS", 3)
+    top, bottom = "".join(f"<p>entry {k} of the long menu of this site</p>" for k in range(8)), "<p>imprint, contact and all rights reserved</p>"
+    rows = [(i, f"http://h.example.org/a/{i:03d}", f"<title>page {i}</title>{top}<p>news {i}</p>{bottom}") for i in range(20)]
+    rows += [(100 + i, f"http://copy.example.org/{i}", f"<title>story</title><p>the same long article at five places</p><p>seen {i}</p>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"news {i}" for i in range(1, 19))  # the host's ends have one neighbour
+    assert all(got[100 + i] == f"the same long article at five places\n\nseen {i}" for i in range(5))
+
+
 def test_pages_of_the_tables(spark):
     """Every article's paragraphs are a document's lines."""
     pages, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
