@@ -1,13 +1,14 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, temperature calibration.
 
 Every token has a random index vector with NONZERO entries of +1 or -1, drawn from its hash; a token's vector is the
-sum of the index vectors of the tokens within REACH places of it (and its own) over a sample of texts, scaled to length
-one. A word gives two tokens: its lower-cased form, and its shape (runs of letters, capitals, digits and of any other
+sum of the index vectors of the tokens within REACH places of it (and its own) over all texts but those of the held-out
+fifth, scaled to length one. A word gives two tokens: its lower-cased form, and its shape (runs of letters, capitals, digits and of any other
 character collapsed; one shape of its own for a word that repeats the one before it). A document is the mean of its words' and of its shapes' vectors. On these means a network of one
 hidden layer is trained in numpy; its logit is divided by a temperature fitted on rows that training left out.
 
-Fitted on bounded samples by hash: token vectors on about VECTOR_DOCS rows, the network on about TRAIN_DOCS labelled
-rows, none of them from the held-out fifth. A score reads the whole text and nothing else.
+The sums are whole numbers, added up by task and then by bucket, so they are the same however the rows are dealt. The
+network is fitted on a sample by hash of about TRAIN_DOCS labelled rows, none of them from the held-out fifth. A score
+reads the whole text and nothing else.
 
 Defined cases: a text without words (null, empty, blank) scores 0.0 and is predicted 0; labels that are null or neither
 0 nor 1 are left out; of several labels of a document the smallest counts; with labels of one class or none every other
@@ -31,9 +32,7 @@ DIM = 64
 NONZERO = 4
 REACH = 2
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 15, 1 << 12
-VECTOR_DOCS = 1500
 TRAIN_DOCS = 12_000
-LONGEST = 20_000
 HIDDEN = 24
 EPOCHS = 60
 #: predicted is 1 from this score on.
@@ -68,37 +67,40 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (words.hashes & U64(WORD_BUCKETS - 1)).astype(np.int32), (shapes & U64(SHAPE_BUCKETS - 1)).astype(np.int32), words.before
 
 
-def index_vectors(buckets: int, seed: int) -> np.ndarray:
-    """Sparse vectors of +1 and -1, one for each bucket."""
-    out = np.zeros((buckets, DIM), np.float32)
-    draws = mix64(seeded(buckets * NONZERO, seed)).reshape(buckets, NONZERO)
-    for j in range(NONZERO):
-        sign = np.where(draws[:, j] & U64(1 << 20), 1, -1)
-        np.add.at(out, (np.arange(buckets), (draws[:, j] % U64(DIM)).astype(np.int64)), sign)
-    return out
+class Contexts:
+    """Sums of the index vectors of the tokens near each token; an index vector is NONZERO entries of +1 or -1."""
 
+    def __init__(self, buckets: int, seed: int):
+        draws = mix64(seeded(buckets * NONZERO, seed)).reshape(buckets, NONZERO)
+        self.signs = np.where(draws & U64(1 << 20), 1, -1).astype(np.int64)
+        self.places = (draws % U64(DIM)).astype(np.int64)
+        self.sums = np.zeros(buckets * DIM, np.int64)
 
-def _add_rows(out: np.ndarray, at: np.ndarray, table: np.ndarray, rows: np.ndarray) -> None:
-    """out[at] += table[rows], places of `at` repeating."""
-    step = 1 << 17
-    for i in range(0, len(at), step):
-        part = at[i : i + step]
-        order = np.argsort(part, kind="stable")
-        heads = np.flatnonzero(np.diff(part[order], prepend=-1))
-        out[part[order][heads]] += np.add.reduceat(table[rows[i : i + step][order]], heads, axis=0)
-
-
-def context_vectors(streams: list[tuple[np.ndarray, np.ndarray]], buckets: int, seed: int) -> np.ndarray:
-    """Unit-length token vectors from streams of (tokens, places where texts begin)."""
-    own = index_vectors(buckets, seed)
-    out = own.copy()
-    for stream, before in streams:
+    def add(self, stream: np.ndarray, before: np.ndarray) -> None:
+        """stream: tokens of texts; before: places where texts begin."""
         text = np.repeat(np.arange(len(before) - 1), np.diff(before))
-        for step in range(1, REACH + 1):
-            same = np.flatnonzero(text[step:] == text[:-step])
-            _add_rows(out, stream[same], own, stream[same + step])
-            _add_rows(out, stream[same + step], own, stream[same])
-    return out / np.maximum(1e-6, np.linalg.norm(out, axis=1, keepdims=True))
+        size = 1 << 17
+        for at in range(0, len(stream), size):
+            for step in range(1, REACH + 1):
+                same = at + np.flatnonzero(text[at + step : at + size + step] == text[at : at + size][: max(0, len(text) - at - step)])
+                one, two = stream[same].astype(np.int64), stream[same + step].astype(np.int64)
+                for mine, other in ((one, two), (two, one)):
+                    for j in range(NONZERO):
+                        np.add.at(self.sums, mine * DIM + self.places[other, j], self.signs[other, j])
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The buckets with sums, and these, in blocks."""
+        table = self.sums.reshape(-1, DIM)
+        for i in range(0, len(table), 4096):
+            some = i + np.flatnonzero(table[i : i + 4096].any(axis=1))
+            yield some, table[some]
+
+    def vectors(self) -> np.ndarray:
+        """Unit-length token vectors: the sums and the token's own index vector."""
+        out = self.sums.reshape(-1, DIM).astype(np.float64)
+        for j in range(NONZERO):
+            out[np.arange(len(out)), self.places[:, j]] += self.signs[:, j]
+        return (out / np.maximum(1e-6, np.linalg.norm(out, axis=1, keepdims=True))).astype(np.float32)
 
 
 def pooled(table: np.ndarray, stream: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -163,11 +165,25 @@ def _loss(logits: np.ndarray, y: np.ndarray) -> float:
 class Vectors:
     """Token vectors and the pooling of texts."""
 
-    def __init__(self, texts: list[str]):
-        data, offsets = string_buffers(pa.array(texts, pa.string()))
+    def __init__(self, texts: list[str] | None = None):
+        self.contexts: tuple[Contexts, Contexts] | None = Contexts(WORD_BUCKETS, 43), Contexts(SHAPE_BUCKETS, 47)
+        if texts is not None:
+            self.add(*string_buffers(pa.array(texts, pa.string())))
+            self.close()
+
+    def add(self, data: np.ndarray, offsets: np.ndarray) -> None:
         words, shapes, before = tokens(data, offsets)
-        self.words = context_vectors([(words, before)], WORD_BUCKETS, 43).astype(np.float32)
-        self.shapes = context_vectors([(shapes, before)], SHAPE_BUCKETS, 47).astype(np.float32)
+        self.contexts[0].add(words, before)
+        self.contexts[1].add(shapes, before)
+
+    def put(self, buckets: np.ndarray, sums: np.ndarray) -> None:
+        both = np.zeros((WORD_BUCKETS + SHAPE_BUCKETS, DIM), np.int64)
+        both[buckets] = sums
+        self.contexts[0].sums, self.contexts[1].sums = both[:WORD_BUCKETS].ravel(), both[WORD_BUCKETS:].ravel()
+
+    def close(self) -> None:
+        self.words, self.shapes = (c.vectors() for c in self.contexts)
+        self.contexts = None
 
     def pool(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         words, shapes, before = tokens(data, offsets)
@@ -201,6 +217,29 @@ def _draw(column: str, seed: int, rows: int, of: int):
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(span)) < min(span, rows * span // max(1, of))
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The context sums of a task's texts: as many rows as there are buckets, at most."""
+    own = Vectors()
+    for batch in batches:
+        data, offsets = string_buffers(batch.column(0))
+        for i, j in slices(offsets, 1 << 19):  # beside the tables, little memory is left
+            own.add(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    for first, contexts in zip((0, WORD_BUCKETS), own.contexts, strict=True):
+        for buckets, sums in contexts.rows():
+            at = pa.array(np.arange(0, sums.size + 1, DIM, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array((buckets + first).astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(sums.ravel()))], names=["bucket", "v"])
+
+
+def learn_vectors(texts: DataFrame) -> Vectors:
+    """Token vectors of all texts; text is the only column."""
+    added = texts.mapInArrow(_sums, "bucket int, v array<bigint>").groupBy("bucket").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
+    found = added.toArrow()  # a row a bucket, 36,864 at most
+    vectors = Vectors()
+    vectors.put(found.column(0).to_numpy(), np.stack([found.column(i + 1).to_numpy() for i in range(DIM)], axis=1))
+    vectors.close()
+    return vectors
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id, quality."""
     spark = docs.sparkSession
@@ -212,10 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(None, None, ones / n if n else 0.5)
     # about TRAIN_DOCS ids: a table of a few hundred kilobytes, whatever the size of the corpus
     chosen = F.broadcast(marked.where(_draw("doc_id", 53, TRAIN_DOCS, n)).select(F.col("doc_id").alias("_rs_id"), "quality"))
-    plain = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(~held_out(F.col("doc_id")) & (F.length("text") <= LONGEST))
-    of = docs.count()
-    texts = sorted((r["doc_id"], r["text"]) for r in plain.where(_draw("doc_id", 59, VECTOR_DOCS, of)).where(F.col("doc_id").isNotNull()).collect())
-    vectors = Vectors([t for _, t in texts])
+    whole = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).where(~held_out(F.col("doc_id")))
+    vectors = learn_vectors(whole.select("text"))
     vectors_of = shipped(spark, vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +265,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(x.astype(np.float32).ravel()))], names=["doc_id", "quality", "x"])
 
     kinds = dict(docs.dtypes)["doc_id"], dict(labels.dtypes)["quality"]
-    whole = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).where(~held_out(F.col("doc_id")))
     found = whole.join(chosen, F.col("doc_id") == F.col("_rs_id")).select("doc_id", "text", "quality").mapInArrow(run, f"doc_id {kinds[0]}, quality {kinds[1]}, x array<float>")
     rows = sorted(((r["doc_id"], r["quality"], r["x"]) for r in found.collect()))
     y = np.array([r[1] for r in rows], np.float64)

@@ -254,6 +254,34 @@ def test_quality_held_out(spark):
     assert right >= 0.93 * len(told) > 30 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in told)
 
 
+def test_quality_vectors_of_all_texts(spark, monkeypatch):
+    """Every text outside the held-out fifth adds to the vectors, long ones included, however the rows are dealt."""
+    rows = texts(21, 2500, least=1, most=12) + ["farword nextword " * 2000]
+    held = {i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 5 == 0}
+    if len(rows) - 1 in held:
+        rows.insert(0, "one two")
+        held = {i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert len(rows[-1]) > 20_000 and len(rows) - 1 not in held
+    used = [t for i, t in enumerate(rows) if i not in held]
+    shipped_vectors = []
+    monkeypatch.setattr(quality, "Model", lambda vectors, network, share: shipped_vectors.append(vectors))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    quality.fit(frame(spark, rows), labels)
+    want = {}
+    for t in used:
+        data, at = string_buffers(pa.array([t]))
+        stream = quality.tokens(data, at)[0].tolist()
+        for i, w in enumerate(stream):
+            for other in stream[max(0, i - quality.REACH) : i] + stream[i + 1 : i + 1 + quality.REACH]:
+                want.setdefault(w, []).append(other)
+    draws = quality.Contexts(quality.WORD_BUCKETS, 43)
+    for w, others in want.items():
+        v = np.zeros(quality.DIM)
+        for other in [w, *others]:
+            np.add.at(v, draws.places[other], draws.signs[other])
+        assert np.allclose(shipped_vectors[0].words[w], v / max(1e-6, np.linalg.norm(v)), atol=1e-5)
+
+
 def test_quality_first_layer_is_linear():
     rng = np.random.default_rng(1)
     some = texts(11, 60, least=1)
