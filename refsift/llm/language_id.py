@@ -8,6 +8,11 @@ end), so that numpy steps many blocks at once through the automaton's transition
 The model is fitted on whole rows sampled by hash: about DOCS rows a language, of at most LONGEST code points each, up
 to LETTERS symbols a language. Only text and lang of rows outside the held-out fifth are read for it.
 
+`predict` also tells whether a text is strange, that is, unlike every language: its best entropy is over the cut of that
+language at its length. Cuts come from labelled texts that are in no sample: for each of LENGTHS the 99th percentile of
+the entropies of their beginnings, and some slack, which falls with the length. A length with fewer than FEWEST such
+texts takes the cut of the next shorter one; without any the cut is STRANGE.
+
 Defined cases: null, empty and letterless texts are `und` with score 0.0; letters unseen in every sample end a phrase in
 every language; ties go to the alphabetically first language; without labelled rows every text is `und`; repeated rows
 get equal answers; a null doc_id is never held out; an empty table gives an empty result; more columns are ignored.
@@ -32,9 +37,15 @@ LETTERS = 16_000
 BLOCK = 256
 #: How sharply differences of entropy (bits a symbol) turn into the score.
 SHARPNESS = 8.0
-#: A text whose best entropy is over so many bits a symbol shares hardly more than single letters with any sample
-#: (a foreign script has about 15, noise in known letters about 5, clean texts of a few words up to 8); see `rejected`.
+#: A text whose best entropy is over so many bits a symbol shares hardly more than single letters with any sample (a
+#: foreign script has about 15), however short it is.
 STRANGE = 10.0
+#: Clean texts that the cuts by length are read from, of each language, and how many a length needs.
+CLEAN, FEWEST = 200, 20
+#: A cut is so many bits over the 99th percentile of clean texts: SLACK, and SHORT by the root of the letters.
+SLACK, SHORT = 1.75, 6.0
+#: Lengths in symbols that have a cut of their own.
+LENGTHS = tuple(1 << k for k in range(2, 14))
 #: More languages than these in the labels are an error, not a cut.
 MOST_LANGUAGES = 512
 
@@ -152,6 +163,28 @@ class Model:
         self.alphabet = Alphabet([int(c) for c in seen if c])
         symbols, at = self.alphabet.symbols(cps, offsets)
         self.parsers = [Parser(symbols[at[i] : at[i + 1]], self.alphabet.size) for i in range(len(self.languages))]
+        self.cuts = np.full((len(self.languages), len(LENGTHS)), STRANGE)
+
+    def calibrate(self, clean: dict[str, list[str]]) -> None:
+        """Sets the cuts by language and length. clean: texts of each language that are in no sample."""
+        for k, language in enumerate(self.languages):
+            texts, cut = clean.get(language, []), STRANGE
+            for j, length in enumerate(LENGTHS):
+                texts = [t for t in texts if len(t) >= length]
+                letters, bits = self.entropies([t[:length] for t in texts])
+                bits = bits[letters > 0, k]
+                if len(bits) >= FEWEST:
+                    usual = float(np.quantile(bits, 0.99))
+                    cut = max(usual, min(STRANGE, usual + SLACK + SHORT / math.sqrt(length)))
+                self.cuts[k, j] = cut
+
+    def strange(self, letters: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Which texts, of so many letters and bits in each language, are unlike every language."""
+        if not self.languages:
+            return np.ones(len(letters), bool)
+        place = np.maximum(0, np.searchsorted(LENGTHS, letters, "right") - 1)
+        pick = np.argmin(bits, axis=1)
+        return bits[np.arange(len(bits)), pick] > self.cuts[pick, place]
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each text, and bits a symbol in each language (inf without letters)."""
@@ -177,48 +210,56 @@ class Model:
                 out[some, k] = total[some] * math.log2(parser.length) / sizes[some]
         return letters, out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and best entropy of each text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, best entropy of each text, and whether it is strange."""
         letters, bits = self.entropies(texts)
+        strange = self.strange(letters, bits)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf), strange
         some = letters > 0
         best = np.where(some, bits.min(axis=1), 0.0)
         weight = np.where(some[:, None], np.exp2(-SHARPNESS * (np.where(some[:, None], bits, 0.0) - best[:, None])), 1.0)
         score = np.where(some, weight.max(axis=1) / weight.sum(axis=1), 0.0)
         pick = np.argmin(bits, axis=1)
-        return [self.languages[p] if s else "und" for p, s in zip(pick, some, strict=True)], score, np.where(some, best, np.inf)
+        return [self.languages[p] if s else "und" for p, s in zip(pick, some, strict=True)], score, np.where(some, best, np.inf), strange
 
 
-def sample(docs: DataFrame, docs_a_language: int = DOCS) -> dict[str, str]:
-    """The labelled text that the automata are built of: bounded by languages * docs_a_language rows, give or take."""
+def sample(docs: DataFrame, docs_a_language: int = DOCS) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """The labelled text that the automata are built of, and texts that are no part of it: together bounded by
+    languages * docs_a_language rows, give or take."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages in the labels")
     if not counts:
-        return {}
+        return {}, {}
     span = 1 << 40
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(span))
     quota = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(span, docs_a_language * span // n)))]), F.col("lang"))
     drawn = labelled.where((F.length("text") <= LONGEST) & (draw < quota)).select("lang", "text", draw.alias("at"), "doc_id")
     rows = sorted(drawn.collect(), key=lambda r: (r["lang"], r["at"], r["doc_id"], r["text"]))
     texts: dict[str, list[str]] = {k: [] for k in counts}
+    clean: dict[str, list[str]] = {k: [] for k in counts}
     held = dict.fromkeys(counts, 0)
     for r in rows:
         room = LETTERS - held[r["lang"]]
         if room > 0:
             texts[r["lang"]].append(r["text"][:room])
             held[r["lang"]] += min(room, len(r["text"]) + 1)
-    return {k: "\n".join(v) for k, v in texts.items() if v}
+        elif len(clean[r["lang"]]) < CLEAN:
+            clean[r["lang"]].append(r["text"])
+    return {k: "\n".join(v) for k, v in texts.items() if v}, clean
 
 
 def fit(docs: DataFrame) -> Model:
-    return Model(sample(docs))
+    samples, clean = sample(docs)
+    model = Model(samples)
+    model.calibrate(clean)
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, bits: one row per row of docs."""
+    """doc_id, lang_pred, score, bits, strange: one row per row of docs."""
     model_of = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +268,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(1).to_pylist()
             sizes = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
             for i, j in slices(sizes):
-                language, score, bits = model.predict(texts[i:j])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(language), pa.array(score), pa.array(bits)], names=["doc_id", "lang_pred", "score", "bits"])
+                language, score, bits, strange = model.predict(texts[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(language), pa.array(score), pa.array(bits), pa.array(strange)], names=["doc_id", "lang_pred", "score", "bits", "strange"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double, strange boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -241,5 +282,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def rejected(told: DataFrame) -> DataFrame:
-    """The rows of `identify` or `predict` that language identification rejects: no letters, or unlike every language."""
-    return told.where((F.col("lang_pred") == "und") | (F.col("bits") > STRANGE))
+    """The rows of `predict` that language identification rejects: no letters, or unlike every language."""
+    return told.where((F.col("lang_pred") == "und") | F.col("strange"))

@@ -1,6 +1,9 @@
 """The pipeline, stage by stage, against the operators' own answers."""
 
+import random
+
 import corpus_pipeline
+from pyspark.sql import functions as F
 from refsift.llm import exact_dedup, language_id, near_dedup, quality
 
 SF = "/root/testdata/sf0.01"
@@ -32,3 +35,22 @@ def test_stages(spark, tmp_path):
         docs, ids = after, left
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r["doc_id"] for r in packed} == ids
+
+
+def test_language_stage_drops_noise(spark):
+    """Long noise in Latin letters goes, and so do texts of a language that no label names; short clean texts stay."""
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    ids = {r["doc_id"]: (r["lang"], len(r["text"])) for r in docs.collect()}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [(10**9 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(200)), None) for i in range(20)]
+    for i, r in enumerate(docs.where("length(text) > 1500").orderBy("doc_id").limit(20).collect()):  # letters of real texts, shuffled
+        noise.append((2 * 10**9 + i, "".join(rng.sample(r["text"], len(r["text"]))), None))
+    left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(noise, docs.schema)), SF).collect()}
+    assert left == set(ids)
+    for lang in ("es", "de"):
+        unlabelled = docs.withColumn("lang", F.when(F.col("lang") != lang, F.col("lang")))
+        left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, unlabelled, SF).collect()}
+        foreign = {i for i, (name, n) in ids.items() if name == lang and n > 600}
+        assert len(foreign - left) >= 0.95 * len(foreign) > 20
+        assert {i for i, (name, _) in ids.items() if name != lang} <= left
