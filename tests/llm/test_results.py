@@ -141,6 +141,17 @@ def test_language_entropy_by_brute_force():
                 assert bits[i, k] == pytest.approx(phrases * math.log2(len(sample)) / len(s))
 
 
+def test_language_sample_is_of_many_texts(spark):
+    """No long or repeated text fills a language's sample; every sampled text has a part in it."""
+    assert [len(p) for p in language_id.parts(["a" * 5, "b" * 1000, "c" * 1000], 205)] == [5, 100, 100]
+    rows = [(i, "hot text " * 1500, "xx") for i in range(100)] + [(100 + i, f"number{i:03d}x " * (i + 20), "xx") for i in range(200)]
+    samples, clean = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    inside, apart = samples["xx"], set(clean["xx"])
+    assert all((t in apart) != (t.split()[0] in set(inside.split())) for i, t, _ in rows if i not in held)
+    assert inside.count("hot") < 0.1 * len(inside.split()) and len(inside) <= language_id.LETTERS + len(rows)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = language_id.identify(docs).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").where("held_out and n > 40").collect()
