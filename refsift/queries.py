@@ -437,6 +437,44 @@ def tokens_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", own.alias("w")).select("doc_id", F.size("w").alias("n"), F.size(F.array_intersect("w", wanted)).alias("hits"))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the whole text, null as empty."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query()
+def doi_extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doi_extract over all lines of a text; its SQL reads the first 80 signs of the first."""
+    i = F.col("doc_id")
+    own = F.concat(F.lit("10."), (1000 + i % 900).cast("string"), F.lit("/ab."), i.cast("string"))
+    t = F.concat(F.lit("see ("), own, F.lit("). "), F.col("text"), F.lit(" 10.5555/x,y "), own)
+    found = _whole(spark, sf_dir).select(i, text.dois(t).alias("l"))
+    return found.select("doc_id", F.get("l", F.lit(0)).alias("first"), F.size("l").alias("n"))
+
+
+@query()
+def tokens_overlap_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tokens_overlap over all lines of a text; its SQL reads the first."""
+    wanted = F.array(*[F.lit(w) for w in ("the", "and", "with", "der", "les")])
+    words = _whole(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").alias("n"), F.size(F.array_intersect("w", wanted)).alias("hits"))
+
+
+@query()
+def inverted_index_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts to an inverted index and back; inverted_index_rebuild's SQL reads the first line.
+    Places are grouped in the sorted words, so the work doesn't grow with words times distinct words."""
+    words = F.split("text", " ")
+    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
+    d = _whole(spark, sf_dir).select("doc_id", pairs.alias("p"))
+    first = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | (F.get("p", i)["w"] != F.get("p", i - 1)["w"]))
+    d = d.withColumn("heads", first)
+    ends = lambda i: F.coalesce(F.get("heads", i + 1), F.size("p"))
+    places = F.transform("heads", lambda h, i: F.transform(F.slice("p", h + 1, ends(i) - h), lambda x: x["at"]))
+    keys = F.transform("heads", lambda h: F.get("p", h)["w"])
+    return d.select("doc_id", F.md5(text.abstract_of(F.map_from_arrays(keys, places))).alias("digest"))
+
+
 @query("(SELECT c_nationkey AS nation FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
 def candidate_union_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("nation"))
