@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests, one machine)."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and driver and executors are
+    one process. On a cluster executors would write to disks that no one else reads, so there it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='refsift-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -87,6 +90,26 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, was)
 
 
+def once(docs: DataFrame, pairs: DataFrame, same: Column) -> DataFrame:
+    """Of the rows of docs whose doc_id is an _rs_id of pairs, one for each of its (_rs_id, _rs_same) with the value of
+    same: the one whose columns have the smallest hash. Rows with other ids aren't touched. The rows of an id are
+    aggregated in part before they are shuffled, so an id of very many rows is no hot key."""
+    if pairs.isEmpty():
+        return docs
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    marked = docs.join(pairs.select("_rs_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_rs_id")), "left_semi")
+    held = marked.select(row.alias("_rs_row"), F.col("doc_id").alias("_rs_id"), same.alias("_rs_same"))
+    one = held.groupBy("_rs_id", "_rs_same").agg(F.min_by("_rs_row", F.xxhash64("_rs_row")).alias("_rs_row"))
+    a, b = one.alias("a"), pairs.alias("b")
+    hit = F.col("a._rs_id").eqNullSafe(F.col("b._rs_id")) & (F.col("a._rs_same") == F.col("b._rs_same"))
+    kept = a.join(b, hit, "left_semi").select("_rs_row.*")
+    return docs.join(pairs.select("_rs_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_rs_id")), "left_anti").unionByName(kept)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

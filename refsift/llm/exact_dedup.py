@@ -11,9 +11,11 @@ one with the smallest doc_id.
    digest. At most HEAVY rows come out, so the winners are broadcast and heavy rows never shuffle.
 4. The remaining digests are shuffled once.
 
-Defined cases: null and empty texts are one group (the empty normalised text); rows that share a doc_id are separate
-rows that share its fate, kept when their id is the keep_id of their digest; a null doc_id loses ties; an empty table
-gives an empty result; further columns are ignored by `resolve` and carried through by `deduplicate`.
+Defined cases: null and empty texts are one group (the empty normalised text); ids may be of any ordered type; rows that
+share a doc_id are separate rows of `resolve`, kept when their id is the keep_id of their digest; `deduplicate` leaves one
+row of each group, also where rows share id and text (the one whose columns have the smallest hash); a null doc_id loses
+ties; an empty table gives an empty result; further columns are ignored by `resolve` and carried through by
+`deduplicate`.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, once
 
 #: Counters of the summary: any digest with over 1 / (0.75 * TRACKED) of the rows is sure to be among them.
 TRACKED = 4096
@@ -45,10 +47,13 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def _order() -> Column:
+    """The smallest stays: most code points, then a known id, then the smallest one, of whatever type ids are."""
+    return F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"))
+
+
 def _winner() -> list[Column]:
-    # the largest struct: most code points, then the smallest id
-    best = F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("neg"), F.col("doc_id")))
-    return [best.getField("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    return [F.min(_order()).getField("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
 
 
 def resolve(docs: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -> DataFrame:
@@ -65,7 +70,7 @@ def resolve(docs: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -> Data
     hot = thin.join(F.broadcast(frequent), "text_sha256")
     rest = thin.join(F.broadcast(frequent.select("text_sha256")), "text_sha256", "left_anti")
     group = W.partitionBy("text_sha256")
-    best = F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("neg"), F.col("doc_id"))).over(group)
+    best = F.min(_order()).over(group)
     cold = rest.select(
         "doc_id",
         "text_sha256",
@@ -83,11 +88,16 @@ def resolve(docs: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -> Data
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. An id goes only if none of its rows stays."""
+    """The rows of docs that stay, with all their columns: one of each group."""
     space = Workspace(docs.sparkSession, "exact-keep")
-    by_id = resolve(docs).groupBy(F.col("doc_id").alias("_rs_id")).agg(F.bool_or("kept").alias("_rs_kept"))
-    gone = space.cut(by_id.where(~F.col("_rs_kept")).select("_rs_id"), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_rs_id")), "left_anti")
+    told = space.cut(resolve(docs).select(F.col("doc_id").alias("_rs_id"), "kept", F.col("text_sha256").alias("_rs_same")), "told")
+    by_id = told.groupBy("_rs_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    by_id = space.cut(by_id, "ids")
+    gone = by_id.where("not kept").select(F.col("_rs_id").alias("_rs_gone"))
+    often = by_id.where("kept").select(F.col("_rs_id").alias("_rs_often"))
+    pairs = told.where("kept").join(often, F.col("_rs_id").eqNullSafe(F.col("_rs_often")), "left_semi").select("_rs_id", "_rs_same").distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_rs_gone")), "left_anti")
+    return once(kept, space.cut(pairs, "pairs"), F.sha2(normalised(F.col("text")), 256))
 
 
 ORACLE = r"""
