@@ -10,17 +10,22 @@ similarity is at least 3/4; the answer is the smallest doc_id reachable over lin
    left out. So every pair within that distance (31 of 96) shares a key. A pair at similarity 3/4 shares one with
    probability 1 - 5e-6 whatever its distance. MORE further symbols of 8 bits sharpen the distance only.
 3. Members of a key are compared with the key's hub first: the member that shares most keys. The rows are as many as
-   the keys, never pairs of a group. Pairs that differ in over FAR of all symbols (4.7 standard deviations beyond the
-   mean at 3/4) are left, the others confirmed on their full sets, and confirmed links contracted to components. A
-   second turn does so with a hub of another component.
+   the keys, never pairs of a group. Every pair within the guaranteed distance (SURE) is confirmed on its full sets; of
+   the pairs beyond it that met by chance, those that differ in over FAR of all symbols (4.7 standard deviations beyond
+   the mean at 3/4) are left. Confirmed links are contracted to components. A second turn does so with a hub of another
+   component.
 4. Keys that still join different components are compared member by member, in blocks of at most BLOCK members, by
-   signature first, each pair under the first key that it shares; near pairs are confirmed on their full sets and
-   contracted once more. No key and no partner is left out.
+   signature first, each pair under the first key that it shares; all pairs within SURE, and near ones beyond it, are
+   confirmed on their full sets and contracted once more. No key and no partner is left out.
+
+A set is held as 64-bit hashes: n_shingles and the confirmation are exact but for collisions of these, of which a text
+of a million shingles has one with a probability of 3e-8.
 
 Defined cases: null and empty texts, and texts of white space only, have no shingles and are linked with nothing; a
 text of fewer than five words is one shingle; repeated rows share a class; rows that share a doc_id but not a text are
-joined through that id; a row whose doc_id is null takes part in no link and is its own component (null); an empty
-table gives an empty result; further columns are ignored.
+joined through that id; a row whose doc_id is null takes part in no link and is its own component (null); ids must be
+of an integer type, others are refused with a TypeError; an empty table gives an empty result; further columns are
+ignored by `link` and carried through by `deduplicate`, which leaves one row of those that share the id that stays.
 """
 
 from __future__ import annotations
@@ -33,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import Workspace, freed_shuffles
+from .common import Workspace, freed_shuffles, once
 from .components import components
 from .textvec import U64, Words, mix64, seeded, shingle_hashes, slices, string_buffers
 
@@ -43,6 +49,8 @@ WORDS = 5
 SIMILAR = 75
 CHUNKS, WIDTH, ERRORS = 16, 6, 1
 SYMBOLS = CHUNKS * WIDTH
+#: Pairs whose signatures differ in at most so many of the SYMBOLS share a key, and are all confirmed.
+SURE = CHUNKS * (ERRORS + 1) - 1
 MORE = 256
 FAR = 126
 #: For members of open keys only: so many further symbols of 8 bits, and in how many of them a pair may differ; before
@@ -97,10 +105,12 @@ def symbols(signed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Places of the pairs of rows that differ in at most FAR symbols."""
+    """Places of the pairs of rows that differ in at most SURE of the SYMBOLS, or in at most FAR of all symbols."""
     apart = (a[0] != b[0]).sum(axis=1)
-    some = np.flatnonzero(apart <= FAR)
-    return some[apart[some] + (a[1][some] != b[1][some]).sum(axis=1) <= FAR]
+    good = apart <= SURE
+    some = np.flatnonzero(~good & (apart <= FAR))
+    good[some] = apart[some] + (a[1][some] != b[1][some]).sum(axis=1) <= FAR
+    return np.flatnonzero(good)
 
 
 def keys(symbols: np.ndarray) -> np.ndarray:
@@ -175,7 +185,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, signature of a, of b), the ids of those within FAR symbols."""
+    """Of rows (a, b, signature of a, of b), the ids of those that `near` names."""
     for batch in batches:
         if batch.num_rows:
             good = near(symbols(batch.column(2).to_pylist()), symbols(batch.column(3).to_pylist()))
@@ -210,8 +220,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_ = (comp[i] != comp[j]) & ((one[i] == two[i]) | (block[i] != block[j]))
             i, j = i[open_], j[open_]
             apart = signed[i] != signed[j]
-            good = np.flatnonzero(apart.sum(axis=1) <= FAR_FIRST)
-            good = good[(wide[i[good]] != wide[j[good]]).sum(axis=1) <= FAR_WIDE]
+            distance = apart.sum(axis=1)
+            good = np.flatnonzero(distance <= FAR_FIRST)
+            sure = distance[good] <= SURE
+            good = good[sure | ((wide[i[good]] != wide[j[good]]).sum(axis=1) <= FAR_WIDE)]
             i, j, apart = i[good], j[good], apart[good].reshape(-1, CHUNKS, WIDTH)
             first = np.argmax(apart.sum(axis=2) <= ERRORS, axis=1)
             wrong = np.argmax(apart[np.arange(len(i)), first], axis=1)
@@ -280,6 +292,8 @@ def _hub_pairs(named: DataFrame, weights: DataFrame, turn: int) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be of an integer type: the smallest one names a component")
     spark = docs.sparkSession
     space = Workspace(spark, "near")
     with freed_shuffles(spark):
@@ -336,5 +350,8 @@ def _shared_ids(thin: DataFrame, classes: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one document of each group, with all their columns."""
     space = Workspace(docs.sparkSession, "near-keep")
-    gone = space.cut(link(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_rs_id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_rs_id")), "left_anti")
+    told = link(docs)
+    gone = space.cut(told.where(~F.col("kept")).select(F.col("doc_id").alias("_rs_id")).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_rs_id")), "left_anti")
+    often = told.where("kept").groupBy(F.col("doc_id").alias("_rs_id")).agg(F.count(F.lit(1)).alias("n")).where("_rs_id is not null and n > 1")
+    return once(kept, space.cut(often.select("_rs_id", F.lit(0).alias("_rs_same")), "often"), F.lit(0))
