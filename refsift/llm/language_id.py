@@ -2,13 +2,15 @@
 
 For every language, a suffix automaton of a bounded sample of its labelled text is built. A text is parsed greedily
 into the longest phrases that occur in the sample; the entropy estimate is phrases * log2(sample length) / letters, and
-the language with the smallest estimate wins. Parsing runs over blocks of BLOCK symbols (a phrase ends at a block's
-end), so that numpy steps many blocks at once through the automaton's transition table.
+the language with the smallest estimate wins. Numpy steps many blocks of BLOCK symbols at once through the automaton,
+whose transitions lie in a double array; the blocks of a text are then joined to the parse of the whole.
 
-The model is fitted on rows sampled by hash: about DOCS rows a language, of at most LONGEST code points each. Of their
-distinct texts every third, up to CLEAN, is kept for the cuts below; each of the others gives an equal part of LETTERS
-code points (a text shorter than that gives all of itself, and what it leaves goes to the others), from a place drawn by
-its hash. So with DOCS rows some 270 texts of about 60 code points make a language's model, and no text fills it. Only text and lang of rows outside the held-out fifth are read for it.
+The model is fitted on rows sampled by hash of id and text: about DOCS rows a language, of any length; of a longer text
+WINDOW code points from a place drawn by hash are read. Of the distinct ones every third, up to CLEAN, is kept for the
+cuts below; each of the others gives an equal part of LETTERS code points (one shorter than that gives all of itself,
+and what it leaves goes to the others), from a place drawn by its hash. So with DOCS rows some 270 texts of about 240
+code points make a language's model, no row is left out for its length, and none fills the model. Only text and lang of
+rows outside the held-out fifth are read for it.
 
 `predict` also tells whether a text is strange, that is, unlike every language: its best entropy is over the cut of that
 language at its length. Cuts come from labelled texts that are in no sample: for each of LENGTHS the 99th percentile of
@@ -35,8 +37,8 @@ from .common import held_out, shipped
 from .textvec import codepoints, slices
 
 DOCS = 400
-LONGEST = 20_000
-LETTERS = 16_000
+WINDOW = 8192
+LETTERS = 64_000
 BLOCK = 256
 #: How sharply differences of entropy (bits a symbol) turn into the score.
 SHARPNESS = 8.0
@@ -76,9 +78,10 @@ class Alphabet:
         """Symbols of every text, runs of non-letters as one 0, and the n + 1 offsets."""
         if self._map is None:
             low = _unicode_letters()
-            place = np.zeros(0x110000, np.int16)
+            kind = np.uint16 if self.size < 65536 else np.int32
+            place = np.zeros(0x110000, kind)
             place[self.letters] = np.arange(1, len(self.letters) + 1)
-            self._map = np.where(low == 0, 0, np.where(place[low] > 0, place[low], self.size - 1)).astype(np.int16)
+            self._map = np.where(low == 0, 0, np.where(place[low] > 0, place[low], self.size - 1)).astype(kind)
         raw = self._map[cps]
         keep = np.ones(len(raw), bool)
         keep[1:] = (raw[1:] != 0) | (raw[:-1] != 0)
@@ -91,8 +94,8 @@ class Alphabet:
         return {"letters": self.letters, "size": self.size, "_map": None}
 
 
-def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Transition table (states x size) of the automaton of all substrings; state 0 is the root, -1 no transition."""
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """The transitions of the automaton of all substrings; state 0 is the root."""
     nexts: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -119,41 +122,105 @@ def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nexts), size), -1, np.int32)
-    for s, edges in enumerate(nexts):
-        for c, t in edges.items():
-            table[s, c] = t
-    return table
+    return nexts
+
+
+def places_of(nexts: list[dict[int, int]], size: int) -> tuple[list[int], int]:
+    """For each state a place in one shared array, such that no two transitions meet at place + symbol (a double array):
+    its length is about that of the transitions, whatever the size of the alphabet. States without transitions, and the
+    root, which no step leads back to, share the last place, where nothing lies."""
+    room = sum(map(len, nexts)) + 2 * size
+    taken, used = bytearray(room), bytearray(room)
+    places = [-1] * len(nexts)
+    begin: dict[int, int] = {}  # for each number of transitions where to look first
+    for s in sorted(range(1, len(nexts)), key=lambda s: -len(nexts[s])):
+        edges = sorted(nexts[s])
+        if not edges:
+            break
+        least, others = edges[0], edges[1:]
+        at, tries = taken.find(0, max(least, begin.get(len(edges), 0))), 0
+        while True:
+            if at < 0 or at + size >= len(taken):
+                taken.extend(bytes(len(taken)))
+                used.extend(bytes(len(used)))
+                at = taken.find(0, max(at, least))
+            place = at - least
+            if not used[place] and not any(taken[place + c] for c in others):
+                break
+            at, tries = taken.find(0, at + 1), tries + 1
+        if tries > 32:
+            begin[len(edges)] = at
+        used[place], places[s] = 1, place
+        for c in edges:
+            taken[place + c] = 1
+    end = taken.rfind(1) + 1
+    return [p if p >= 0 else end for p in places], end
 
 
 class Parser:
-    """Counts phrases. A step's entry holds 2 * next state, plus 1 where a phrase ends before the symbol."""
+    """Counts phrases. A state is its place in `steps`; the entry at place + symbol holds the state it belongs to (upper
+    half) and the next one (lower half)."""
 
     def __init__(self, symbols: np.ndarray, size: int):
         self.length = max(2, len(symbols))
-        table = suffix_automaton(symbols, size)
-        lost = len(table)  # the state after a symbol that the sample lacks: the next one begins a phrase in any case
-        restart = np.where(table[0] >= 0, table[0], lost)
-        steps = np.where(table >= 0, 2 * table, 2 * restart[None, :] + 1)
-        steps[0] = 2 * restart  # a block's first symbol is in its first phrase
-        whole = np.concatenate([steps, 2 * restart[None, :] + 1])
-        self.steps = whole.astype(np.uint16 if whole.max() < 65536 else np.int32).ravel()
-        self.size = size
-
-    def phrases(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each block. grid: symbols, a column for each block, longest first; lengths: of the blocks."""
+        nexts = suffix_automaton(symbols)
+        places, self.start = places_of(nexts, size)  # at start, and after a symbol that the sample lacks
+        steps = np.full(self.start + size, -1, np.int64)
+        for place, edges in zip(places[1:], nexts[1:], strict=True):
+            for c, t in edges.items():
+                steps[place + c] = place << 32 | places[t]
+        self.steps = steps
+        self.restart = np.array([places[nexts[0][c]] if c in nexts[0] else self.start for c in range(size)], np.int64)
+
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins with the symbol."""
+        found = self.steps[state + symbols]
+        begins = found >> 32 != state
+        return np.where(begins, self.restart[symbols], found & 0xFFFFFFFF), begins
+
+    def phrases(self, grid: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block. grid: symbols, a column for each block, longest first; lengths: of the
+        blocks; before: the block that precedes each in its text, or -1.
+
+        All blocks are parsed from the start state side by side. Then each is parsed anew from the state that the block
+        before it ends in, up to the place where both parses agree, until no block's end changes any more."""
         blocks = grid.shape[1]
-        state, count = np.zeros(blocks, np.int32), np.ones(blocks, np.int32)
+        states, counts = np.full((grid.shape[0] + 1, blocks), self.start, np.int32), np.zeros((grid.shape[0] + 1, blocks), np.int32)
+        state, count = np.full(blocks, self.start, np.int64), np.zeros(blocks, np.int32)
         active = blocks
         for row in range(grid.shape[0]):
             while active and lengths[active - 1] <= row:
                 active -= 1
             if not active:
                 break
-            step = self.steps[(state[:active] >> 1) * self.size + grid[row, :active]].astype(np.int32)
-            count[:active] += step & 1
-            state[:active] = step
-        return count
+            state[:active], begins = self._step(state[:active], grid[row, :active])
+            count[:active] += begins
+            states[row + 1, :active], counts[row + 1, :active] = state[:active], count[:active]
+        alone, end, total = count.copy(), state.copy(), count
+        entered = np.full(blocks, self.start, np.int64)
+        later = np.flatnonzero(before >= 0)
+        while True:
+            todo = later[end[before[later]] != entered[later]]
+            if not len(todo):
+                return total
+            entered[todo] = end[before[todo]]
+            mine, made = entered[todo], np.zeros(len(todo), np.int32)
+            row = 0
+            while len(todo):
+                over = lengths[todo] <= row
+                if over.any():
+                    end[todo[over]], total[todo[over]] = mine[over], made[over]
+                    todo, mine, made = todo[~over], mine[~over], made[~over]
+                    if not len(todo):
+                        break
+                mine, begins = self._step(mine, grid[row, todo])
+                made = made + begins
+                row += 1
+                agreed = mine == states[row, todo]
+                if agreed.any():
+                    done = todo[agreed]
+                    end[done], total[done] = state[done], made[agreed] + alone[done] - counts[row, done]
+                    todo, mine, made = todo[~agreed], mine[~agreed], made[~agreed]
 
 
 class Model:
@@ -202,13 +269,16 @@ class Model:
         starts = at[:-1][owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
         lengths = np.minimum(BLOCK, at[1:][owner] - starts)
         order = np.argsort(-lengths, kind="stable")
+        place = np.argsort(order)
+        follows = np.arange(len(owner)) > first[owner]
+        before = np.where(follows, place[np.arange(len(owner)) - 1], -1)[order]
         owner, starts, lengths = owner[order], starts[order], lengths[order]
         out = np.full((len(texts), len(self.languages)), np.inf)
         if len(owner):
             padded = np.concatenate([symbols, np.zeros(BLOCK, symbols.dtype)])
             grid = padded[starts[None, :] + np.arange(BLOCK)[:, None]]
             for k, parser in enumerate(self.parsers):
-                total = np.bincount(owner, parser.phrases(grid, lengths), len(texts))
+                total = np.bincount(owner, parser.phrases(grid, lengths, before), len(texts))
                 some = letters > 0
                 out[some, k] = total[some] * math.log2(parser.length) / sizes[some]
         return letters, out
@@ -250,9 +320,12 @@ def sample(docs: DataFrame, docs_a_language: int = DOCS) -> tuple[dict[str, str]
     if not counts:
         return {}, {}
     span = 1 << 40
-    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(span))
+    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(span))
+    # of equal texts the same part, so that they count as one below
+    first = F.pmod(F.xxhash64(F.lit(6), "text"), F.greatest(F.lit(1), F.length("text") - (WINDOW - 1))) + 1
+    read = F.substring(F.col("text"), first.cast("int"), F.lit(WINDOW))
     quota = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(span, docs_a_language * span // n)))]), F.col("lang"))
-    drawn = labelled.where((F.length("text") <= LONGEST) & (draw < quota)).select("lang", "text", draw.alias("at"), "doc_id")
+    drawn = labelled.where(F.col("text").isNotNull() & (draw < quota)).select("lang", read.alias("text"), draw.alias("at"), "doc_id")
     rows = sorted(drawn.collect(), key=lambda r: (r["lang"], r["at"], r["doc_id"], r["text"]))
     drawn_texts: dict[str, dict[str, None]] = {k: {} for k in counts}
     for r in rows:
