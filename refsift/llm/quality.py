@@ -11,8 +11,8 @@ network is fitted on a sample by hash of about TRAIN_DOCS labelled rows, none of
 reads the whole text and nothing else.
 
 Defined cases: a text without words (null, empty, blank) scores 0.0 and is predicted 0; labels that are null or neither
-0 nor 1 are left out; of several labels of a document the smallest counts; with labels of one class or none every other
-text scores the share of label 1 (0.5 without labels); repeated rows get equal answers; a null doc_id is never held
+0 nor 1 are left out; of several labels of a document the smallest counts, and of several texts that share an id one is
+learned from; with labels of one class or none every other text scores the share of label 1 (0.5 without labels); repeated rows get equal answers; a null doc_id is never held
 out; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -266,7 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     kinds = dict(docs.dtypes)["doc_id"], dict(labels.dtypes)["quality"]
     found = whole.join(chosen, F.col("doc_id") == F.col("_rs_id")).select("doc_id", "text", "quality").mapInArrow(run, f"doc_id {kinds[0]}, quality {kinds[1]}, x array<float>")
-    rows = sorted(((r["doc_id"], r["quality"], r["x"]) for r in found.collect()))
+    # one text of each chosen id, however many rows share it
+    each = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*")
+    rows = sorted(((r["doc_id"], r["quality"], r["x"]) for r in each.collect()))
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(None, None, ones / n)
