@@ -1,8 +1,8 @@
 """Packing token ids into sequences of at most LIMIT, in order, by dynamic programming.
 
-A document is its ids and then END. Cuts may fall at the end of a document (no penalty), at the end of a sentence
-(SENTENCE; the first of each APART ids) or, every STRIDE ids where neither is near, inside one (INSIDE). A sequence is padded to LIMIT unless its
-length is a power of two, and costs its padding, the penalty of its last cut and EACH. The cheapest cuts of a block of
+A document is its ids and then END. Cuts may fall at the end of every document (no penalty), at the end of every
+sentence (SENTENCE) or, every STRIDE ids where neither is near, inside one (INSIDE). A sequence is padded to LIMIT unless
+its length is a power of two, and costs its padding, the penalty of its last cut and EACH. The cheapest cuts of a block of
 ids are found by best[j] = min over i of best[i] + cost(i, j): padding is linear in i, so the minimum over the window of
 LIMIT ids comes from a monotone queue; lengths that are powers of two are further transitions.
 
@@ -33,7 +33,6 @@ LIMIT = 2048
 END = 1
 SENTENCE, INSIDE, EACH = 6, 24, 12
 STRIDE = 64
-APART = 32
 BLOCK = 1 << 18
 
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -41,8 +40,6 @@ COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 def cut_places(total: int, document_ends: np.ndarray, sentence_ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Places (0 first, total last) where cuts may fall, and the penalty of each."""
-    if len(sentence_ends):
-        sentence_ends = sentence_ends[np.diff(sentence_ends // APART, prepend=-1) > 0]
     known = np.unique(np.concatenate([[0, total], document_ends, sentence_ends]))
     gaps = np.diff(known)
     more = (gaps - 1) // stride
