@@ -55,8 +55,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return sharding.place(docs, F.col("doc_id"), sharding.shard_names(SHARDS))
+    placed = sharding.place(table(spark, sf_dir, "documents"), F.col("doc_id"), sharding.shard_names(SHARDS))
+    return placed.select("doc_id", F.md5("text").alias("text_md5"), "slot", "shard")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

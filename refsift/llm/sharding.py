@@ -7,7 +7,8 @@ one, and a shard that joins or leaves moves few keys besides its own. The table
 the data; it is broadcast, and a row's place is one hash and one look-up: no shuffle.
 
 Defined cases: a null key is placed like the empty string; equal keys have equal places; weights take whole turns (a
-shard of weight 2 claims two slots a turn); an empty table gives an empty result; other columns are carried through.
+shard of weight 2 claims two slots a turn); an empty table gives an empty result; other columns are carried through, one
+that is named slot or shard in whatever case as `<its name>_input` (with further underscores while that is taken too).
 """
 
 from __future__ import annotations
@@ -69,12 +70,25 @@ def table_frame(spark: SparkSession, owner: Sequence[int]) -> DataFrame:
     return spark.range(1).select(F.posexplode(parsed).alias("_rs_slot", "shard"))
 
 
+def carried(columns: Sequence[str]) -> list[str]:
+    """The names under which a table's columns go on beside slot and shard."""
+    taken = {"slot", "shard"} | {c.lower() for c in columns}
+    out = []
+    for c in columns:
+        name = c
+        while name.lower() in ("slot", "shard") or name != c and name.lower() in taken:
+            name = f"{c}_input" if name == c else f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def place(df: DataFrame, key: Column, shards: Sequence[str], weights: Sequence[int] | None = None, slots: int = SLOTS) -> DataFrame:
     """df with two more columns: slot int and shard int (index into shards)."""
     owner = lookup_table(shards, slots, weights)
     lookup = F.broadcast(table_frame(df.sparkSession, owner))
     held = df.select(F.struct("*").alias("_rs_row"), slot_of(key, slots).alias("_rs_at"))
-    kept = [F.col("_rs_row").getField(c).alias(c) for c in df.columns if c not in ("slot", "shard")]
+    kept = [F.col("_rs_row").getField(c).alias(name) for c, name in zip(df.columns, carried(df.columns), strict=True)]
     return held.join(lookup, F.col("_rs_at") == F.col("_rs_slot")).select(*kept, F.col("_rs_at").alias("slot"), "shard")
 
 
@@ -88,8 +102,8 @@ def oracle(n_shards: int, slots: int = SLOTS) -> str:
     return f"""
 WITH lookup AS (SELECT string_split('{owner}', ',') AS owner),
 slots AS (
-  SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {slots} AS INTEGER) AS slot
+  SELECT doc_id, text, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {slots} AS INTEGER) AS slot
   FROM documents
 )
-SELECT doc_id, slot, CAST(owner[slot + 1] AS INTEGER) AS shard FROM slots, lookup
+SELECT doc_id, md5(text) AS text_md5, slot, CAST(owner[slot + 1] AS INTEGER) AS shard FROM slots, lookup
 """
