@@ -80,7 +80,7 @@ def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     one's beside the last)."""
     space = Workspace(docs.sparkSession, "fingerprints")
     plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    spread = dealt(plain, F.struct("doc_id"), rows, space, before=False, after=True, wrap=True)
+    spread, _ = dealt(plain, F.struct("doc_id"), rows, space, before=False, after=True, wrap=True)
     here = within("text")
     ranged = spread.repartition("_rs_range").withColumn("sketch", sketch(F.col("text")))
     both = ranged.withColumns({"next_text": F.lead("text").over(here), "next_sketch": F.lead("sketch").over(here)})
@@ -97,7 +97,8 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """The contract's row for every document."""
+    """The contract's row for every document, the share of its shingles that the edited text has (in_edited), and their
+    estimated number."""
     told = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     told = told.withColumn("edited_sketch", sketch(F.col("edited")))
     return told.select(
@@ -108,4 +109,6 @@ def compare(docs: DataFrame) -> DataFrame:
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("in_edited"),
+        distinct_count(F.col("sketch")).alias("distinct_shingles"),
     )
