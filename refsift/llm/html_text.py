@@ -1,18 +1,28 @@
-"""Main text of web pages: markup rules, and differencing against the page of the nearest URL.
-
-A page is cut into blocks (the text between block-level tags; white space inside a block becomes one space). Blocks of
-elements that by tag, class, id or role are no main text (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers) are dropped. If the page marks its article (`article` or `main`), the article's
-blocks are the text. Otherwise the page is paired with the page of its host whose path is nearest (the neighbour in
-path order with the longer common beginning, of equals the one before), both pages' blocks are aligned by longest
-common subsequence, and the shared blocks are deleted. Where that would delete more than half of the page's text the two
-may be copies of one article rather than pages of one template, and the other neighbour is tried. Blocks that both
-neighbours share go whatever their part of the text is, if both are other pages than this one: of another title (or
-none), and with text that this one lacks and the other way round. Three edited copies in a row without titles can't be
-told from a template, and lose what they share. Marked articles are not differenced, since passages that two articles
-share belong to both.
-
-Hosts of any size are handled in ranges of path order, see `ordered`.
+"""Main text of web pages: differencing against the page of the nearest URL.
+
+A page is cut into lines (the text between block-level tags; white space inside one becomes one space). What is no text
+(scripts, styles, form controls, embedded objects, markup comments) makes no line. The page is paired with the page of
+its host whose path is nearest (the neighbour in path order with the longer common beginning, of equals the one before),
+and then with the neighbour on its other side. Both pages' lines are aligned by longest common subsequence, and the
+shared ones are deleted.
+
+What makes two lines equal: menus, adverts and footers have other words on every page, but the same place in the
+template. So a line of page furniture is compared by its slot, the path of elements and classes that it lies in, and the
+lines that follow each other in one slot (the entries of a menu) are one unit whatever their number. Furniture is what
+lies in an element that by tag, role, class or id is a menu, header, footer, sidebar, notice, advert, form or comment of
+readers, and, on a page that marks its article (`article` or `main`), all that lies outside of it. Every other line is
+compared by its text.
+
+Furniture that a neighbour shares goes. Furniture that neither neighbour has (an advert on this page only), or of a page
+without neighbours, goes for its element's name; n_named counts its lines, n_shared those that differencing deleted.
+Lines of a marked article stay: a passage that two articles share belongs to both. On a page without a mark, shared
+lines go unless that would delete more than half of the text that is no furniture: then the two may be copies of one
+article rather than pages of one template, and the other neighbour is tried. Lines that both neighbours share go
+whatever their part of the text is, if both are other pages than this one: of another title (or none), and with text
+that this one lacks and the other way round. Three edited copies in a row without titles can't be told from a template,
+and lose what they share.
+
+Hosts of any size are handled in ranges of path order, see `ordered`; a range is a task, of about ROWS pages.
 
 Defined cases: null and empty html give an empty text; a null url, or one without `://`, has the empty host and path;
 pages that share a url are neighbours by page_id; repeated rows are neighbours of each other, and copies; a table of one
@@ -37,6 +47,7 @@ from .common import Workspace
 from .ordered import dealt
 
 ROWS = 1024
+NAMES = ["page_id", "url", "text", "n_chars", "n_shared", "n_named"]
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
@@ -46,54 +57,65 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup.
 RAW_TAGS = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DROPPED_TAGS = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object option select svg template textarea title".split())
-DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of a class or id.
-DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus"
-    " footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related"
-    " replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+#: Neither they nor what they hold is text of the page.
+SILENT_TAGS = frozenset("canvas head iframe noscript object option select svg template textarea title".split())
+#: Page furniture, by tag, by role and by words of a class or id.
+FURNITURE_TAGS = frozenset("aside footer form header menu nav".split())
+FURNITURE_ROLES = frozenset("alert banner complementary contentinfo form menu menubar navigation search toolbar".split())
+FURNITURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer"
+    " header masthead menu nav navbar navigation newsletter notice notices pagination promo promoted replies respond sidebar signup"
+    " sponsor sponsored subscribe".split()
 )
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: A tag closes an open one of its kind when these begin anew.
 CLOSES_ITSELF = frozenset("p li dd dt tr td th option".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>([^<]*)", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block(NamedTuple):
     text: str
     tag: str
     marked: bool  # inside article or main
+    named: bool  # inside an element that is furniture by its name
+    slot: str  # the elements it lies in
 
 
-def _dropped(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: of an article, whose own header holds its heading."""
-    if tag in DROPPED_TAGS and not (inside and tag == "header"):
-        return True
-    if tag in ARTICLE_TAGS and not inside or tag in ("body", "html") or not attributes:
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-        if name == "role" and value.lower() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(_WORD.findall(value.lower())):
-            return True
-    return False
+class Element(NamedTuple):
+    tag: str
+    silent: bool
+    named: bool
+    mark: bool
+    slot: str
+
+
+def _element(tag: str, attributes: str, inside: bool, above: str) -> tuple[bool, str]:
+    """Whether an element is furniture by its name, and its slot. inside: of an article, whose own header holds its
+    heading; above: the slot of the element that it lies in."""
+    named = tag in FURNITURE_TAGS and not (inside and tag == "header")
+    words: list[str] = []
+    judged = not (tag in ARTICLE_TAGS and not inside or tag in ("body", "html"))
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "role":
+            named |= judged and value in FURNITURE_ROLES
+        else:
+            found = _WORD.findall(value)
+            words += found
+            named |= judged and not FURNITURE_WORDS.isdisjoint(found)
+    return named, f"{above}/{tag}" + "".join(f".{w}" for w in sorted({w for w in words if w.isalpha()}))
 
 
 def blocks(html: str | None) -> list[Block]:
-    """The blocks that no markup rule drops, in page order."""
+    """The lines of a page, furniture included, in page order."""
     html = html or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether it is dropped, whether it marks an article
-    dropped = marked = 0  # open elements of either kind
+    stack: list[Element] = []
+    silent = named = marked = 0  # open elements of each kind
     buffer: list[str] = []
     tag_of = ""
 
@@ -102,20 +124,21 @@ def blocks(html: str | None) -> list[Block]:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                out.append(Block(text, tag_of, marked > 0))
+                out.append(Block(text, tag_of, marked > 0, named > 0, stack[-1].slot if stack else ""))
 
     def pop() -> str:
-        nonlocal dropped, marked
-        tag, gone, mark = stack.pop()
-        dropped -= gone
-        marked -= mark
-        return tag
+        nonlocal silent, named, marked
+        one = stack.pop()
+        silent -= one.silent
+        named -= one.named
+        marked -= one.mark
+        return one.tag
 
     at = 0
     while True:
         m = _TAG.search(html, at)
         part = html[at : m.start() if m else len(html)]
-        if part and not dropped:
+        if part and not silent:
             buffer.append(unescape(part) if "&" in part else part)
         if not m:
             break
@@ -125,14 +148,14 @@ def blocks(html: str | None) -> list[Block]:
             continue
         attributes = m[3] or m[6] or ""
         if m[1] or m[4]:
-            if any(tag == x[0] for x in stack):
+            if any(tag == x.tag for x in stack):
                 if tag in BLOCK_TAGS:
                     flush()
                 while pop() != tag:
                     pass
             continue
         if tag in VOID_TAGS:
-            if tag == "br" and not dropped:
+            if tag == "br" and not silent:
                 buffer.append(" ")
             elif tag == "hr":
                 flush()
@@ -145,27 +168,31 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-            if tag in ARTICLE_TAGS and dropped and not marked:  # an element that was never closed
-                while dropped:
+            if tag in ARTICLE_TAGS and (silent or named) and not marked:  # an element that was never closed
+                while silent or named:
                     pop()
             elif tag == "body":
-                while dropped:
+                while silent or named:
                     pop()
             if tag in CLOSES_ITSELF and stack:
                 k = len(stack) - 1
-                while k >= 0 and stack[k][0] not in BLOCK_TAGS:
+                while k >= 0 and stack[k].tag not in BLOCK_TAGS:
                     k -= 1
-                if k >= 0 and stack[k][0] == tag:
+                if k >= 0 and stack[k].tag == tag:
                     while len(stack) > k:
                         pop()
         if attributes.endswith("/"):
             continue
-        gone = _dropped(tag, attributes, marked > 0)
-        if gone and not dropped:
+        hush = tag in SILENT_TAGS
+        is_named, slot = _element(tag, attributes, marked > 0, stack[-1].slot if stack else "")
+        if hush and not silent or is_named and not named:
             flush()
-        mark = tag in ARTICLE_TAGS and not gone and not dropped
-        stack.append((tag, gone, mark))
-        dropped += gone
+        mark = tag in ARTICLE_TAGS and not (is_named or named or hush or silent)
+        if tag not in BLOCK_TAGS and not is_named:
+            slot = stack[-1].slot if stack else ""  # a slot is made of block-level elements
+        stack.append(Element(tag, hush, is_named, mark, slot))
+        silent += hush
+        named += is_named
         marked += mark
         tag_of = tag if tag in BLOCK_TAGS else tag_of
     flush()
@@ -196,18 +223,55 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
     return out
 
 
+class Unit(NamedTuple):
+    key: tuple[str, str]
+    furniture: bool
+    lines: list[Block]
+
+
+def units(page: list[Block]) -> list[Unit]:
+    """What is aligned: a line of text by itself, the lines of furniture that follow each other in one slot together."""
+    has_article = any(b.marked and not b.named for b in page)
+    out: list[Unit] = []
+    for b in page:
+        if not (b.named or has_article and not b.marked):
+            out.append(Unit(("text", b.text), False, [b]))
+        elif out and out[-1].key == ("slot", b.slot):
+            out[-1].lines.append(b)
+        else:
+            out.append(Unit(("slot", b.slot), True, [b]))
+    return out
+
+
+class Told(NamedTuple):
+    lines: list[Block]
+    shared: int  # lines that differencing deleted
+    named: int  # lines of furniture that no neighbour shares
+
+
+def differenced(own: list[Block], neighbours: list[list[Block]], copies: tuple[bool, ...] = (), by_name: bool = True) -> Told:
+    """The lines of the main text; neighbours: the nearest page's first; copies: which of them have the page's title;
+    by_name: whether furniture that no neighbour shares goes too."""
+    mine, others = units(own), [units(n) for n in neighbours]
+    found = [shared([u.key for u in mine], [u.key for u in other]) for other in others]
+    gone = {i for g in found for i in g if mine[i].furniture}
+    if not any(b.marked and not b.named for b in own):
+        prose = {i for i, u in enumerate(mine) if not u.furniture}
+        size = sum(len(mine[i].lines[0].text) for i in prose)
+        same = [g & prose for g in found]
+        gone |= next((g for g in same if 2 * sum(len(mine[i].lines[0].text) for i in g) <= size), set())
+        least = [min(len(prose), sum(not u.furniture for u in other)) for other in others]
+        apart = [len(g) < n and not c for g, n, c in zip_longest(same, least, copies[: len(same)], fillvalue=False)]
+        if len(same) > 1 and all(apart):
+            gone |= set.intersection(*same)
+    left = {i for i, u in enumerate(mine) if u.furniture and i not in gone} if by_name else set()
+    kept = [b for i, u in enumerate(mine) if i not in gone and i not in left for b in u.lines]
+    return Told(kept, *(sum(len(mine[i].lines) for i in some) for some in (gone, left)))
+
+
 def main_text(own: list[Block], neighbours: list[list[Block]], copies: tuple[bool, ...] = ()) -> list[Block]:
-    """The blocks of the main text; neighbours: the nearest page's first; copies: which of them have the page's title."""
-    if any(b.marked for b in own):
-        return [b for b in own if b.marked]
-    lines = [b.text for b in own]
-    size = sum(map(len, lines))
-    found = [shared(lines, [b.text for b in other]) for other in neighbours]
-    gone = next((g for g in found if 2 * sum(len(lines[i]) for i in g) <= size), set())
-    others = [len(g) < min(len(lines), len(n)) and not c for g, n, c in zip_longest(found, neighbours, copies[: len(found)], fillvalue=False)]
-    if len(found) > 1 and all(others):
-        gone = gone | set.intersection(*found)
-    return [b for i, b in enumerate(own) if i not in gone]
+    """The lines of the main text."""
+    return differenced(own, neighbours, copies).lines
 
 
 def host_of(url: Column) -> Column:
@@ -232,11 +296,11 @@ class _Page(NamedTuple):
     blocks: list[Block]
 
 
-def _text(before: _Page | None, page: _Page, after: _Page | None) -> str:
+def _told(before: _Page | None, page: _Page, after: _Page | None) -> Told:
     near = [x for x in (before, after) if x is not None and x.range == page.range and x.host == page.host]
     near.sort(key=lambda x: -len(commonprefix([x.path, page.path])))
     copies = tuple(bool(page.title) and x.title == page.title for x in near)
-    return "\n\n".join(b.text for b in main_text(page.blocks, [x.blocks for x in near], copies))
+    return differenced(page.blocks, [x.blocks for x in near], copies)
 
 
 def title_of(html: str | None) -> str:
@@ -245,12 +309,12 @@ def title_of(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row per row of pages."""
+    """page_id, url, text, n_chars, n_shared, n_named: one row per row of pages."""
     space = Workspace(pages.sparkSession, "html")
     kind = pages.schema["page_id"].dataType.simpleString()
     plain = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    spread = dealt(plain, F.struct("host", "path", "page_id"), ROWS, space, before=True, after=True, wrap=False)
-    ranged = spread.repartition("_rs_range").sortWithinPartitions("_rs_range", "_rs_ghost", "_rs_key", "html")
+    spread, ranges = dealt(plain, F.struct("host", "path", "page_id"), ROWS, space, before=True, after=True, wrap=False)
+    ranged = spread.repartitionById(ranges, "_rs_range").sortWithinPartitions("_rs_range", "_rs_ghost", "_rs_key", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: _Page | None = None
@@ -259,13 +323,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
         def told(after: _Page | None) -> None:
             if page is not None and page.ghost == 0:
-                rows.append((page.page_id, page.url, _text(before, page, after)))
+                found = _told(before, page, after)
+                rows.append((page.page_id, page.url, "\n\n".join(b.text for b in found.lines), found.shared, found.named))
 
         def batch_of(ids: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
             texts = pa.array(columns[2], pa.string())
-            sizes = pa.array([len(t) for t in columns[2]], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], ids), pa.array(columns[1], pa.string()), texts, sizes], names=["page_id", "url", "text", "n_chars"])
+            counts = [[len(t) for t in columns[2]], columns[3], columns[4]]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], ids), pa.array(columns[1], pa.string()), texts, *(pa.array(c, pa.int64()) for c in counts)], names=NAMES)
 
         ids = None
         for batch in batches:
@@ -281,4 +346,4 @@ def extract(pages: DataFrame) -> DataFrame:
         if rows:
             yield batch_of(ids)
 
-    return ranged.select("_rs_range", "_rs_ghost", "page_id", "url", "html", "host", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return ranged.select("_rs_range", "_rs_ghost", "page_id", "url", "html", "host", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_shared long, n_named long")

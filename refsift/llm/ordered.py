@@ -1,8 +1,15 @@
 """Neighbours in a total order, without a task that holds all rows or all rows of a group.
 
-Rows are dealt to ranges of the order by bounds taken from a hash sample of the keys. The first row of each range is
-also dealt to the range before it, and the last to the range after it, so a window over one range sees every
+Rows are dealt to ranges of the order by bounds taken from a hash sample of the distinct keys. The first row of each
+range is also dealt to the range before it, and the last to the range after it, so a window over one range sees every
 neighbour. The bounds only decide where a row is handled; they never change a result.
+
+The bounds are broadcast, so there are MOST_RANGES ranges at most: a table of more than that many times rows_per_range
+rows has longer ranges, which a task sorts with spilling and reads in order, holding few rows at a time. The sample that
+the bounds come from is put in order by one task; it has about SAMPLE keys a range, and MOST_SAMPLED at most.
+
+Defined cases: rows with equal keys lie in one range, and are neighbours of each other; fields of the key may be null
+(they come first); an empty table gives an empty result; further columns are carried through.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ from .common import Workspace
 SAMPLE = 24
 #: The table of bounds that is broadcast has at most so many entries.
 MOST_RANGES = 65536
+MOST_SAMPLED = 1 << 19
 
 
 def _lookup(bounds: Column, step: Column, key: Column) -> Column:
@@ -28,14 +36,15 @@ def _lookup(bounds: Column, step: Column, key: Column) -> Column:
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inside)
 
 
-def dealt(df: DataFrame, key: Column, rows_per_range: int, space: Workspace, *, before: bool, after: bool, wrap: bool) -> DataFrame:
-    """df with _rs_range int and _rs_ghost int: 0 for the row itself, 1 for a copy that follows its range's rows
-    (the first row of the next range), -1 for one that precedes them. key: one orderable column, not null itself."""
+def dealt(df: DataFrame, key: Column, rows_per_range: int, space: Workspace, *, before: bool, after: bool, wrap: bool) -> tuple[DataFrame, int]:
+    """df with _rs_range int and _rs_ghost int, and the number of ranges. _rs_ghost is 0 for the row itself, 1 for a copy
+    that follows its range's rows (the first row of the next range), -1 for one that precedes them. key: one orderable
+    column, not null itself."""
     thin = df.select(key.alias("k"))
     n = thin.count()
     ranges = min(MOST_RANGES, max(1, -(-n // rows_per_range)))
-    share = min(1.0, SAMPLE * ranges / max(n, 1))
-    picked = thin.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    share = min(1.0, min(MOST_SAMPLED, SAMPLE * ranges) / max(n, 1))
+    picked = thin.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
     step = max(1, int(ranges**0.5))
     every = picked.agg(F.sort_array(F.collect_list("k")).alias("s")).select(
         F.expr(f"transform(filter(sequence(1, {ranges}), i -> i < {ranges} and size(s) > 0), i -> s[cast(floor(cast(i as double) * size(s) / {ranges}) as int)])").alias("b")
@@ -64,7 +73,8 @@ def dealt(df: DataFrame, key: Column, rows_per_range: int, space: Workspace, *,
         copies.append(F.when(to_next, F.struct(F.col("_rs_next").alias("r"), F.lit(-1).alias("g"))))
     joined = ranged.join(ends, F.col("_rs_range") == F.col("_rs_at"))
     spread = joined.withColumn("_rs_to", F.explode(F.filter(F.array(*copies), lambda c: c.isNotNull())))
-    return spread.withColumns({"_rs_range": F.col("_rs_to.r"), "_rs_ghost": F.col("_rs_to.g")}).drop("_rs_to", "_rs_at", "_rs_low", "_rs_high", "_rs_prev", "_rs_next", "_rs_last")
+    spread = spread.withColumns({"_rs_range": F.col("_rs_to.r"), "_rs_ghost": F.col("_rs_to.g")})
+    return spread.drop("_rs_to", "_rs_at", "_rs_low", "_rs_high", "_rs_prev", "_rs_next", "_rs_last"), ranges
 
 
 def within(*tie: str) -> W:
