@@ -4,12 +4,15 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from refsift.llm import exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, pieces, quality, queries, sharding, url_filter
@@ -88,6 +91,29 @@ def test_multi_index_guarantee():
     assert all(set(x) & set(y) for x, y in zip(near_dedup.keys(a).tolist(), near_dedup.keys(b).tolist(), strict=True))
 
 
+def test_pairs_within_the_guaranteed_distance_are_confirmed():
+    """However much the other symbols differ."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 65536, (300, near_dedup.SYMBOLS)).astype(np.uint16)
+    b = a.copy()
+    for k, row in enumerate(b):
+        row[rng.choice(near_dedup.SYMBOLS, near_dedup.SURE + (k >= 200), replace=False)] ^= 1
+    rest = rng.integers(0, 256, (300, near_dedup.MORE)).astype(np.uint8)
+    assert near_dedup.near((a, rest), (b, rest ^ 1)).tolist() == list(range(200))
+    both = np.concatenate([a, b])
+    shared = [set(x) & set(y) for x, y in zip(near_dedup.keys(a).tolist(), near_dedup.keys(b).tolist(), strict=True)]
+    rows = []
+    for k in range(200):
+        for key in sorted(shared[k]):
+            rows += [(key, k, both[k], bytes(near_dedup.WIDE)), (key, 1000 + k, b[k], b"\1" * near_dedup.WIDE)]
+    rows.sort(key=lambda r: (r[0], r[1]))
+    columns = [pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), *[pa.array([0] * len(rows), pa.int32())] * 3]
+    columns += [*[pa.array([r[1] for r in rows], pa.int64())] * 2, pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "one", "two", "block", "rep", "comp", "first", "wide"])
+    found = [(x, y) for out in near_dedup._across(iter([batch])) for x, y in zip(*(out.column(c).to_pylist() for c in (0, 1)), strict=True)]
+    assert sorted(found) == [(k, 1000 + k) for k in range(200)]  # each once
+
+
 def test_pairs_of_groups():
     sizes = np.array([1, 4, 2, 7])
     got = sorted((int(i), int(j)) for a, b in near_dedup._of_groups(sizes, 5) for i, j in zip(a, b, strict=True))
@@ -119,6 +145,8 @@ def test_language_entropy_by_brute_force():
     samples = {"x": "abra kadabra alakazam", "y": "lorem ipsum dolor sit amet"}
     model = language_id.Model(samples)
     some = ["Kadabra!", "dolor, lorem 12 amet", "zzz", "abra " * 200, "a", "", None, "123"]
+    rng = random.Random(12)
+    some += ["".join(rng.choice(("abra", "kada", "lorem ", "psu", "z", " ")) for _ in range(rng.randint(1, 900))) for _ in range(30)]
     letters, bits = model.entropies(some)
 
     def symbols(t):
@@ -129,14 +157,12 @@ def test_language_entropy_by_brute_force():
         assert letters[i] == sum(c.isalpha() for c in s)
         for k, name in enumerate(sorted(samples)):
             sample = symbols(samples[name])
-            phrases = 0
-            for at in range(0, len(s), language_id.BLOCK):
-                block, here = s[at : at + language_id.BLOCK], 0
-                while here < len(block):
-                    end = here + 1
-                    while end < len(block) and block[here : end + 1] in sample:
-                        end += 1
-                    here, phrases = end, phrases + 1
+            phrases = here = 0
+            while here < len(s):
+                end = here + 1
+                while end < len(s) and s[here : end + 1] in sample:
+                    end += 1
+                here, phrases = end, phrases + 1
             if letters[i]:
                 assert bits[i, k] == pytest.approx(phrases * math.log2(len(sample)) / len(s))
 
@@ -148,10 +174,40 @@ def test_language_sample_is_of_many_texts(spark):
     samples, clean = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
     inside, apart = samples["xx"], set(clean["xx"])
-    assert all((t in apart) != (t.split()[0] in set(inside.split())) for i, t, _ in rows if i not in held)
+    assert all(any(x in t for x in apart) != (t.split()[0] in set(inside.split())) for i, t, _ in rows if i not in held)
     assert inside.count("hot") < 0.1 * len(inside.split()) and len(inside) <= language_id.LETTERS + len(rows)
 
 
+def test_language_of_long_texts_is_learned(spark):
+    """No row is left out of the sample for its length, and its parts may come from anywhere in it."""
+    rng = random.Random(9)
+
+    def words(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+    rows = [(i, words("abcdefgh", 9000), "long") for i in range(12)] + [(100 + i, words("qrstuvwx", 30), "short") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(r[1]) for r in rows[:12]) > 40_000
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    samples, _ = language_id.sample(docs)
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    starts = [t.find(part) for i, t, _ in rows[:12] if i not in held for part in samples["long"].split("\n") if part in t]
+    assert len(starts) >= 5 and max(starts) > 8192
+
+
+def test_double_array():
+    rng = np.random.default_rng(5)
+    for size, n in ((4, 300), (3000, 2000)):
+        symbols = rng.integers(0, size, n)
+        nexts = language_id.suffix_automaton(symbols)
+        places, end = language_id.places_of(nexts, size)
+        used = [(places[s] + c) for s in range(1, len(nexts)) for c in nexts[s]]
+        assert len(used) == len(set(used)) and max(used) < end <= 2 * len(used) + 2 * size
+        inner = [places[s] for s in range(1, len(nexts)) if nexts[s]]
+        assert len(inner) == len(set(inner)) and end not in inner
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = language_id.identify(docs).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").where("held_out and n > 40").collect()
@@ -230,6 +286,13 @@ def test_best_cuts_by_brute_force():
         assert cost(cuts) == best[len(places) - 1]
 
 
+def test_every_sentence_end_is_a_cut_place():
+    stops = np.array([3, 5, 6, 20, 21, 22, 23, 90])
+    places, penalty = packing.cut_places(100, np.array([50, 100]), stops)
+    assert set(stops) <= set(places.tolist())
+    assert all(penalty[np.searchsorted(places, s)] == packing.SENTENCE for s in stops)
+
+
 def test_packing_contract(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 6000)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -306,7 +369,7 @@ def test_quality_first_layer_is_linear():
     assert np.allclose(model.score(data, at), quality._sigmoid(network._logits(z) / network.temperature), atol=1e-4)
 
 
-PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body>{}"
+PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body>HERE"
 
 
 @pytest.mark.parametrize(
@@ -314,16 +377,16 @@ PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var
     [
         ("<nav><p>menu</p></nav><article><h1>Head &amp; co</h1><p><b>a\n b<br>c<br><p>d&nbsp;e</article><footer>f</footer>", "Head & co\n\na b c\n\nd e"),
         ('<div class="ad">buy</div><main><p>x</p><div id="comments">c</div><aside>s</aside><form>q</form><p>y</main>', "x\n\ny"),
-        ("<header>h</header><p>only</p><div class='cookie-notice'>n</div><div hidden>z</div>", "only"),
+        ("<header>h</header><p>only</p><div class='cookie-notice'>n</div><div class=related>z</div>", "only\n\nz"),
         ("<nav>never closed<article>a<!-- <p>no</p> --><p>b</article>", "a\n\nb"),
         ("<article><header><h1>title</h1></header><p>1 &lt; 2 <a href='x>y'>go</a></p></article>", "title\n\n1 < 2 go"),
-        ("<article><ul><li>one<li>two</ul><div style='display:none'>h</div></article></body></html>", "one\n\ntwo"),
+        ("<article><ul><li>one<li>two</ul><div id=login>h</div><button>b</button></article></body></html>", "one\n\ntwo\n\nh\n\nb"),
         ("", ""),
         ("plain <i>te</i>xt", "plain text"),
     ],
 )
 def test_markup(html, text):
-    found = html_text.main_text(html_text.blocks(PAGE.replace("{}", html, 1).replace("{}", "")), [])
+    found = html_text.main_text(html_text.blocks(PAGE.replace("HERE", html)), [])
     assert "\n\n".join(b.text for b in found) == text
 
 
@@ -419,10 +482,30 @@ def test_lookup_table():
         sharding.lookup_table(names, 1000)
 
 
+@pytest.mark.parametrize(("n", "slots"), [(1, 7), (3, 101), (7, 13), (256, 65537)])
+def test_lookup_table_by_whole_permutations(n, slots):
+    """The published fill, written out: every shard's whole permutation, and turns until no slot is free."""
+    names = sharding.shard_names(n)
+    digests = [hashlib.md5(x.encode()).hexdigest() for x in names]
+    want = [None] * slots
+    orders = []
+    for d in digests:
+        offset, skip = int(d[:16], 16) % slots, int(d[16:], 16) % (slots - 1) + 1
+        orders.append(iter(range(offset, offset + slots * skip, skip)))
+    for turn in range(slots):
+        slot = next(s % slots for s in orders[turn % n] if want[s % slots] is None)
+        want[slot] = turn % n
+    assert sharding.lookup_table(names, slots) == want
+
+
 def test_sharding_keeps_columns(spark):
     df = spark.createDataFrame([(1, "a", "old"), (None, "b", "old")], "doc_id long, text string, shard string")
     got = sharding.place(df, F.col("doc_id"), sharding.shard_names(4), slots=101)
-    assert got.columns == ["doc_id", "text", "slot", "shard"] and got.count() == 2
+    assert got.columns == ["doc_id", "text", "shard_input", "slot", "shard"] and got.count() == 2
+    assert {r["shard_input"] for r in got.collect()} == {"old"}
+    odd = spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, Slot string, slot_input string, SHARD string")
+    row = sharding.place(odd, F.col("doc_id"), sharding.shard_names(4), slots=101).first().asDict()
+    assert [*row] == ["doc_id", "Slot_input_", "slot_input", "SHARD_input", "slot", "shard"] and [*row.values()][1:4] == ["a", "b", "c"]
     assert got.where("doc_id is null").first()["slot"] == int(hashlib.md5(b"").hexdigest()[:15], 16) % 101
 
 
@@ -438,17 +521,43 @@ def test_fingerprints(spark):
         words = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
         return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
+    def hashed(seed, *values):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else struct.pack("<q", v), seed)
+        return seed - (seed >> 63 << 64)
+
+    def naive(t):
+        words = [hashed(42, w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower())]
+        found = set()
+        for k in range(len(words) - 4):
+            found.add(hashed(42, *words[k : k + 5]))
+        if 0 < len(words) < 5:
+            one = 0
+            for w in words:
+                one = hashed(42, one, w)
+            found.add(one)
+        assert len(found) == len(grams(t))
+        return sorted(found)[: fingerprints.K]
+
     def likeness(a, b):
+        x, y = naive(a), naive(b)
+        least = sorted({*x, *y})[: fingerprints.K]
+        return sum(h in x and h in y for h in least) / len(least) if least else 1.0
+
+    def truth(a, b):
         x, y = grams(a), grams(b)
-        return 1.0 if not x and not y else len(x & y) / len(x | y)
+        return len(x & y) / len(x | y) if x | y else 1.0
 
     for i, (t, nxt) in enumerate(zip(rows, rows[1:] + rows[:1], strict=True)):
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
         r = got[ids[i]]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == "".join(f"{h % (1 << 64):016x}" for h in naive(t)) and r["edited_fingerprint"] == "".join(f"{h % (1 << 64):016x}" for h in naive(edited))
         assert r["near_edited"] == pytest.approx(likeness(t, edited)) and r["near_next"] == pytest.approx(likeness(t, nxt))
-        assert len(r["fingerprint"]) == 16 * len(grams(t))
+        assert abs(r["near_edited"] - truth(t, edited)) < 0.2  # over 4 standard deviations of an estimate of 128 hashes
+        if len(grams(t)) < fingerprints.K:
+            assert r["distinct_shingles"] == len(grams(t))
 
 
 def test_sketches_merge_and_estimate(spark):
