@@ -370,6 +370,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
 
 
-def rejected(told: DataFrame) -> DataFrame:
-    """The rows of `predict` that language identification rejects: no letters, or unlike every language."""
-    return told.where((F.col("lang_pred") == "und") | F.col("strange"))
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs with all their columns but those that language identification rejects, each judged by its own
+    text: no letters, or unlike every language."""
+    model_of = shipped(docs.sparkSession, model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of()
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            sizes = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
+            for i, j in slices(sizes):
+                language, _, _, strange = model.predict(texts[i:j])
+                yield batch.slice(i, j - i).filter(pa.array(~strange & (np.array(language) != "und")))
+
+    return docs.mapInArrow(run, docs.schema)

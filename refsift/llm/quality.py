@@ -291,6 +291,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The rows of docs with all their columns that score cut or more, each judged by its own text."""
+    model_of = shipped(docs.sparkSession, model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of()
+        for batch in batches:
+            data, offsets = string_buffers(batch.column(place))
+            for i, j in slices(offsets):
+                found = model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield batch.slice(i, j - i).filter(pa.array(found >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's row for every document."""
     told = score(docs, fit(docs, labels))
