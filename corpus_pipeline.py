@@ -3,47 +3,45 @@
 STAGES is a list of (name, function); a function takes (spark, docs, sf_dir) and returns a frame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents. Each stage works on
 all that its predecessor kept, and fits its model on those rows.
+
+Defined cases: rows are judged by their own text, so rows that share an id, or have none, don't share their fate in the
+two filters; further columns are carried through up to packing, which returns its own; an empty table gives an empty
+result of every stage. What null and empty texts get is said at each stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from refsift.llm import exact_dedup, language_id, near_dedup, packing, quality
 from refsift.llm.common import Workspace, table
 from refsift.llm.queries import vocabulary
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows whose id (null included) is in ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_rs_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rs_id")), "left_anti")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or unlike every learned language, go."""
-    told = language_id.predict(docs, language_id.fit(docs))
-    return _without(docs, Workspace(spark, "language").cut(language_id.rejected(told).select("doc_id")))
+    """Documents without letters (null and empty texts too), or unlike every learned language, go; without any labelled
+    row no language is known and all go."""
+    return language_id.keep(docs, language_id.fit(docs))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of low quality go."""
-    told = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, Workspace(spark, "quality").cut(told.where(F.col("score") < quality.CUT).select("doc_id")))
+    """Documents that the classifier predicts to be of low quality go, null and empty texts among them."""
+    return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts one row stays, of null, empty and blank texts too."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays."""
+    """Of each group of near-duplicates one document stays; texts without words are in no group, nor are rows without
+    an id."""
     return near_dedup.deduplicate(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null or empty text is one id."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
