@@ -57,6 +57,33 @@ def has_term(text: Column, terms: Sequence[str]) -> Column:
     return text.rlike("|".join(f"(?:{term_pattern(t)})" for t in terms))
 
 
+def term_hits(text: Column, terms: Sequence[str]) -> Column:
+    """Those of the terms (lower-cased) that occur in the lower-cased text. One-word terms are looked up among the words
+    of the text, which is cut into words once; only phrases need a pattern each."""
+    known = list(dict.fromkeys(t.lower() for t in terms))
+    single = [t for t in known if re.fullmatch(r"\w+", t)]
+    found = F.array().cast("array<string>")
+    if single:
+        found = F.array_intersect(F.split(text, rf"[^{WORD}]+"), F.array(*[F.lit(t) for t in single]))
+    phrases = [F.when(text.rlike(term_pattern(t)), F.lit(t)) for t in known if t not in set(single)]
+    return F.concat(found, F.filter(F.array(*phrases), lambda t: t.isNotNull())) if phrases else found
+
+
+def hits_any(hits: Column, terms: Sequence[str]) -> Column:
+    """Whether `term_hits` found any of the terms."""
+    return F.coalesce(F.arrays_overlap(hits, F.array(*[F.lit(t.lower()) for t in terms])), F.lit(False)) if terms else F.lit(False)
+
+
+def hits_count(hits: Column, terms: Sequence[str]) -> Column:
+    """How many of the terms `term_hits` found."""
+    return reduce(lambda a, b: a + b, [F.array_contains(hits, t.lower()).cast("int") for t in terms], F.lit(0))
+
+
+def once(c: Column) -> Column:
+    """c, worked out once a row: what reads or filters on it later is not rewritten to the expression itself."""
+    return F.explode(F.array(c))
+
+
 def count_terms(text: Column, terms: Sequence[str]) -> Column:
     """How many of the terms occur."""
     return reduce(lambda a, b: a + b, [text.rlike(term_pattern(t)).cast("int") for t in terms], F.lit(0))

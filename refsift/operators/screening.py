@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine
-from ..functions.text import count_terms, evaluation_text, has_term
+from ..functions.text import evaluation_text, hits_any, hits_count, once, term_hits
 from ..plans.scope import Scope
 from ..schema import DIRECT, OFF_TOPIC, TANGENTIAL
 
@@ -30,16 +30,22 @@ def review_like(pub_type: Column, title: Column) -> Column:
     return F.coalesce(F.lower(F.trim(pub_type)).isin(*REVIEW_TYPES), F.lit(False)) | F.coalesce(title.rlike(REVIEW_TITLE), F.lit(False))
 
 
-def blocks_hit(text: Column, scope: Scope) -> Column:
-    return reduce(lambda a, b: a + b, [has_term(text, b.terms).cast("int") for b in scope.blocks], F.lit(0))
+def all_terms(scope: Scope) -> list[str]:
+    """Every term that the cascade or the ranking looks for in a record's text."""
+    lists = [b.terms for b in scope.blocks] + [t for a in scope.axes for t in (a.keywords, a.synonyms)]
+    return [t for terms in (*lists, scope.direct_terms, scope.application_terms, scope.domain_terms) for t in terms]
 
 
-def axes_of(text: Column, scope: Scope) -> Column:
+def blocks_hit(hits: Column, scope: Scope) -> Column:
+    return reduce(lambda a, b: a + b, [hits_any(hits, b.terms).cast("int") for b in scope.blocks], F.lit(0))
+
+
+def axes_of(hits: Column, scope: Scope) -> Column:
     """Names of the axes that a keyword or synonym of hits, in the scope's order."""
     if not scope.axes:
         return F.array().cast("array<string>")
-    hits = [F.when(has_term(text, [*a.keywords, *a.synonyms]), F.lit(a.name)) for a in scope.axes]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    found = [F.when(hits_any(hits, [*a.keywords, *a.synonyms]), F.lit(a.name)) for a in scope.axes]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def screen(refs: DataFrame, scope: Scope) -> DataFrame:
@@ -49,18 +55,23 @@ def screen(refs: DataFrame, scope: Scope) -> DataFrame:
     reach them."""
     on_doubt = scope.modality != "pesquisa-base"
     text = evaluation_text(F.col("title"), F.col("abstract"), F.col("journal"))
-    told = refs.withColumn("_text", text)
-    t = F.col("_text")
+    seen = F.struct(
+        term_hits(text, all_terms(scope)).alias("hits"),
+        term_hits(F.lower(F.coalesce(F.col("title"), F.lit(""))), scope.off_topic_terms).alias("title"),
+        (~text.rlike(r"\S")).alias("blank"),
+    )
+    told = refs.withColumn("_seen", once(seen))
+    hits = F.col("_seen.hits")
     told = told.withColumns(
         {
-            "_k": blocks_hit(t, scope),
-            "_direct": has_term(t, scope.direct_terms),
-            "_out": has_term(F.lower(F.coalesce(F.col("title"), F.lit(""))), scope.off_topic_terms),
-            "_axes": axes_of(t, scope),
+            "_k": blocks_hit(hits, scope),
+            "_direct": hits_any(hits, scope.direct_terms),
+            "_out": hits_any(F.col("_seen.title"), scope.off_topic_terms),
+            "_axes": axes_of(hits, scope),
         }
     )
     k, direct = F.col("_k"), F.col("_direct")
-    blank = ~t.rlike(r"\S")
+    blank = F.col("_seen.blank")
     not_review = F.lit(scope.modality == "meta-revisao") & ~review_like(F.col("pub_type"), F.col("title"))
     closing = (
         F.when(blank, F.lit("no_text"))
@@ -98,25 +109,27 @@ def screen(refs: DataFrame, scope: Scope) -> DataFrame:
             "mapped_axes": F.when(active & ~closed & (F.col("_level") != OFF_TOPIC), F.col("_axes")).otherwise(F.coalesce(F.col("mapped_axes"), F.array().cast("array<string>"))),
         }
     )
-    return out.drop("_text", "_k", "_direct", "_out", "_axes", "_closed", "_level", "_method")
+    return out.drop("_seen", "_k", "_direct", "_out", "_axes", "_closed", "_level", "_method")
 
 
 def rank(refs: DataFrame, scope: Scope) -> DataFrame:
     """relevance_score: 0 for duplicates and off-topic rows."""
     text = evaluation_text(F.col("title"), F.col("abstract"), F.col("journal"))
+    refs = refs.withColumn("_hits", once(term_hits(text, [*scope.application_terms, *scope.domain_terms, *scope.direct_terms])))
+    hits = F.col("_hits")
     year, cites = F.coalesce("year", F.lit(0)), F.coalesce(F.col("citation_count"), F.lit(0)).cast("double")
     recency = F.when(year >= 2025, 3).when(year >= 2023, 2).when(year >= 2021, 1).otherwise(0)
     score = (
         3.0 * F.size("mapped_axes")
-        + 2.0 * count_terms(text, scope.application_terms)
-        + 1.0 * count_terms(text, scope.domain_terms)
-        + 0.5 * F.least(count_terms(text, scope.direct_terms), F.lit(5))
+        + 2.0 * hits_count(hits, scope.application_terms)
+        + 1.0 * hits_count(hits, scope.domain_terms)
+        + 0.5 * F.least(hits_count(hits, scope.direct_terms), F.lit(5))
         + recency
         + F.when(F.coalesce(F.col("is_open_access"), F.lit(False)), 2.0).otherwise(0.0)
         + F.least(cites / 50.0, F.lit(5.0))
     )
     idle = F.col("is_duplicate") | (F.col("relevance") == OFF_TOPIC)
-    return refs.withColumn("relevance_score", F.when(idle, 0.0).otherwise(F.bround(score, 2)))
+    return refs.withColumn("relevance_score", F.when(idle, 0.0).otherwise(F.bround(score, 2))).drop("_hits")
 
 
 def landmark_threshold(refs: DataFrame, cites: str = "citation_count") -> DataFrame:
