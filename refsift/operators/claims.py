@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MAGNITUDES, pt_number, transition_holds
@@ -210,8 +209,3 @@ def verify(claims: DataFrame, contents: DataFrame, keywords: Column | None = Non
     )
     risk = F.element_at(F.create_map(*[F.lit(v) for kv in RISK_OF_STATUS.items() for v in kv]), F.col("status"))
     return out.withColumn("status", status).withColumn("risk", risk).select(*claims.columns, "status", "risk", F.coalesce("source_level", F.lit("none")).alias("source_level"))
-
-
-def between_citations(paragraphs: DataFrame) -> DataFrame:
-    """Spans (doc, paragraph, start, end) -> the end of the span before each: a lag within its paragraph."""
-    return paragraphs.withColumn("since", F.coalesce(F.lag("end").over(W.partitionBy("doc", "paragraph").orderBy("start")), F.lit(0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +14,8 @@ from ..functions.similarity import indel, may_reach
 from ..functions.text import filled, norm_doi, stripped
 
 DUPLICATE, SUSPECT = 90, 80
+#: Signs whose numbers are compared before two titles are: common letters by themselves, the others in groups.
+BAGS = ("e", "a", "i", "o", "n", "r", "s", "t", "d", "l", "u", "c", "mp", "gbf", "hvyk", "wqxzj", " ", "0123456789")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,6 +23,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{os.path.join(os.environ.get('TMPDIR', '/tmp'), 'refsift-cuts')}"  # one machine, tests
     path = f"{base.rstrip('/')}/records-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -77,9 +82,12 @@ def candidate_pairs(refs: DataFrame) -> DataFrame:
     """Pairs that can reach SUSPECT: blocked by year (adjacent or unknown) and by a band of title lengths.
 
     Titles alike to 80 differ in length by a factor of 1.5 at most, so equal or adjacent bands of log(length) to the
-    base of 1.5 hold every pair. Rows without a year meet every year's rows of their bands, by a join of their own."""
+    base of 1.5 hold every pair. Of those pairs most go by counts of signs, which are a few integers a row. Rows without a year meet every year's rows of their bands, by a join of their own."""
+    t = F.lower("title")
+    counts = [F.length(t) - F.length(F.translate(t, signs, "")) for signs in BAGS]
     base = refs.where(~F.col("is_duplicate") & (F.length("title") > 0)).select(
         "_seq",
+        *[c.alias(f"bag{i}") for i, c in enumerate(counts)],
         F.lower("title").alias("t"),
         F.nullif(F.col("year"), F.lit(0)).alias("y"),
         F.lower(F.get("authors", F.lit(0))).alias("au"),
@@ -90,7 +98,12 @@ def candidate_pairs(refs: DataFrame) -> DataFrame:
     known_l, known_r = left.where("y_a is not null"), right.where("y_b is not null")
     years = known_l.withColumn("year", F.explode(F.array(F.col("y_a") - 1, F.col("y_a"), F.col("y_a") + 1))).join(known_r.withColumn("year", F.col("y_b")), ["year", "band"]).drop("year")
     unknown = left.where("y_a is null").join(right, "band").unionByName(known_l.join(right.where("y_b is null"), "band"))
-    return years.unionByName(unknown).where((F.col("_seq_a") < F.col("_seq_b")) & may_reach(F.col("t_a"), F.col("t_b"), 80))
+    ordered = F.col("_seq_a") < F.col("_seq_b")
+    # every insertion or deletion changes one count by one
+    apart = reduce(lambda x, y: x + y, [F.abs(F.col(f"bag{i}_a") - F.col(f"bag{i}_b")) for i in range(len(BAGS))])
+    bags = apart * 100 <= (F.length("t_a") + F.length("t_b")) * (100 - SUSPECT)
+    met = years.unionByName(unknown).where(ordered & bags & may_reach(F.col("t_a"), F.col("t_b"), SUSPECT))
+    return met.drop(*[f"bag{i}_{side}" for i in range(len(BAGS)) for side in "ab"])
 
 
 def scored_pairs(refs: DataFrame) -> DataFrame:

@@ -26,19 +26,21 @@ def number_candidates(contents: DataFrame, reach: int = 150) -> DataFrame:
     clean = contents.select("number", searchable(F.col("content")).alias("text"))
     pattern = r"((?:(?:US?\$|R\$|\$)\s*)?(?:\d[\d,.']*\d|\d)(?:\s*%)?)"
     parts = clean.withColumns({"gaps": F.split("text", pattern), "hits": F.regexp_extract_all("text", F.lit(pattern), 1)})
-    one = parts.select("number", "gaps", "hits", F.posexplode("hits").alias("ordinal", "hit"))
-
-    def around(side: str) -> Column:
-        o = F.col("ordinal")
-        # signs beside the number: a few gaps and numbers are enough, and the cut is by signs
-        at = F.sequence(F.greatest(o - 40, F.lit(0)), o) if side == "left" else F.sequence(o + 1, F.least(o + 40, F.size("hits")))
-        if side == "left":
-            joined = F.array_join(F.transform(at, lambda i: F.concat(F.get("gaps", i), F.when(i < o, F.get("hits", i)).otherwise(""))), "")
-            return F.substring(joined, F.greatest(F.length(joined) - reach + 1, F.lit(1)), F.lit(reach))
-        joined = F.array_join(F.transform(at, lambda i: F.concat(F.get("gaps", i), F.coalesce(F.get("hits", i), F.lit("")))), "")
-        return F.substring(joined, 1, reach)
-
-    one = one.withColumns({"before": around("left"), "after": around("right")})
+    # a number has a sign of its own and one beside it, so so many on either side hold all signs within reach
+    far = reach // 2 + 1
+
+    def before(o: Column) -> Column:
+        at = F.sequence(F.greatest(o - far, F.lit(0)), o)
+        joined = F.array_join(F.transform(at, lambda i: F.concat(F.get("gaps", i), F.when(i < o, F.get("hits", i)).otherwise(""))), "")
+        return F.substring(joined, F.greatest(F.length(joined) - reach + 1, F.lit(1)), F.lit(reach))
+
+    def after(o: Column) -> Column:
+        at = F.sequence(o + 1, F.least(o + far, F.size("hits")))
+        return F.substring(F.array_join(F.transform(at, lambda i: F.concat(F.get("gaps", i), F.coalesce(F.get("hits", i), F.lit("")))), ""), 1, reach)
+
+    # the places beside a number are cut out before the rows are spread, so no row carries its whole text along
+    spans = F.transform("hits", lambda h, o: F.struct(o.alias("ordinal"), h.alias("hit"), before(o).alias("before"), after(o).alias("after")))
+    one = parts.select("number", F.explode(spans).alias("s")).select("number", "s.*")
     raw = F.regexp_extract("hit", r"(\d[\d,.']*\d|\d)", 1)
     context = F.concat("before", "hit", "after")
     near = F.concat(F.substring("before", F.greatest(F.length("before") - 14, F.lit(1)), F.lit(15)), F.col("hit"), F.substring("after", 1, 15))

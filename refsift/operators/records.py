@@ -48,7 +48,7 @@ def classify(refs: DataFrame, tiers: DataFrame) -> DataFrame:
     return told.withColumns({"domain": F.when(unknown & pmid, F.coalesce(filled(F.col("domain")), F.lit("pubmed"))).otherwise(F.col("domain")), "tier": tier})
 
 
-def pendencies(df: DataFrame | None = None) -> Column:
+def pendencies() -> Column:
     """Codes of what a person must still settle, in order. Only an explicit false counts, not a null."""
     no = lambda c: F.col(c).eqNullSafe(F.lit(False))
     nothing = filled(F.col("doi")).isNull() & filled(F.col("pmid")).isNull() & filled(F.col("verified_via")).isNull()

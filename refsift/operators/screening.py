@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine
@@ -132,15 +131,27 @@ def rank(refs: DataFrame, scope: Scope) -> DataFrame:
     return refs.withColumn("relevance_score", F.when(idle, 0.0).otherwise(F.bround(score, 2))).drop("_hits")
 
 
-def landmark_threshold(refs: DataFrame, cites: str = "citation_count") -> DataFrame:
+def landmark_threshold(refs: DataFrame, cites: str = "citation_count", most: int = 1 << 16) -> DataFrame:
     """One row: the citation count at rank max(1, n div 10) of the rows with citations; null without any.
 
-    Found from counts by value, so no task sorts all rows: the table of values has a row for each distinct count."""
-    values = refs.where(F.col(cites) > 0).groupBy(F.col(cites).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    down = W.orderBy(F.desc("v"))
-    ranked = values.withColumns({"upto": F.sum("n").over(down), "total": F.sum("n").over(W.partitionBy())})
-    at = F.greatest(F.lit(1), F.floor(F.col("total") / 10))
-    return ranked.where(F.col("upto") >= at).agg(F.max("v").alias("threshold"))
+    No task sees all values: counts by 1,024 equal parts of the range tell which part holds the rank, and that part is
+    divided anew until it has at most `most` rows, or one value. Values must differ as doubles if they differ."""
+    values = refs.where(F.col(cites) > 0).select(F.col(cites).alias("v"))
+    x = F.col("v").cast("double")
+    total, low, high = values.agg(F.count(F.lit(1)), F.min(x), F.max(x)).first()
+    rank, inside = max(1, total // 10), total
+    while inside > most and low < high:
+        part = F.least(F.floor((x - F.lit(low)) / F.lit((high - low) / 1024)), F.lit(1023))
+        parts = values.where(x.between(low, high)).groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("a"), F.max(x).alias("b"))
+        for r in sorted(parts.collect(), key=lambda r: -r["p"]):  # 1,024 rows at most
+            if rank <= r["n"]:
+                low, high, inside = r["a"], r["b"], r["n"]
+                break
+            rank -= r["n"]
+    left = values.where(x.between(low, high)) if total else values
+    if total and low < high:
+        left = left.orderBy(F.desc("v")).limit(rank)
+    return left.agg(F.min("v").alias("threshold"))
 
 
 def mark_landmarks(refs: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from ..functions.text import filled, stripped
 LEAST_XML, LEAST_PAGE, LEAST_SNAPSHOT = 500, 200, 200
 #: Levels in the order in which they are preferred.
 LEVELS = ("cache", "local", "pmc", "pubmed_abstract", "crossref_abstract")
-MOST_CACHED = 50_000
 
 
 def xml_sections(xml: Column) -> Column:
@@ -41,13 +40,18 @@ def article_text(html: Column) -> Column:
 
 def resolve(works: DataFrame, found: DataFrame) -> DataFrame:
     """works: number, ref_type; found: number, level (one of LEVELS), content. number, content, source_level: the content
-    of the first level that has one. Web pages and legislation have none by rule; abstracts are abstracts."""
+    of the first level that has one, whole. Web pages and legislation have none by rule; abstracts are abstracts."""
     order = F.array_position(F.array(*[F.lit(v) for v in LEVELS]), F.col("level"))
     best = found.where("length(content) > 0").groupBy("number").agg(F.min_by(F.struct("level", "content"), order).alias("b"))
     out = works.join(best, "number", "left")
     closed = F.coalesce(F.col("ref_type").isin("web", "legislation"), F.lit(False))
     level = F.when(closed | F.col("b").isNull(), "none").when(F.col("b.level").endswith("_abstract"), "abstract").otherwise("full_text")
-    return out.select("number", F.when(~closed, F.substring("b.content", 1, MOST_CACHED)).alias("content"), level.alias("source_level"))
+    return out.select("number", F.when(~closed, F.col("b.content")).alias("content"), level.alias("source_level"))
+
+
+def cached(contents: DataFrame, most: int = 50_000) -> DataFrame:
+    """What a content cache stores: the first `most` signs. Checks read the whole contents, never this."""
+    return contents.withColumn("content", F.substring("content", 1, most))
 
 
 def name_words(c: Column) -> Column:

@@ -60,8 +60,11 @@ def screening_batch(refs: DataFrame, abstract: int = 1800) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A report's table; for frames of a few rows (enumerations, axes, heads of lists)."""
-    rows = df.limit(most).collect()
+    """A report's table; for frames of a few rows (enumerations, axes, heads of lists). More than `most` rows are an
+    error: such a frame is written as a table instead."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no report; write the frame as a table")
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return "\n".join([head, *["| " + " | ".join("" if v is None else f"{v:.1f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]])
 

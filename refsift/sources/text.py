@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import pt_number  # noqa: F401  re-exported for readers of decimal commas
 from ..functions.text import dois, filled, stripped
+from ..operators.dedup import cut
 
 RIS_TAG = r"^([A-Z][A-Z0-9])  ?- ?(.*)$"
 
@@ -49,7 +49,11 @@ def ris(files: DataFrame, label: str) -> DataFrame:
 
     authors = F.when(F.size(all_of("AU")) > 0, all_of("AU")).otherwise(all_of("A1"))
     found = tags.withColumn("title", first("TI", "T1")).where("title is not null")
-    numbered = found.withColumn("_seq", F.row_number().over(W.orderBy("file", "record")).cast("long"))
+    # numbered file by file, from the counts of the files before; only the counts are put in order by one task
+    counts = found.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+    since = counts.select("file", (F.sum("_n").over(W.orderBy("file")) - F.col("_n")).alias("_since"))
+    place = F.row_number().over(W.partitionBy("file").orderBy("record"))
+    numbered = found.withColumn("_place", place).join(since, "file").withColumn("_seq", (F.col("_since") + F.col("_place")).cast("long")).drop("_place", "_since")
     pages = F.when(first("SP").isNotNull() & first("EP").isNotNull(), F.concat(first("SP"), F.lit("-"), first("EP"))).otherwise(first("SP"))
     return numbered.select(
         "_seq",
@@ -74,7 +78,8 @@ def append_unique(base: DataFrame, new: DataFrame) -> DataFrame:
     taken = base.select(F.col("id").alias("_id")).distinct()
     out, last = new, base.agg(F.coalesce(F.max("_seq"), F.lit(0)).alias("_last"))
     out = out.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("_seq")) - 1).withColumn("id", F.concat("id", F.repeat(F.lit("b"), F.col("_n"))))
-    while True:
+    while True:  # one round for each `b` of the longest chain of taken ids; a round reads a written table
+        out = cut(out)
         hit = out.join(taken, F.col("id") == F.col("_id"), "left")
         if not hit.where("_id is not null").limit(1).count():
             break
@@ -162,6 +167,33 @@ def verdicts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good.where(ok), wrong.unionByName(bad.select(F.col("line").alias("_line"), F.lit("no JSON").alias("reason")))
 
 
-def seeds(files: DataFrame, most_texts: int = 20) -> DataFrame:
+def seeds(files: DataFrame) -> DataFrame:
     """Distinct DOIs of Markdown files in order, to be looked up."""
     return files.select("file", F.posexplode(dois(F.col("text"))).alias("at", "doi"))
+
+
+def text_references(files: DataFrame, most: int | None = 20) -> DataFrame:
+    """file, at, raw, title, author: the reference lines of the first section of that name, which ends at the next
+    heading: numbered ones, and long ones that begin with a capitalised word. A list keeps its first `most` lines (the
+    feature's own limit; None for all)."""
+    rows = lines_of(files).withColumn("t", stripped(F.col("value")))
+    here = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("begins", F.col("t").rlike(r"(?i)^#+\s*(Referências|References|Bibliografia)"))
+    rows = rows.withColumn("since", F.min(F.when(F.col("begins"), F.col("line"))).over(here))
+    other = F.col("t").rlike(r"^#+\s") & ~F.col("begins") & F.col("since").isNotNull()
+    rows = rows.withColumn("over", F.max(other.cast("int")).over(here))
+    wanted = F.col("t").rlike(r"^(\d+[.)]\s|\[\d+\]\s)") | (F.col("t").rlike(r"^[A-Z][a-záàâã]") & (F.length("t") > 30))
+    found = rows.where((F.col("since") < F.col("line")) & ~F.col("begins") & (F.col("over") == 0) & wanted)
+    found = found.withColumn("at", F.row_number().over(W.partitionBy("file").orderBy("line")))
+    found = found if most is None else found.where(F.col("at") <= most)
+    return found.select("file", "at", F.col("t").alias("raw"), *title_author(F.col("t")))
+
+
+def title_author(raw: Column) -> tuple[Column, Column]:
+    """Of a reference's text, the first sentence after the first that is longer than 15 signs (else its first 100 signs),
+    and the word that it begins with, if capitalised."""
+    text = stripped(F.regexp_replace(raw, r"^(\d+[.)]\s|\[\d+\]\s)", ""))
+    parts = F.split(text, r"\.\s+")
+    long_ones = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.length(p) > 15)
+    title = F.coalesce(F.regexp_replace(F.get(long_ones, F.lit(0)), r"^\.+|\.+$", ""), F.substring(text, 1, 100))
+    return title.alias("title"), F.regexp_extract(text, r"^([A-Z][a-záàâãéèêíóòôõúç]+)", 1).alias("author")
