@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes or code points that are worked on at once; a longer text is worked on alone.
-SLICE = 1 << 21
+SLICE = 1 << 19
 _TABLE = 1 << 12
 
 
