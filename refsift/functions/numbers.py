@@ -100,3 +100,11 @@ def transition_holds(first: Column, second: Column, percent: Column, points: flo
     high, low = F.greatest(first, second), F.least(first, second)
     less, more = F.try_divide(high - low, high) * 100, F.coalesce(F.try_divide(high - low, low) * 100, F.lit(0.0))
     return F.when(high != 0, (F.abs(less - percent) <= points) | (F.abs(more - percent) <= points))
+
+
+def ref_range(c: Column) -> Column:
+    """`1,5,11-17` as sorted distinct numbers; parts that are no number or range are left out."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda p: F.trim(p))
+    ends = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d+)(?:\s*-\s*(\d+))?$", 1).try_cast("int").alias("a"), F.regexp_extract(p, r"^(\d+)(?:\s*-\s*(\d+))?$", 2).try_cast("int").alias("b")))
+    known = F.filter(ends, lambda e: e["a"].isNotNull() & (F.coalesce(e["b"], e["a"]) >= e["a"]))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(known, lambda e: F.sequence(e["a"], F.coalesce(e["b"], e["a"]))))))

@@ -149,3 +149,8 @@ def strip_html(c: Column) -> Column:
     """Text of markup by rules that any regular-expression engine knows: no scripts and styles, tags as spaces."""
     bare = F.regexp_replace(c, r"(?is)<(script|style|nav|header|footer)[^>]*>.*?</(script|style|nav|header|footer)>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def record_text(title: Column, abstract: Column, most: int = 1500) -> Column:
+    """What of a record is embedded; the limit is the embedding model's input, not the record's."""
+    return F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.substring(F.coalesce(abstract, F.lit("")), 1, most)))

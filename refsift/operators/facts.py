@@ -125,3 +125,39 @@ def grounded(fields: DataFrame, snapshots: DataFrame) -> DataFrame:
     """fields: issn_l, url, field, value, quote; snapshots: issn_l, url, text. Those whose quote is in the snapshot."""
     met = fields.join(snapshots, ["issn_l", "url"])
     return met.where((F.length("quote") > 0) & F.contains(collapsed(F.col("text")), collapsed(F.col("quote")))).select(*fields.columns)
+
+
+#: The registry's columns.
+FACTS = (
+    "_seq long, id string, ref_number int, ref_doi string, ref_title string, ref_content_hash string, fact_type string, status string, statement string,"
+    " exact_quote string, quote_context string, value double, unit string, original_format string, derivation_formula string, source_values array<double>,"
+    " calculated_result double, stated_result double, sections array<string>, tags array<string>, extracted_by string, extracted_at string,"
+    " source_level string, cross_validation_detail string, web_verified_at string, notes string"
+)
+
+
+def fact_id() -> Column:
+    """Eight hexadecimal digits of what a fact says, the same whenever it is told again."""
+    return F.substring(F.sha2(F.concat_ws("|", "ref_number", "fact_type", "statement", "exact_quote", F.col("value").cast("string"), "unit"), 256), 1, 8)
+
+
+def nearest(values: DataFrame, numbers: DataFrame) -> DataFrame:
+    """values: id, ref_number, value; numbers: ref_number, ordinal, value of a source. id, nearest: the number of its
+    source that is nearest to each value, of equals the first. A value's source has few numbers, so they are compared one
+    by one."""
+    n = numbers.select("ref_number", "ordinal", F.col("value").alias("_n"))
+    met = values.join(n, "ref_number").withColumn("_d", F.abs(F.col("_n") - F.col("value")))
+    return met.groupBy("id").agg(F.min_by("_n", F.struct("_d", "ordinal")).alias("nearest"))
+
+
+def warnings(context: Column) -> Column:
+    """What a number's context says about it: a bound, or an approximation."""
+    low = F.lower(context)
+    found = F.array(F.when(low.rlike("exceeding|more than|over"), F.lit("bound")), F.when(low.rlike("approximately|about|cerca de"), F.lit("approximate")))
+    return F.filter(found, lambda w: w.isNotNull())
+
+
+def tallies(facts: DataFrame) -> DataFrame:
+    """kind, value, n: facts by status, by type and by reference, sorted."""
+    parts = [facts.groupBy(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")) for k in ("status", "fact_type", "ref_number")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("kind", F.col("value").try_cast("int"), "value")

@@ -7,19 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import indel
+from ..functions.similarity import best_title, indel
 from ..functions.text import filled, host, suffixes
 from ..schema import DIRECT, OFF_TOPIC, TANGENTIAL
 
+NOWHERE = "no DOI or PubMed id, and the title was found in no service: check by hand before citing"
+
 # Publication types by tier.
 ACADEMIC_TYPES = ("journal-article", "proceedings-article", "book-chapter", "dissertation", "posted-content", "peer-review", "reference-entry", "monograph")
 REPORT_TYPES = ("report", "report-component", "dataset", "standard")
-#: A few general domains; projects pass their own table (domain, tier), which may be of any size.
-GENERAL_TIERS = {
-    "doi.org": "T1", "springer.com": "T1", "sciencedirect.com": "T1", "bmj.com": "T1", "plos.org": "T1", "scielo.br": "T1", "scielo.org": "T1",
-    "nature.com": "T1", "wiley.com": "T1", "who.int": "T2", "gov.br": "T2", "nih.gov": "T2", "un.org": "T2", "worldbank.org": "T2",
-    "oecd.org": "T2", "medium.com": "T4", "wordpress.com": "T4", "blogspot.com": "T4", "youtube.com": "T4", "linkedin.com": "T4",
-}
 
 
 def domain_tier(df: DataFrame, tiers: DataFrame, url: str = "url") -> DataFrame:
@@ -232,3 +228,57 @@ def validate(refs: DataFrame) -> DataFrame:
         F.when(F.col("grade") != grade(), F.lit("grade_differs")),
     )
     return active.select("id", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("fault"))
+
+
+def rescue_by_title(refs: DataFrame, pubmed: DataFrame, crossref: DataFrame, least: float = 90) -> DataFrame:
+    """Active rows without DOI and PubMed id get one by their title: pubmed and crossref are candidates (key: _seq, rank,
+    title, year, value), the first that is alike to `least` with an adjacent year counts, PubMed's before the other. What
+    is found nowhere gets an issue, once."""
+    lost = refs.where(~F.col("is_duplicate") & filled(F.col("doi")).isNull() & filled(F.col("pmid")).isNull())
+    wanted = lost.select(F.col("_seq").alias("key"), "title", F.nullif("year", F.lit(0)).alias("year"))
+    one = best_title(wanted, pubmed, least).select(F.col("key").alias("_seq"), F.col("value").alias("_pmid"))
+    two = best_title(wanted, crossref, least).select(F.col("key").alias("_seq"), F.col("value").alias("_doi"))
+    out = refs.join(wanted.select(F.col("key").alias("_seq"), F.lit(True).alias("_lost")), "_seq", "left").join(one, "_seq", "left").join(two, "_seq", "left")
+    by_pmid = F.col("_pmid").isNotNull()
+    by_doi = ~by_pmid & F.col("_doi").isNotNull()
+    nowhere = F.coalesce("_lost", F.lit(False)) & ~by_pmid & ~by_doi
+    issues = F.coalesce("verification_issues", F.array().cast("array<string>"))
+    return out.withColumns(
+        {
+            "pmid": F.when(by_pmid, F.col("_pmid")).otherwise(F.col("pmid")),
+            "doi": F.when(by_doi, F.col("_doi")).otherwise(F.col("doi")),
+            "verified_via": F.when(by_pmid, "title-pubmed").when(by_doi, "title-crossref").otherwise(F.col("verified_via")),
+            "verification_issues": F.when(nowhere, F.array_union(issues, F.array(F.lit(NOWHERE)))).otherwise(issues),
+        }
+    ).select(*refs.columns)
+
+
+def integrity(refs: DataFrame, answers: DataFrame) -> DataFrame:
+    """retracted and has_correction of active rows that are still open. answers: doi, resolves, is_retracted, was_updated;
+    what doesn't resolve, has no answer or no DOI is neither."""
+    a = answers.withColumn("_doi", F.lower("doi")).groupBy("_doi").agg(F.max(F.struct("resolves", "is_retracted", "was_updated")).alias("_a"))
+    out = refs.join(a, F.lower("doi") == F.col("_doi"), "left")
+    asked = ~F.col("is_duplicate") & filled(F.col("doi")).isNotNull() & F.col("retracted").isNull()
+    bare = ~F.col("is_duplicate") & filled(F.col("doi")).isNull()
+    told = lambda c: F.coalesce(F.col("_a.resolves"), F.lit(False)) & F.coalesce(F.col(f"_a.{c}"), F.lit(False))
+    return out.withColumns(
+        {
+            "retracted": F.when(asked, told("is_retracted")).when(bare, F.coalesce("retracted", F.lit(False))).otherwise(F.col("retracted")),
+            "has_correction": F.when(asked, told("was_updated")).when(bare, F.coalesce("has_correction", F.lit(False))).otherwise(F.col("has_correction")),
+        }
+    ).select(*refs.columns)
+
+
+def verification_stats(refs: DataFrame) -> DataFrame:
+    """One row of counters over the active rows that have an identifier."""
+    has = lambda issue: F.coalesce(F.exists("verification_issues", lambda x: x == issue), F.lit(False))
+    known = refs.where(~F.col("is_duplicate") & (filled(F.col("doi")).isNotNull() | filled(F.col("pmid")).isNotNull()))
+    return known.agg(
+        F.count_if(F.col("verified_via").isNotNull()).alias("verified"),
+        F.count_if("doi_resolves").alias("resolved"),
+        F.count_if("crossref_match").alias("titles_matched"),
+        F.count_if("authors_verified").alias("authors_matched"),
+        F.count_if(~F.col("authors_verified")).alias("authors_mismatched"),
+        F.count_if(has("journal")).alias("journal_mismatched"),
+        F.count_if(F.col("verified_via") == "pubmed").alias("pubmed_found"),
+    )

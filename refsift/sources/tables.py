@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import abstract_of, filled, norm_issn, stripped
+from ..operators.dedup import cut
 from ..operators.keyed import QUARTILES, STRATA, fold_strata
 from ..schema import conformed
 
@@ -90,13 +92,62 @@ def records_json(spark: SparkSession, path: str) -> DataFrame:
     return conformed(raw)
 
 
+#: Records that one source may give: their places in the union follow each other source by source.
+MOST_OF_A_SOURCE = 1 << 40
+
+
 def union_sources(frames: list[DataFrame]) -> DataFrame:
-    """UNION ALL in order; `_seq` runs on from frame to frame without a global sort: place in the frame, then frame."""
-    n = len(frames)
-    dealt = [f.withColumn("_seq", F.col("_seq") * n + i) for i, f in enumerate(frames)]
+    """UNION ALL in the order of the configuration: `_seq` runs through the first source, then the second, and so on.
+    Places leave gaps between sources, so nothing is counted or sorted."""
+    dealt = [f.withColumn("_seq", F.col("_seq") + F.lit(i * MOST_OF_A_SOURCE)) for i, f in enumerate(frames)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dealt)
 
 
+def search(spark: SparkSession, sources: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[DataFrame, DataFrame]:
+    """The union of the sources in order, and a log (position, source, records, error). A source that fails gives no rows
+    and an entry in the log; each is written down before the next is asked, so an error is its own."""
+    frames, log = [], []
+    for i, (name, read) in enumerate(sources):
+        try:
+            found = cut(conformed(read()))
+            log.append((i, name, found.count(), None))
+            frames.append(found)
+        except Exception as e:  # noqa: BLE001  whatever a connector raises is what the log is for
+            log.append((i, name, 0, f"{type(e).__name__}: {e}".splitlines()[0][:500]))
+            frames.append(conformed(spark.range(0).select(F.col("id").alias("_seq"))))
+    empty = conformed(spark.range(0).select(F.col("id").alias("_seq")))
+    return union_sources(frames or [empty]), spark.createDataFrame(log, "position int, source string, records long, error string")
+
+
+def claims_json(spark: SparkSession, path: str) -> DataFrame:
+    """claims[] of a claims report, in order; the text is read from claim_text, or from text where that is what there is."""
+    point = "struct<raw_text:string,value:double,unit:string,is_percentage:boolean>"
+    claim = f"struct<claim_text:string,text:string,claim_type:string,ref_numbers:array<int>,data_points:array<{point}>,has_calculation:boolean,status:string,fabrication_risk:string>"
+    raw = spark.read.schema(f"claims array<{claim}>").json(path, multiLine=True)
+    one = raw.select(F.posexplode("claims").alias("claim", "c"))
+    return one.select(
+        "claim", F.coalesce(filled(F.col("c.claim_text")), F.col("c.text")).alias("claim_text"), "c.claim_type", "c.ref_numbers", "c.data_points", "c.has_calculation", "c.status",
+        F.col("c.fabrication_risk").alias("risk"),
+    )
+
+
+def claim_values(claims: DataFrame) -> DataFrame:
+    """claim, ref_number, at, value: what facts.cross_check takes."""
+    each = claims.select("claim", F.posexplode("ref_numbers").alias("at", "ref_number"), "data_points")
+    return each.select("claim", "ref_number", "at", F.explode("data_points").alias("p")).select("claim", "ref_number", "at", "p.value")
+
+
+def lilacs_documents(answers: DataFrame) -> DataFrame:
+    """answers: _seq, body (JSON) in either of the service's two envelopes. _seq, doc (field -> values) for `lilacs`;
+    a field with one value is a list of one."""
+    plain = "array<map<string,string>>"
+    inner = F.from_json("body", f"struct<response:struct<docs:{plain}>>")["response"]["docs"]
+    outer = F.get(F.from_json("body", f"struct<diaServerResponse:array<struct<response:struct<docs:{plain}>>>>")["diaServerResponse"], F.lit(0))["response"]["docs"]
+    one = answers.select("_seq", F.posexplode(F.coalesce(outer, inner)).alias("at", "d"))
+    values = lambda k, v: F.when(F.ltrim(v).startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
+    return one.select((F.col("_seq") * 1000 + F.col("at")).alias("_seq"), F.transform_values("d", values).alias("doc"))
+
+
 # Response tables: one row a response, as stored by a connector; each function gives records.
 
 
@@ -165,17 +216,6 @@ def crossref(responses: DataFrame) -> DataFrame:
     )
 
 
-def best_title(wanted: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """wanted: key, title, year; found: key, rank, title, year, value. The first candidate alike to `least` whose year is
-    adjacent at most (where both are known)."""
-    from ..functions.similarity import indel
-
-    c = found.select("key", "rank", F.col("title").alias("_t"), F.col("year").alias("_y"), "value")
-    met = wanted.join(c, "key").withColumn("_score", indel(F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("_t", F.lit("")))))
-    near = F.coalesce(F.abs(F.col("year") - F.col("_y")) <= 1, F.lit(True))
-    return met.where((F.col("_score") >= least) & near).groupBy("key").agg(F.min_by("value", "rank").alias("value"))
-
-
 def pubmed(responses: DataFrame) -> DataFrame:
     """responses: _seq, article struct(pmid, title, abstract array<string>, authors array<struct<last,initials>>, journal,
     volume, issue, pages, year, medline_date, elocation_doi, article_ids array<struct<type,value>>, pub_types)."""
