@@ -84,7 +84,13 @@ def import_pending(pending: DataFrame, contents: DataFrame) -> DataFrame:
 def distinct_facts(facts: DataFrame) -> DataFrame:
     """facts (with _seq) without those that an earlier kept one of the same reference equals: quantitative ones by unit
     and value to 0.001, others by quote (equal if short, else alike to 93)."""
-    f = facts.select("_seq", "ref_number", "fact_type", "unit", "value", F.lower(stripped(F.coalesce("exact_quote", F.lit("")))).alias("q"))
+    every = facts.select("_seq", "ref_number", "fact_type", "unit", "value", F.lower(stripped(F.coalesce("exact_quote", F.lit("")))).alias("q"))
+    # of facts that say the very same only the first is compared, so one that is told very often makes no pairs
+    number = F.when((F.col("fact_type") == "quantitative") & F.col("value").isNotNull(), F.struct("unit", "value"))
+    quote = F.when((F.col("fact_type") != "quantitative") & (F.col("q") != ""), F.col("q"))
+    alone = F.when(number.isNull() & quote.isNull(), F.col("_seq"))
+    f = every.groupBy("ref_number", number.alias("_n"), quote.alias("_q"), alone.alias("_s")).agg(F.min_by(F.struct(*every.columns), "_seq").alias("r")).select("r.*")
+    f = cut(f)
     a = f.select(*[F.col(c).alias(f"{c}_a") for c in f.columns])
     b = f.select(*[F.col(c).alias(f"{c}_b") for c in f.columns])
     cell = lambda c: F.floor(c / 0.001).cast("long")
@@ -96,7 +102,8 @@ def distinct_facts(facts: DataFrame) -> DataFrame:
     short = F.least(F.length("q_a"), F.length("q_b")) < SHORT_QUOTE
     alike = quotes.where(F.when(short, F.col("q_a") == F.col("q_b")).otherwise(indel(F.col("q_a"), F.col("q_b")) >= QUOTE))
     edges = cut(numbers.select("_seq_a", "_seq_b").unionByName(alike.select("_seq_a", "_seq_b")).distinct())
-    return facts.join(leaders(edges).select(F.col("_seq_b").alias("_seq")), "_seq", "left_anti")
+    kept = f.select("_seq").join(leaders(edges).select(F.col("_seq_b").alias("_seq")), "_seq", "left_anti")
+    return facts.join(kept, "_seq", "left_semi")
 
 
 def find(facts: DataFrame, ref: int | None = None, section: str | None = None, tags: list[str] | None = None, kind: str | None = None) -> DataFrame:

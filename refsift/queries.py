@@ -393,15 +393,16 @@ def stale_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT doc_id, 'see (10.' || (1000 + doc_id % 900) || '/ab.' || doc_id || '). ' || left(split_part(text, chr(10), 1), 80) || ' 10.5555/x,y 10.' || (1000 + doc_id % 900) || '/ab.' || doc_id AS t FROM documents),
+    """WITH t AS (SELECT doc_id, 'see (10.' || (1000 + doc_id % 900) || '/ab.' || doc_id || '). ' || coalesce(text, '') || ' 10.5555/x,y 10.' || (1000 + doc_id % 900) || '/ab.' || doc_id AS t FROM documents),
     m AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '(10\\.\\d{4,}/[^\\s\\]\\)\\},;]+)', 1), lambda d: rtrim(rtrim(rtrim(d, '.'), ','), ')')), lambda d: len(d) > 8) AS l FROM t)
     SELECT doc_id, l[1] AS first, len(list_distinct(l)) AS n FROM m"""
 )
 def doi_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOIs of whole texts, each between two of its own."""
     i = F.col("doc_id")
     own = F.concat(F.lit("10."), (1000 + i % 900).cast("string"), F.lit("/ab."), i.cast("string"))
-    t = F.concat(F.lit("see ("), own, F.lit("). "), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80), F.lit(" 10.5555/x,y "), own)
-    found = table(spark, sf_dir, "documents").select(i, text.dois(t).alias("l"))
+    t = F.concat(F.lit("see ("), own, F.lit("). "), F.col("text"), F.lit(" 10.5555/x,y "), own)
+    found = _whole(spark, sf_dir).select(i, text.dois(t).alias("l"))
     return found.select("doc_id", F.get("l", F.lit(0)).alias("first"), F.size("l").alias("n"))
 
 
@@ -427,43 +428,26 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
 
 
-@query(
-    """WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(split_part(text, chr(10), 1), '[^\\p{L}\\p{N}]', ' ', 'g')), '\\s+'), lambda w: len(w) > 2)) AS w FROM documents)
-    SELECT doc_id, len(w) AS n, len(list_intersect(w, ['the', 'and', 'with', 'der', 'les'])) AS hits FROM t"""
-)
-def tokens_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = text.tokens(F.split_part("text", F.lit("\n"), F.lit(1)))
-    wanted = F.array(*[F.lit(w) for w in ("the", "and", "with", "der", "les")])
-    return table(spark, sf_dir, "documents").select("doc_id", own.alias("w")).select("doc_id", F.size("w").alias("n"), F.size(F.array_intersect("w", wanted)).alias("hits"))
-
-
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and the whole text, null as empty."""
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query()
-def doi_extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doi_extract over all lines of a text; its SQL reads the first 80 signs of the first."""
-    i = F.col("doc_id")
-    own = F.concat(F.lit("10."), (1000 + i % 900).cast("string"), F.lit("/ab."), i.cast("string"))
-    t = F.concat(F.lit("see ("), own, F.lit("). "), F.col("text"), F.lit(" 10.5555/x,y "), own)
-    found = _whole(spark, sf_dir).select(i, text.dois(t).alias("l"))
-    return found.select("doc_id", F.get("l", F.lit(0)).alias("first"), F.size("l").alias("n"))
-
-
-@query()
-def tokens_overlap_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tokens_overlap over all lines of a text; its SQL reads the first."""
+@query(
+    """WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]', ' ', 'g')), '\\s+'), lambda w: len(w) > 2)) AS w FROM documents)
+    SELECT doc_id, len(w) AS n, len(list_intersect(w, ['the', 'and', 'with', 'der', 'les'])) AS hits FROM t"""
+)
+def tokens_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of whole texts, and how many of five are among them."""
     wanted = F.array(*[F.lit(w) for w in ("the", "and", "with", "der", "les")])
     words = _whole(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("w"))
     return words.select("doc_id", F.size("w").alias("n"), F.size(F.array_intersect("w", wanted)).alias("hits"))
 
 
-@query()
-def inverted_index_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts to an inverted index and back; inverted_index_rebuild's SQL reads the first line.
-    Places are grouped in the sorted words, so the work doesn't grow with words times distinct words."""
+@query("SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
+def inverted_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts to an inverted index and back, which gives the text again. Places are grouped in the sorted words, so
+    the work doesn't grow with words times distinct words."""
     words = F.split("text", " ")
     pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
     d = _whole(spark, sf_dir).select("doc_id", pairs.alias("p"))
@@ -483,15 +467,6 @@ def candidate_union_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.not_in(one.unionByName(two).distinct(), base, "nation")
 
 
-@query("SELECT doc_id, md5(array_to_string(string_split(split_part(text, chr(10), 1), ' '), ' ')) AS digest FROM documents")
-def inverted_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles to an inverted index and back."""
-    words = F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).withColumn("u", F.array_distinct("w"))
-    places = F.transform("u", lambda x: F.filter(F.transform("w", lambda y, i: F.when(x == y, i)), lambda i: i.isNotNull()))
-    return d.select("doc_id", F.md5(text.abstract_of(F.map_from_arrays("u", places))).alias("digest"))
-
-
 @query(
     """WITH s AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN lpad(CAST(s_suppkey * 7919 % 10000000 AS VARCHAR), 7, '0') || 'x' WHEN 1 THEN ' ' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') || '-0123 ' ELSE 'bad' || s_suppkey END AS raw FROM supplier),
     m AS (SELECT s_suppkey, replace(regexp_extract(regexp_replace(upper(raw), '\\s', '', 'g'), '^(\\d{4})-?(\\d{3}[\\dX])$', 0), '-', '') AS p FROM s)
@@ -536,54 +511,88 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("digest"))
 
 
-CLAIMS = """Intro sem citação.
-
-O tempo caiu de 96 para 26 dias, uma redução de 73% [1]. O uso de machine learning cresceu [2,3].
-
-Custos de 469 mil dólares foram relatados em 2019 [2]. Temas de governança institucional permanecem [4].
-
-## Referências
-1. Silva A. Texto [9]."""
+def _claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as Markdown with three cited claims: doc, text, and the numbers in them (b, then a, and p percent, which
+    is wrong for every fifth)."""
+    i = F.col("doc_id")
+    a, b = 50 + i % 50, 10 + i % 30
+    p = F.when(i % 5 == 0, F.lit(5)).otherwise(F.floor((200 * (a - b) + a) / (2 * a)))
+    d = table(spark, sf_dir, "documents").select(i.cast("string").alias("doc"), i.alias("i"), a.alias("a"), b.alias("b"), p.cast("long").alias("p"), F.coalesce("n_chars", F.lit(0)).alias("n"), F.coalesce("text", F.lit("")).alias("body"))
+    said = F.format_string(
+        "Intro sem citação.\n\nO tempo caiu de %d para %d dias, uma redução de %d%% [1]. O uso de machine learning cresceu [2,3].\n\nUma economia de %d registros foi relatada [4].\n\n## Referências\n1. Silva A. Texto [9].", "a", "b", "p", "n"
+    )
+    return d.withColumn("text", said)
 
 
-def _claims(spark: SparkSession) -> DataFrame:
-    return claims.extract(spark.createDataFrame([("a", CLAIMS)], "doc string, text string"))
+_CLAIM_SQL = """t AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS doc, 50 + doc_id % 50 AS a, 10 + doc_id % 30 AS b, coalesce(n_chars, 0) AS n, coalesce(text, '') AS body,
+    CASE WHEN doc_id % 5 = 0 THEN 5 ELSE (200 * ((50 + doc_id % 50) - (10 + doc_id % 30)) + 50 + doc_id % 50) // (2 * (50 + doc_id % 50)) END AS p FROM documents)"""
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'A', '1', 3, true), (1, 1, 'B', '2,3', 0, false), (2, 0, 'A', '2', 1, false), (2, 1, 'C', '4', 0, false)) AS t(paragraph, ordinal, claim_type, refs, points, has_calculation)")
+@query(
+    f"""WITH {_CLAIM_SQL} SELECT doc, 1 AS paragraph, 0 AS ordinal, 'A' AS claim_type, '1' AS refs, CAST(a AS VARCHAR) || ',' || b || ',' || p AS points, true AS has_calculation FROM t
+    UNION ALL SELECT doc, 1, 1, 'B', '2,3', '', false FROM t UNION ALL SELECT doc, 2, 0, 'A', '4', CAST(n AS VARCHAR), false FROM t"""
+)
 def claims_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _claims(spark)
-    return c.select("paragraph", "ordinal", "claim_type", F.array_join(F.transform("ref_numbers", lambda n: n.cast("string")), ",").alias("refs"), F.size("data_points").alias("points"), "has_calculation")
+    c = claims.extract(_claim_texts(spark, sf_dir))
+    points = F.transform("data_points", lambda x: x["value"].cast("long"))
+    points = F.when(F.size(points) == 3, F.array(F.get(points, F.lit(1)), F.get(points, F.lit(2)), F.get(points, F.lit(0)))).otherwise(points)
+    text_of = lambda x: F.array_join(F.transform(x, lambda n: n.cast("string")), ",")
+    return c.select("doc", "paragraph", "ordinal", "claim_type", text_of(F.col("ref_numbers")).alias("refs"), text_of(points).alias("points"), "has_calculation")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'VERIFIED', 'NONE'), (1, 1, 'ENTITY_FOUND', 'LOW-MEDIUM'), (2, 0, 'NOT_FOUND_ABSTRACT', 'MEDIUM'), (2, 1, 'UNVERIFIABLE', 'UNKNOWN')) AS t(paragraph, ordinal, status, risk)")
+@query(
+    f"""WITH {_CLAIM_SQL}, c AS (SELECT *, lower(regexp_replace(body, '[0-9]', '', 'g')) || CASE doc_id % 3 WHEN 0 THEN ' in ' || a || ' days' WHEN 1 THEN ' some ' || (a * 6 // 5) ELSE '' END AS one,
+      lower(body) || CASE WHEN doc_id % 4 = 0 THEN ' machine learning' ELSE '' END AS two, a * 6 // 5 AS x, doc_id % 2 = 0 AS whole FROM t),
+    s AS (SELECT doc, 1 AS paragraph, 0 AS ordinal, CASE WHEN doc_id % 5 = 0 THEN 'MATH_ERROR' WHEN contains(one, CAST(a AS VARCHAR)) OR contains(one, CAST(b AS VARCHAR)) OR contains(one, p || '%') OR contains(one, p || ' %') OR contains(one, p || ' percent') THEN 'VERIFIED'
+      WHEN doc_id % 3 = 1 AND (abs(x - a) <= 0.3 * a OR abs(x - b) <= 0.3 * b OR abs(x - p) <= 0.3 * p) THEN 'APPROXIMATE_MATCH' WHEN whole THEN 'NOT_FOUND_FULLTEXT' ELSE 'NOT_FOUND_ABSTRACT' END AS status FROM c
+    UNION ALL SELECT doc, 1, 1, CASE WHEN contains(two, 'machine learning') THEN 'ENTITY_FOUND' WHEN whole THEN 'NOT_FOUND_FULLTEXT' ELSE 'NOT_FOUND_ABSTRACT' END FROM c
+    UNION ALL SELECT doc, 2, 0, 'UNVERIFIABLE' FROM c)
+    SELECT *, CASE status WHEN 'VERIFIED' THEN 'NONE' WHEN 'APPROXIMATE_MATCH' THEN 'LOW' WHEN 'ENTITY_FOUND' THEN 'LOW-MEDIUM' WHEN 'NOT_FOUND_ABSTRACT' THEN 'MEDIUM' WHEN 'UNVERIFIABLE' THEN 'UNKNOWN' ELSE 'HIGH' END AS risk FROM s"""
+)
 def claims_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents = spark.createDataFrame([("a", 1, "fell from 96 to 26 days", "full_text"), ("a", 2, "machine learning in hospitals, 12 beds", "abstract"), ("a", 3, "", "none")], "doc string, number int, content string, source_level string")
-    return claims.verify(_claims(spark), contents).select("paragraph", "ordinal", "status", "risk")
-
+    """The cited works are the documents' whole texts: the first without digits but for one number, the second with an
+    entity in every fourth; a third is empty, a fourth missing."""
+    t = _claim_texts(spark, sf_dir)
+    i = F.col("i")
+    near = F.floor(F.col("a") * 6 / 5).cast("string")
+    one = F.concat(F.regexp_replace("body", "[0-9]", ""), F.when(i % 3 == 0, F.concat(F.lit(" in "), F.col("a").cast("string"), F.lit(" days"))).when(i % 3 == 1, F.concat(F.lit(" some "), near)).otherwise(""))
+    two = F.concat("body", F.when(i % 4 == 0, " Machine Learning").otherwise(""))
+    works = F.array(*[F.struct(F.lit(n).alias("number"), c.alias("content")) for n, c in ((1, one), (2, two), (3, F.lit("")))])
+    level = F.when(i % 2 == 0, "full_text").otherwise("abstract").alias("source_level")
+    contents = t.select("doc", level, F.explode(works).alias("w")).select("doc", "source_level", "w.*")
+    return claims.verify(claims.extract(t), contents).select("doc", "paragraph", "ordinal", "status", "risk")
 
-_FACTS = "_seq long, ref_number int, fact_type string, exact_quote string, value double, unit string, derivation_formula string, source_values array<double>, stated_result double"
 
-
-@query("SELECT * FROM (VALUES (1, 'verified'), (2, 'rejected'), (3, 'derived'), (4, 'rejected'), (5, 'context_supported'), (6, 'verified_web'), (7, 'unverifiable'), (8, 'rejected')) AS t(seq, status)")
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^(\\*\\*(Link|Autores|Grade|Eixos|Acesso):.*|---.*)$\\n?', '', 'g'), 'https?://\\S+|10\\.\\d{4,}/\\S+', '', 'g') AS s FROM documents),
+    p AS (SELECT *, CASE WHEN doc_id % 4 = 3 THEN 'nowhere \u00a7 to be found' ELSE substr(t, 3, 20) END AS q, doc_id % 3 = 0 AS quantitative, doc_id % 7 = 0 AS web FROM d),
+    c AS (SELECT *, length(t) > 0 AND length(q) > 0 AS checked, contains(lower(s), lower(regexp_replace(q, '^\\s+|\\s+$', '', 'g'))) AS hit FROM p)
+    SELECT doc_id, CASE WHEN checked AND NOT hit THEN 'rejected' WHEN quantitative AND doc_id % 5 = 0 THEN 'rejected' WHEN quantitative THEN CASE WHEN web THEN 'verified_web' ELSE 'verified' END
+      WHEN checked THEN CASE WHEN web THEN 'verified_web' ELSE 'verified' END WHEN web THEN 'unverifiable' ELSE 'context_supported' END AS status FROM c"""
+)
 def facts_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, 1, "quantitative", "about 85 patients", 84.7, "patients", None, None, None), (2, 1, "quantitative", "about 85 patients", 70.0, "patients", None, None, None),
-        (3, 2, "quantitative", None, None, "%", "percentage_reduction", [96.0, 26.0], 72.9), (4, 2, "quantitative", None, None, "%", "percentage_reduction", [96.0, 26.0], 65.0),
-        (5, 2, "qualitative", None, None, None, None, None, None), (6, 3, "quantitative", None, 5.0, None, None, None, None), (7, 3, "conceptual", None, None, None, None, None, None),
-        (8, 1, "qualitative", "this quote is nowhere to be found in the source, however one looks", None, None, None, None, None),
-    ]
-    contents = spark.createDataFrame([(1, "We saw about 85 patients a day.", "journal", [85.0]), (2, "", "journal", []), (3, "", "web", [])], "number int, content string, ref_type string, numbers array<double>")
-    return facts.import_pending(spark.createDataFrame(rows, _FACTS), contents).select(F.col("_seq").alias("seq"), "status")
+    """A fact from each document, with a short quote of it or of nowhere, and a value that its source's numbers have
+    within 5 % but for every fifth."""
+    i = F.col("doc_id")
+    d = _whole(spark, sf_dir)
+    value = (10 + i % 90).cast("double")
+    pending = d.select(
+        i, i.alias("ref_number"), F.when(i % 3 == 0, "quantitative").otherwise("qualitative").alias("fact_type"), F.when(i % 4 == 3, "nowhere \u00a7 to be found").otherwise(F.substring("text", 3, 20)).alias("exact_quote"), value.alias("value"),
+        F.lit(None).cast("string").alias("derivation_formula"), F.lit(None).cast("array<double>").alias("source_values"), F.lit(None).cast("double").alias("stated_result"),
+    )
+    numbers_of = F.array(F.when(i % 5 == 0, value * 2).otherwise(value * 1.04))
+    contents = d.select(i.alias("number"), F.col("text").alias("content"), F.when(i % 7 == 0, "web").otherwise("journal").alias("ref_type"), numbers_of.alias("numbers"))
+    return facts.import_pending(pending, contents).select("doc_id", "status")
 
 
-@query("SELECT * FROM (VALUES (1), (3), (4), (6)) AS t(seq)")
+@query("SELECT min(event_id) AS seq FROM events GROUP BY user_id % 40, event_type, floor(value)")
 def facts_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, 1, "quantitative", None, 10.0, "kg", None, None, None), (2, 1, "quantitative", None, 10.0005, "kg", None, None, None), (3, 1, "quantitative", None, 10.0, "g", None, None, None),
-        (4, 2, "qualitative", "Same words", None, None, None, None, None), (5, 2, "conceptual", "same WORDS ", None, None, None, None, None), (6, 3, "conceptual", "same words", None, None, None, None, None),
-    ]
-    return facts.distinct_facts(spark.createDataFrame(rows, _FACTS)).select(F.col("_seq").alias("seq"))
+    """Events as quantitative facts of forty references, their type being the unit: the first of equal ones stays."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("_seq"), (F.col("user_id") % 40).alias("ref_number"), F.lit("quantitative").alias("fact_type"), F.lit(None).cast("string").alias("exact_quote"),
+        F.floor("value").cast("double").alias("value"), F.col("event_type").alias("unit"),
+    )
+    return facts.distinct_facts(rows).select(F.col("_seq").alias("seq"))
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS claim, l_extendedprice AS value, CASE WHEN count(p_partkey) FILTER (WHERE abs(p_retailprice - l_extendedprice) / l_extendedprice <= 0.05) > 0 THEN 'REGISTRADO' ELSE 'NAO_REGISTRADO' END AS status FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_extendedprice <> 0 GROUP BY 1, 2")
@@ -593,15 +602,27 @@ def facts_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.cross_check(values, known).select("claim", "value", "status")
 
 
-_JOURNALS = "issn_l string, issns array<string>"
+_AREAS = ("Epidemiology", "Education", "Surgery", "Oncology", "Law")
+_HEALTH = ("Epidemiology", "Surgery", "Oncology")
 
 
-@query("SELECT * FROM (VALUES ('1', 'consolidado', 'Epidemiology', 'Q1', true), ('2', 'sem_categoria_saude', NULL, NULL, true), ('3', 'nao_por_scimago', 'Oncology', 'Q3', false), ('4', 'sem_dado', NULL, NULL, false)) AS t(issn_l, porta_a_status, porta_a_categoria, porta_a_quartil, consolidado)")
+@query(
+    f"""WITH c AS (SELECT p_partkey // 17 AS issn, {list(_AREAS)}[p_size % 5 + 1] AS categoria, 'Q' || (p_partkey % 4 + 1) AS quartil, 2020 + p_size % 3 AS ano FROM part),
+    l AS (SELECT DISTINCT issn, categoria, quartil FROM (SELECT *, max(ano) OVER (PARTITION BY issn) AS top FROM c) WHERE ano = top),
+    g AS (SELECT issn, arg_min(categoria, quartil || categoria) AS categoria, min(quartil) AS quartil FROM l WHERE categoria IN {_HEALTH} GROUP BY 1), k AS (SELECT DISTINCT issn FROM l)
+    SELECT CAST(s_suppkey AS VARCHAR) AS issn_l, CASE WHEN k.issn IS NULL THEN 'sem_dado' WHEN g.issn IS NULL THEN 'sem_categoria_saude' WHEN quartil IN ('Q1', 'Q2') THEN 'consolidado' ELSE 'nao_por_scimago' END AS porta_a_status,
+    categoria AS porta_a_categoria, quartil AS porta_a_quartil, coalesce(quartil IN ('Q1', 'Q2'), false) OR s_suppkey % 7 = 0 AS consolidado
+    FROM supplier LEFT JOIN k ON k.issn = s_suppkey LEFT JOIN g ON g.issn = s_suppkey"""
+)
 def journal_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.createDataFrame([("1", ["x", "a"]), ("2", ["b"]), ("3", ["c"]), ("4", ["d"])], _JOURNALS)
-    cats = spark.createDataFrame([("a", "Epidemiology", "Q1", 2025), ("a", "Surgery", "Q2", 2025), ("a", "Surgery", "Q1", 2020), ("b", "Education", "Q1", 2025), ("c", "Oncology", "Q3", 2025)], "issn string, categoria string, quartil string, ano int")
-    health = spark.createDataFrame([("Epidemiology",), ("Surgery",), ("Oncology",)], "categoria string")
-    members = spark.createDataFrame([("b", "Revista B")], "issn string, titulo string")
+    """Suppliers as venues, parts as their subject categories by year."""
+    k = F.col("s_suppkey").cast("string")
+    base = table(spark, sf_dir, "supplier").select(k.alias("issn_l"), F.array(F.concat(F.lit("old-"), k), k).alias("issns"))
+    p = table(spark, sf_dir, "part")
+    area = F.element_at(F.array(*[F.lit(a) for a in _AREAS]), (F.col("p_size") % 5 + 1).cast("int"))
+    cats = p.select(F.floor(F.col("p_partkey") / 17).cast("string").alias("issn"), area.alias("categoria"), F.concat(F.lit("Q"), (F.col("p_partkey") % 4 + 1).cast("string")).alias("quartil"), (2020 + F.col("p_size") % 3).alias("ano"))
+    members = table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").select(k.alias("issn"), F.lit("t").alias("titulo"))
+    health = spark.range(1).select(F.explode(F.array(*[F.lit(h) for h in _HEALTH])).alias("categoria"))
     return journals.verdict(base, cats, members, health).select("issn_l", "porta_a_status", "porta_a_categoria", "porta_a_quartil", "consolidado")
 
 
@@ -626,13 +647,21 @@ def prescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journals.pre_score(base, "", frequency, curated).select("issn_l", F.col("pre_score").alias("score"))
 
 
-RIS = "TY  - JOUR\nTI  - One study\nAU  - Silva, A\nAU  - Souza, B\nPY  - 2021/05\nDO  - https://doi.org/10.1/x\nSP  - 1\nEP  - 9\nAB  - First line\n second line\nER  -\nTY  - THES\nT1  - A thesis\nER  -\nTY  - JOUR\nAU  - No Title\n"
-
-
-@query("SELECT * FROM (VALUES ('imp_0001', 'One study', 2, 2021, '10.1/x', '1-9', 'First line second line', 'JOUR'), ('imp_0002', 'A thesis', 0, NULL, NULL, NULL, NULL, 'THES')) AS t(id, title, n_authors, year, doi, pages, abstract, pub_type)")
+@query(
+    """WITH d AS (SELECT *, row_number() OVER (ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS n, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents),
+    r AS (SELECT 2 * n - 1 AS seq, 'Study ' || doc_id AS title, 2 AS n_authors, CAST(1990 + doc_id % 30 AS INT) AS year, '10.1/' || doc_id AS doi, '1-9' AS pages, md5('in short ' || t) AS abstract, 'JOUR' AS pub_type FROM d
+    UNION ALL SELECT 2 * n, 'Thesis ' || doc_id, 0, NULL, NULL, NULL, NULL, 'THES' FROM d)
+    SELECT 'imp_' || lpad(CAST(seq AS VARCHAR), CAST(greatest(4, length(CAST(seq AS VARCHAR))) AS INT), '0') AS id, * EXCLUDE (seq) FROM r"""
+)
 def ris_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = text_sources.ris(spark.createDataFrame([("f", RIS)], "file string, text string"), "imp")
-    return r.select("id", "title", F.greatest(F.size(F.coalesce("authors", F.array())), F.lit(0)).alias("n_authors"), "year", "doi", "pages", "abstract", "pub_type")
+    """Each document as a file of two records and one without a title, its whole text being the first one's abstract."""
+    i = F.col("doc_id").cast("string")
+    body = F.trim(F.regexp_replace("text", r"\s+", " "))
+    year = (1990 + F.col("doc_id") % 30).cast("string")
+    record = [F.lit("TY  - JOUR\nTI  - Study "), i, F.lit("\nAU  - Silva, A\nAU  - Souza, B\nPY  - "), year, F.lit("/05\nDO  - https://doi.org/10.1/"), i, F.lit("\nSP  - 1\nEP  - 9\nAB  - in short\n "), body]
+    files = _whole(spark, sf_dir).select(F.lpad(i, 12, "0").alias("file"), F.concat(*record, F.lit("\nER  -\nTY  - THES\nT1  - Thesis "), i, F.lit("\nER  -\nTY  - JOUR\nAU  - No Title\n")).alias("text"))
+    r = text_sources.ris(files, "imp")
+    return r.select("id", "title", F.greatest(F.size(F.coalesce("authors", F.array())), F.lit(0)).alias("n_authors"), "year", "doi", "pages", F.md5("abstract").alias("abstract"), "pub_type")
 
 
 def queries() -> dict[str, Query]:

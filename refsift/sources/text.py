@@ -57,7 +57,7 @@ def ris(files: DataFrame, label: str) -> DataFrame:
     pages = F.when(first("SP").isNotNull() & first("EP").isNotNull(), F.concat(first("SP"), F.lit("-"), first("EP"))).otherwise(first("SP"))
     return numbered.select(
         "_seq",
-        F.concat(F.lit(f"{label}_"), F.lpad(F.col("_seq").cast("string"), 4, "0")).alias("id"),
+        F.concat(F.lit(f"{label}_"), F.repeat(F.lit("0"), 4 - F.length(F.col("_seq").cast("string"))), F.col("_seq").cast("string")).alias("id"),
         "title",
         F.transform(authors, lambda a: stripped(a)).alias("authors"),
         F.regexp_extract(F.coalesce(first("PY", "Y1", "DA"), F.lit("")), r"(\d{4})", 1).try_cast("int").alias("year"),

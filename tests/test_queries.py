@@ -37,5 +37,32 @@ def test_entry(spark):
 
 
 def test_fuzzy_on_tables(spark):
-    found = queries.queries()["fuzzy_leaders"](spark, SF).collect()
-    assert all(r["canonical_id"] for r in found) and len({r["id"] for r in found}) == len(found)
+    """Leaders and suspects against all pairs of titles in plain Python."""
+    from refsift.functions.similarity import indel_ratio
+
+    rows = []
+    for r in queries.refs(spark, SF).select("_seq", "id", "title", "year", "journal").orderBy("_seq").collect():
+        title = (r["title"] or "").strip()
+        if title:
+            rows.append((r["_seq"], r["id"], title.lower(), r["year"], (r["journal"] or "").lower()))
+    leader, want, suspects = [], {}, []
+    for one in rows:
+        best = None
+        for head in leader:  # in order; the first that is alike to 90 takes the row, others are suspects from 80 on
+            apart = abs(one[3] - head[3])
+            if apart > 1:
+                continue
+            score = indel_ratio(head[2], one[2])
+            score = 0.0 if score < 80 else score - (2 if apart else 0)
+            if score >= 90:
+                best = head
+                break
+            if score >= 80:
+                suspects.append((head[1], one[1], round(score, 6)))
+        if best is None:
+            leader.append(one)
+        else:
+            want[one[1]] = best[1]
+    assert want and {r["id"]: r["canonical_id"] for r in queries.queries()["fuzzy_leaders"](spark, SF).collect()} == want
+    got = sorted((r["ref_a"], r["ref_b"], round(r["score"], 6)) for r in queries.queries()["suspects_band"](spark, SF).collect())
+    assert got == sorted(suspects)
