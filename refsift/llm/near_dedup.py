@@ -14,9 +14,13 @@ similarity is at least 3/4; the answer is the smallest doc_id reachable over lin
    the pairs beyond it that met by chance, those that differ in over FAR of all symbols (4.7 standard deviations beyond
    the mean at 3/4) are left. Confirmed links are contracted to components. A second turn does so with a hub of another
    component.
-4. Keys that still join different components are compared member by member, in blocks of at most BLOCK members, by
-   signature first, each pair under the first key that it shares; all pairs within SURE, and near ones beyond it, are
-   confirmed on their full sets and contracted once more. No key and no partner is left out.
+4. Keys that still join different components are compared member by member, by signature first, each pair under the
+   first key that it shares; all pairs within SURE, and near ones beyond it, are confirmed on their full sets and
+   contracted once more. No key and no partner is left out.
+5. A key of over BLOCK members is divided before that, without losing a pair at 3/4: such a pair shares one of the first
+   |x| - ceil(3/4 |x|) + 1 shingles of either set in any common order. In the order used here the shingles that most of
+   these members have come last, so texts that have a passage in common meet only if they have more than that in common.
+   Shingles that still have over BLOCK members are compared in blocks of that size.
 
 A set is held as 64-bit hashes: n_shingles and the confirmation are exact but for collisions of these, of which a text
 of a million shingles has one with a probability of 3e-8.
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import Workspace, freed_shuffles, once
+from .common import Workspace, freed_shuffles, once, shipped
 from .components import components
 from .textvec import U64, Words, mix64, seeded, shingle_hashes, slices, string_buffers
 
@@ -58,6 +62,8 @@ FAR = 126
 WIDE = 768
 FAR_WIDE, FAR_FIRST = 243, 44
 BLOCK = 1024
+#: So many of the most frequent shingles of members of large keys are told to all tasks, to be put last.
+FREQUENT = 1 << 16
 #: Turns in which members are compared with one member of their key.
 HUBS = 2
 
@@ -207,9 +213,10 @@ def _of_groups(sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.nd
         at = to
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], by_key: bool = True) -> Iterator[pa.RecordBatch]:
     """Near pairs of different components. Rows (key, one, two, block, rep, comp, first symbols, wide) come sorted by
-    key and pair of blocks; within a pair of different blocks only rows of different blocks are compared."""
+    key and pair of blocks; within a pair of different blocks only rows of different blocks are compared. by_key: a pair
+    is told under the first key that it shares only."""
 
     def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, one, two, block, rep, comp = (rows.column(c).to_numpy() for c in range(6))
@@ -227,7 +234,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j, apart = i[good], j[good], apart[good].reshape(-1, CHUNKS, WIDTH)
             first = np.argmax(apart.sum(axis=2) <= ERRORS, axis=1)
             wrong = np.argmax(apart[np.arange(len(i)), first], axis=1)
-            mine = keys(signed[i])[np.arange(len(i)), first * WIDTH + wrong].view(np.int64) == key[i]
+            mine = keys(signed[i])[np.arange(len(i)), first * WIDTH + wrong].view(np.int64) == key[i] if by_key else np.arange(len(i))
             a, b = rep[i[mine]], rep[j[mine]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -290,6 +297,42 @@ def _hub_pairs(named: DataFrame, weights: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
+def _compared(sized: DataFrame, signed: DataFrame, wide: DataFrame) -> DataFrame:
+    """Rows (key, rep, comp, n) as `_across` takes them: members of one key side by side, in pairs of blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "rep", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    dealt = dealt.join(signed.select("rep", F.substring("signature", 1, 2 * SYMBOLS).alias("first")), "rep").join(wide, "rep")
+    return dealt.select("key", "one", "two", "block", "rep", "comp", "first", "wide").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep")
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order (whether frequent, hash): two sets at SIMILAR share one of them."""
+    last = np.isin(shingles, frequent)
+    return shingles[np.lexsort((shingles, last))[: len(shingles) - -(-SIMILAR * len(shingles) // 100) + 1]]
+
+
+def _divided(large: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
+    """Members of large keys (rep, comp) under shingles instead: key, rep, comp, n of the shingles that hold more than
+    one component."""
+    own = space.cut(sets.join(large, "rep"), "large-sets")
+    often = own.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 64)
+    found = [r["s"] for r in often.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()]  # half a megabyte
+    frequent_of = shipped(large.sparkSession, np.array(found, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = frequent_of()
+        for batch in batches:
+            for rep, shingles, comp in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                chosen = prefix(shingles.values.to_numpy(), frequent)
+                yield pa.RecordBatch.from_arrays([pa.array(chosen), pa.array(np.full(len(chosen), rep)), pa.array(np.full(len(chosen), comp))], names=["key", "rep", "comp"])
+
+    spread = own.select("rep", "shingles", "comp").mapInArrow(run, "key long, rep long, comp long").distinct()
+    held = spread.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    return spread.join(held.select("key", "n"), "key")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
@@ -321,15 +364,14 @@ def link(docs: DataFrame) -> DataFrame:
         rest = space.cut(_open(named), "rest")
         space.drop(members)
         counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        dealt = rest.join(counts, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", "rep", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
         wide = space.cut(sets.join(rest.select("rep").distinct(), "rep", "left_semi").mapInArrow(_widened, "rep long, wide binary").distinct(), "wide")
-        dealt = dealt.join(signed.select("rep", F.substring("signature", 1, 2 * SYMBOLS).alias("first")), "rep").join(wide, "rep")
-        dealt = dealt.select("key", "one", "two", "block", "rep", "comp", "first", "wide").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep")
-        crossed = dealt.mapInArrow(_across, "a long, b long")
-        crossed = space.cut(crossed.join(tried, ["a", "b"], "left_anti"), "crossed")
+        sized = rest.join(counts, "key")
+        crossed = _compared(sized.where(F.col("n") <= BLOCK), signed, wide).mapInArrow(_across, "a long, b long")
+        large = space.cut(sized.where(F.col("n") > BLOCK).select("rep", "comp").distinct(), "large")
+        if not large.isEmpty():
+            divided = space.cut(_divided(large, sets, space), "divided")
+            crossed = crossed.unionByName(_compared(divided, signed, wide).mapInArrow(lambda rows: _across(rows, False), "a long, b long"))
+        crossed = space.cut(crossed.distinct().join(tried, ["a", "b"], "left_anti"), "crossed")
         more = _confirmed(crossed, sets, space)
         shared_ids = _shared_ids(thin, classes)
         edges = links.unionByName(more).unionByName(shared_ids)
