@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import OFF_TOPIC
+from ..schema import DIRECT, OFF_TOPIC
 from .records import grades_of
 
 # Least share of T1 by modality.
@@ -55,6 +55,12 @@ def flow(refs: DataFrame, modality: str) -> DataFrame:
     )
 
 
+def activity(refs: DataFrame) -> DataFrame:
+    """One row: active rows, those that are retracted, and those of direct relevance."""
+    live = refs.where(~F.col("is_duplicate"))
+    return live.agg(F.count_if("retracted").alias("retracted"), F.count_if(F.col("relevance") == DIRECT).alias("direct"), F.count(F.lit(1)).alias("active"))
+
+
 def exclusion_reasons(refs: DataFrame) -> DataFrame:
     reason = F.coalesce(F.nullif(F.split_part(F.coalesce("relevance_method", F.lit("")), F.lit("|"), F.lit(1)), F.lit("")), F.lit("unclassified"))
     return refs.where(~F.col("is_duplicate") & (F.col("relevance") == OFF_TOPIC)).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -86,7 +92,10 @@ def validation_list(refs: DataFrame, most: int, margin: int = 10) -> DataFrame:
 
 
 def brief(refs: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """Final rows axis by axis, numbered throughout."""
+    """Final rows axis by axis, numbered throughout: within the axis, after as many as the axes before have."""
     dim = domain_frame(refs.sparkSession, axes, "axis")
     told = refs.where("final").select("id", "_seq", "relevance_score", F.explode("mapped_axes").alias("axis")).join(F.broadcast(dim), "axis")
-    return told.withColumn("number", F.row_number().over(W.orderBy("position", F.desc("relevance_score"), "_seq"))).select("number", "axis", "id")
+    counts = told.groupBy("position").agg(F.count(F.lit(1)).alias("_n"))
+    since = counts.select("position", (F.sum("_n").over(W.orderBy("position")) - F.col("_n")).alias("_since"))  # a row an axis
+    place = F.row_number().over(W.partitionBy("position").orderBy(F.desc("relevance_score"), "_seq"))
+    return told.withColumn("_place", place).join(F.broadcast(since), "position").select((F.col("_since") + F.col("_place")).alias("number"), "axis", "id")

@@ -665,8 +665,11 @@ def ris_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import more_queries  # noqa: F401  registers its own
+
     return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, (_, sql) in _ALL.items() if sql}
