@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import facts, journals, records, reports, screening, venues, written
-from .queries import _GRADED, _REFS, _flow_refs, _whole, query, refs, table
+from .operators import enrich, facts, journals, records, reports, screening, venues, written
+from .queries import _GRADED, _REFS, _SCREENED, SCOPE, _flow_refs, _whole, query, refs, table
 from .sources import documents, sinks, tables
 
 
@@ -293,3 +293,28 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) FILTER (WHERE NOT d AND retracted) AS retracted, count(*) FILTER (WHERE NOT d AND relevance = 2) AS direct, count(*) FILTER (WHERE NOT d) AS active FROM (SELECT doc_id % 13 = 0 AS retracted, doc_id % 3 AS relevance, coalesce(toxic = 1, false) AS d FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id))")
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.activity(_flow_refs(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_SCREENED} SELECT count(*) FILTER (WHERE level = 2) AS direct, count(*) FILTER (WHERE level = 1) AS tangential, count(*) FILTER (WHERE level = 0 AND closed IS NULL) AS off_topic,
+    count(*) FILTER (WHERE closed IS NOT NULL) AS closed, count(*) FILTER (WHERE len(mapped) > 0) AS mapped FROM screened"""
+)
+def screening_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.screening_counts(screening.screen(refs(spark, sf_dir), SCOPE))
+
+
+@query(
+    """WITH u AS (SELECT s_suppkey AS issn_l, unnest(CASE WHEN s_suppkey % 3 = 0 THEN ['http://h/' || s_suppkey] ELSE [] END || CASE WHEN s_suppkey % 4 = 0 THEN ['https://journalinsights.elsevier.com/journals/' || s_suppkey] ELSE [] END) AS url FROM supplier),
+    f AS (SELECT s_suppkey AS issn_l, 'http://h/' || s_suppkey AS url FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 < 4 AND s_suppkey % 2 = 1)
+    SELECT CAST(u.issn_l AS VARCHAR) AS issn_l, url FROM u WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.issn_l = u.issn_l AND f.url = u.url)"""
+)
+def snapshots_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as venues; snapshots of some homepages are a hundred days old for each unit of the key modulo seven."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    base = s.select(k.cast("string").alias("issn_l"), F.when(k % 3 == 0, F.concat(F.lit("http://h/"), k.cast("string"))).otherwise("").alias("homepage_url"), F.when(k % 4 == 0, "Elsevier BV").alias("editora"))
+    day = F.lit("2026-01-01").cast("date")
+    held = s.where(k % 5 != 0).select(
+        k.cast("string").alias("issn_l"), F.concat(F.lit("http://h/"), k.cast("string")).alias("url"), F.when(k % 2 == 1, "text").alias("text"), F.date_sub(day, F.when(k % 7 < 4, 100).otherwise(200)).alias("captured")
+    )
+    return enrich.due_snapshots(enrich.candidate_urls(base), held, day).select("issn_l", "url")

@@ -17,6 +17,18 @@ APC_CEILING = 5000.0
 FINALISTS = 12
 
 
+def load_weights(path: str) -> dict[str, float]:
+    """Weights of the components from a file (YAML, key `pesos`); components that it lacks keep theirs."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        given = (yaml.safe_load(f) or {}).get("pesos") or {}
+    unknown = set(given) - set(WEIGHTS)
+    if unknown:
+        raise ValueError(f"unknown components: {sorted(unknown)}")
+    return WEIGHTS | {k: float(v) for k, v in given.items()}
+
+
 def categories_of(journals: DataFrame, categories: DataFrame) -> DataFrame:
     """issn_l -> all categories (categoria, quartil) of the latest year of its first ISSN with data."""
     top = latest(categories, ["issn"], "ano").groupBy("issn").agg(F.collect_set(F.struct("categoria", "quartil")).alias("cats"))

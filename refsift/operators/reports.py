@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import DIRECT, OFF_TOPIC
+from ..schema import DIRECT, OFF_TOPIC, TANGENTIAL
 from .records import grades_of
 
 # Least share of T1 by modality.
@@ -61,6 +61,17 @@ def activity(refs: DataFrame) -> DataFrame:
     return live.agg(F.count_if("retracted").alias("retracted"), F.count_if(F.col("relevance") == DIRECT).alias("direct"), F.count(F.lit(1)).alias("active"))
 
 
+def screening_counts(refs: DataFrame) -> DataFrame:
+    """One row: active rows by relevance, and those that the first rules closed (they are no rows off topic)."""
+    live = refs.where(~F.col("is_duplicate"))
+    closed = F.col("relevance_method").isin("no_text", "pub_type_excluded", "nao_e_revisao", "exclusion_keyword")
+    off = F.col("relevance") == OFF_TOPIC
+    return live.agg(
+        F.count_if(F.col("relevance") == DIRECT).alias("direct"), F.count_if(F.col("relevance") == TANGENTIAL).alias("tangential"), F.count_if(off & ~closed).alias("off_topic"),
+        F.count_if(closed).alias("closed"), F.count_if(F.size("mapped_axes") > 0).alias("mapped"),
+    )
+
+
 def exclusion_reasons(refs: DataFrame) -> DataFrame:
     reason = F.coalesce(F.nullif(F.split_part(F.coalesce("relevance_method", F.lit("")), F.lit("|"), F.lit(1)), F.lit("")), F.lit("unclassified"))
     return refs.where(~F.col("is_duplicate") & (F.col("relevance") == OFF_TOPIC)).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -122,10 +122,11 @@ def audit(refs: DataFrame, scope: Scope) -> DataFrame:
     head = discarded.orderBy("_seq").limit(DISCARDS)
     author = F.concat(F.coalesce(F.get("authors", F.lit(0)), F.lit("?")), F.when(F.size("authors") > 1, " et al.").otherwise(""))
     title = F.coalesce("title", F.lit(""))
+    criteria = [x for name, given in (("Inclusion", scope.inclusion), ("Exclusion", scope.exclusion)) if given for x in (f"{name}:", *[f"- {c}" for c in given], "")]
     tiers = F.element_at(F.create_map(*[F.lit(x) for kv in TIER_MEANING.items() for x in kv]), F.col("tier"))
     return joined(
         [
-            said(spark, 0, [f"# Audit: {scope.project}", "", f"Modality: {scope.modality}", "", "## Flow", "", *heading("step", "records"), *[f"| {k} | {v} |" for k, v in steps], "", "## Pending", "", *heading("id", "title", "DOI", "pendencies")]),
+            said(spark, 0, [f"# Audit: {scope.project}", "", f"Modality: {scope.modality}", "", "## Flow", "", *heading("step", "records"), *[f"| {k} | {v} |" for k, v in steps], "", *criteria, f"Sources: {', '.join(scope.sources) or '-'}; years {scope.years[0]} to {scope.years[1]}; languages {', '.join(scope.languages)}", "", "## Pending", "", *heading("id", "title", "DOI", "pendencies")]),
             listed(1, pending(refs), cells("id", F.substring(title, 1, 60), F.coalesce(filled(F.col("doi")), F.lit("-")), F.array_join("pendencies", "; ")), F.col("_seq")),
             said(spark, 2, ["", "## Grades", "", *heading("grade", "records", "share")]),
             _shares(3, active, "grade", GRADES, F.upper("grade")),

@@ -54,6 +54,8 @@ class Scope:
     semantic_threshold: float = 0.60
     semantic_weight: float = 8.0
     warnings: tuple[str, ...] = field(default=())
+    inclusion: tuple[str, ...] = ()
+    exclusion: tuple[str, ...] = ()
 
     def _terms_of(self, words: Sequence[str]) -> tuple[str, ...]:
         """Terms of the last block whose concept holds one of the words."""
@@ -96,6 +98,8 @@ def read_scope(values: Mapping[str, Any]) -> Scope:
         semantic_threshold=float(values.get("semantic_threshold", 0.60)),
         semantic_weight=float(values.get("semantic_weight", 8.0)),
         warnings=notes,
+        inclusion=tuple(values.get("inclusion_criteria") or ()),
+        exclusion=tuple(values.get("exclusion_criteria") or ()),
     )
 
 
@@ -106,6 +110,11 @@ def load_scope(path: str) -> Scope:
         return read_scope(yaml.safe_load(f) or {})
 
 
+def query_text(scope: Scope) -> str:
+    """What is embedded for a review: its question and the terms of its blocks."""
+    return ". ".join(p for p in (scope.question, *scope.inclusion, *(t for b in scope.blocks for t in b.terms)) if p)
+
+
 def environment(lines: Sequence[str], process: Mapping[str, str] | None = None) -> dict[str, str]:
     """KEY=value lines, over which the process environment wins."""
     out = {}

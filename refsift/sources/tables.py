@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.similarity import best_title
 from ..functions.text import abstract_of, filled, norm_issn, stripped
 from ..operators.dedup import cut
 from ..operators.keyed import QUARTILES, STRATA, fold_strata
@@ -119,6 +120,36 @@ def search(spark: SparkSession, sources: list[tuple[str, Callable[[], DataFrame]
     return union_sources(frames or [empty]), spark.createDataFrame(log, "position int, source string, records long, error string")
 
 
+def better_of(primary: DataFrame, fallback: DataFrame, least: int = 10) -> DataFrame:
+    """What a search gives: the wider fallback only where the query has fewer than `least` hits and the fallback more."""
+    n = primary.limit(least).count()
+    return fallback if n < least and fallback.limit(n + 1).count() > n else primary
+
+
+def seed_records(seeds: DataFrame, answers: DataFrame) -> DataFrame:
+    """seeds: at, doi; answers: doi, title, authors, year, journal, pub_type, is_retracted, was_updated of the DOIs that
+    resolve. A record for each of them."""
+    a = answers.withColumn("_doi", F.lower("doi")).drop("doi").dropDuplicates(["_doi"])
+    met = seeds.where("doi is not null").select("at", "doi").join(a, F.lower("doi") == F.col("_doi"))
+    return conformed(met.select(
+        F.col("at").cast("long").alias("_seq"), F.concat(F.lit("seed_"), F.replace("doi", F.lit("/"), F.lit("_"))).alias("id"), "title", "authors", "year", "doi", "journal", "pub_type",
+        F.lit("crossref").alias("source_api"), F.lit(True).alias("doi_resolves"), F.lit(True).alias("crossref_match"), F.col("is_retracted").alias("retracted"), F.col("was_updated").alias("has_correction"),
+    ))
+
+
+def seed_texts(seeds: DataFrame, found: DataFrame, least: float = 70, candidates: int = 3) -> DataFrame:
+    """seeds: at, title; found: key (at), rank, title, year, value (DOI) of a text search. Records of the first of the
+    `candidates` that is alike to `least`; a text without one is kept, to be verified."""
+    wanted = seeds.where("doi is null").select(F.col("at").alias("key"), "title", F.lit(None).cast("int").alias("year"))
+    best = best_title(wanted, found.where(F.col("rank") < candidates), least).select("key", F.col("value").alias("doi"))
+    told = wanted.join(best, "key", "left")
+    name = F.coalesce(F.replace("doi", F.lit("/"), F.lit("_")), F.substring(F.sha2("title", 256), 1, 8))
+    return conformed(told.select(
+        F.col("key").cast("long").alias("_seq"), F.concat(F.lit("seed_"), name).alias("id"), "title", "doi", F.when(F.col("doi").isNull(), "needs_verification").alias("relevance_method"),
+        F.lit("crossref").alias("source_api"), F.col("doi").isNotNull().alias("doi_resolves"),
+    ))
+
+
 def claims_json(spark: SparkSession, path: str) -> DataFrame:
     """claims[] of a claims report, in order; the text is read from claim_text, or from text where that is what there is."""
     point = "struct<raw_text:string,value:double,unit:string,is_percentage:boolean>"

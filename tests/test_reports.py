@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from refsift import cli, data
 from refsift.functions import numbers, text
-from refsift.operators import claims, facts, journals, records, reports, vancouver, venues, written
-from refsift.plans.scope import Axis, Block, Scope
+from refsift.operators import claims, enrich, facts, journals, records, reports, vancouver, venues, written
+from refsift.plans.scope import Axis, Block, Scope, query_text, read_scope
 from refsift.schema import conformed
 from refsift.sources import sinks, tables
 from refsift.sources import text as texts
@@ -296,3 +296,31 @@ def test_commands(spark, tmp_path, capsys):
     assert "| none | 3 |" in told.out and "| r0 | include | exclude |" in told.out and "no JSON" in told.err
     assert spark.read.parquet(f"{folder}/verified").where("llm_verdict is not null").count() == 2
     assert len(cli.COMMANDS) >= 36 and cli.main(["facts-status", "--registry", str(tmp_path / "none")]) == 1
+
+
+def test_seeds_and_fallbacks(spark):
+    few, more = spark.range(3), spark.range(20)
+    assert tables.better_of(few, more).count() == 20 and tables.better_of(few, few.limit(2)).count() == 3 and tables.better_of(more, spark.range(90)).count() == 20
+    seeds = spark.createDataFrame([(0, "10.1/A", None), (1, "10.1/none", None), (2, None, "A long title of some work"), (3, None, "No such thing")], "at int, doi string, title string")
+    answers = spark.createDataFrame([("10.1/a", "T", ["A B"], 2020, "J", "journal-article", True, False)], "doi string, title string, authors array<string>, year int, journal string, pub_type string, is_retracted boolean, was_updated boolean")
+    one = tables.seed_records(seeds, answers).collect()
+    assert [(r["id"], r["title"], r["retracted"], r["crossref_match"]) for r in one] == [("seed_10.1_A", "T", True, True)]
+    found = spark.createDataFrame([(2, 0, "Other words entirely", 2000, "10.1/x"), (2, 1, "A long title of some works", 2000, "10.1/y"), (2, 3, "A long title of some work", 2000, "10.1/z")], "key int, rank int, title string, year int, value string")
+    two = {r["_seq"]: (r["doi"], r["relevance_method"]) for r in tables.seed_texts(seeds, found).collect()}
+    assert two == {2: ("10.1/y", None), 3: (None, "needs_verification")}
+
+
+def test_snapshots_and_weights(spark, tmp_path):
+    pages = spark.createDataFrame([("a", "u", "x" * 200), ("b", "u", "short"), ("c", "u", None)], "issn_l string, url string, text string")
+    good, bad = enrich.captured(pages, F.lit("2026-01-01").cast("date"))
+    assert [r["issn_l"] for r in good.collect()] == ["a"] and {r["issn_l"] for r in bad.collect()} == {"b", "c"}
+    answers = spark.createDataFrame([("a", ("T", "P")), ("b", (None, None))], "issn_l string, message struct<title:string,publisher:string>")
+    rows = {r["issn_l"]: (r["titulo"], r["editora"], r["titulo_fonte"]) for r in enrich.from_crossref(answers, F.lit("2026-01-01").cast("date")).collect()}
+    assert rows == {"a": ("T", "P", "crossref"), "b": (None, None, None)}
+    path = tmp_path / "w.yaml"
+    path.write_text("pesos:\n  apc: 0.5\n", encoding="utf-8")
+    assert journals.load_weights(str(path)) == journals.WEIGHTS | {"apc": 0.5}
+    path.write_text("pesos:\n  nothing: 1\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        journals.load_weights(str(path))
+    assert query_text(SCOPE) == "a" and query_text(read_scope({"research_question": "q?", "inclusion_criteria": ["i"], "keyword_blocks": [{"terms": ["t"]}]})) == "q?. i. t"
