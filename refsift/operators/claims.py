@@ -23,6 +23,19 @@ ENTITY = r"XGBoost|Random Forest|LSTM|CNN|NLP|machine learning|deep learning|FHI
 MODELS = r"(?i)(XGBoost|Random Forest|LSTM|CNN|RNN|SVM|GBM|neural network|rede neural|NLP|GPT|LLM|deep learning|machine learning|regressão logística|logistic regression)"
 INSTITUTIONS = r"(?i)(FHIR|HL7|TISS|LGPD|AMAM|HIMSS|OMS|WHO|DATASUS|ANS|SUS|RNDS|DRG|digital twin|gêmeos? digitais)"
 CAPITALISED = r"([A-Z][a-z]+ (?:[A-Z][a-z]+ )*[A-Z][a-z]+)"
+# What a data point looks like, and what makes a calculation.
+NUMBER = r"\d+(?:[,.]\d+)?"
+PERCENT = rf"{NUMBER}\s*%"
+SIZED = rf"{NUMBER}\s*(?:mil|milh[õo]es|bilh[õo]es|trilh[õo]es)\b\s*(?:de\s+)?(?:dólares|reais|dolares)?"
+MOVE = rf"{NUMBER}\s*(?:para|→)\s*{NUMBER}\s*(?:dias|anos|meses|horas)?"
+COUNTED = rf"{NUMBER}\s*(?:leitos|pacientes|contratos|registros)"
+ANNUAL = r"(?i)crescimento\s+anual|taxa\s+anual|CAGR"
+SPAN = r"(?i)entre\s+\d+[,.]?\d*\s*%\s+e\s+\d+|de\s+\d+[,.]?\d*\s*%\s+a\s+\d+"
+MOVED = r"\d+\s*(?:para|→)\s*\d+"
+TOLD = (
+    r"(?i)(?:redu[çc]ão|melhor(?:ia|ou)|queda|varia[çc]ão|aument)\s+(?:de\s+)?\d+[,.]?\d*\s*%"
+    r"|\d+\s*(?:para|→)\s*\d+.*?(?:—|–|-)\s*(?:uma?\s+)?(?:redu|melhor|queda|aument)\S*\s+(?:de\s+)?\d+[,.]?\d*\s*%"
+)
 
 POINT = "struct<raw:string,value:double,unit:string,percent:boolean>"
 
@@ -42,16 +55,16 @@ def _point(raw: Column, value: Column, unit: Column, percent: bool) -> Column:
 
 
 def data_points(text: Column) -> Column:
-    """Percentages, magnitudes, `X para Y` and counted units, in this order; a text that repeats counts once."""
-    one = r"\d+(?:[,.]\d+)?"
+    """Percentages, magnitudes, `X para Y` and counted units, in this order; a text that repeats counts once. The longest
+    word of a magnitude counts: `3,4 milhões` is 3,400,000, not 3,400 for the `mil` that it begins with."""
 
     def found(pattern: str) -> Column:
         return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1))
 
     def number(c: Column, n: int = 1) -> Column:
-        return pt_number(F.get(F.regexp_extract_all(c, F.lit(f"({one})"), 1), F.lit(n - 1)))
+        return pt_number(F.get(F.regexp_extract_all(c, F.lit(f"({NUMBER})"), 1), F.lit(n - 1)))
 
-    percents = F.filter(F.transform(found(rf"{one}\s*%"), lambda m: _point(m, number(m), F.lit("%"), True)), lambda p: ~_is_year(p["value"]))
+    percents = F.filter(F.transform(found(PERCENT), lambda m: _point(m, number(m), F.lit("%"), True)), lambda p: ~_is_year(p["value"]))
 
     def scaled(m: Column) -> Column:
         word = F.lower(F.regexp_extract(m, r"(?i)(mil|milh[õo]es|bilh[õo]es|trilh[õo]es)\b", 1))
@@ -61,29 +74,23 @@ def data_points(text: Column) -> Column:
         money = F.regexp_extract(m, r"(dólares|reais|dolares)$", 1)
         return _point(m, number(m) * factor, F.trim(F.concat_ws(" ", word, money)), False)
 
-    sized = F.transform(found(rf"{one}\s*(?:mil|milh[õo]es|bilh[õo]es|trilh[õo]es)\b\s*(?:de\s+)?(?:dólares|reais|dolares)?"), lambda m: scaled(F.trim(m)))
+    sized = F.transform(found(SIZED), lambda m: scaled(F.trim(m)))
 
     def steps(m: Column) -> Column:
         unit = F.regexp_extract(m, r"(dias|anos|meses|horas)$", 1)
-        raw = F.regexp_extract_all(m, F.lit(f"({one})"), 1)
+        raw = F.regexp_extract_all(m, F.lit(f"({NUMBER})"), 1)
         return F.array(*[_point(F.get(raw, F.lit(i)), pt_number(F.get(raw, F.lit(i))), unit, False) for i in (0, 1)])
 
-    moves = F.flatten(F.filter(F.transform(found(rf"{one}\s*(?:para|→)\s*{one}\s*(?:dias|anos|meses|horas)?"), steps), lambda a: ~F.exists(a, lambda p: _is_year(p["value"]))))
-    counted = F.transform(found(rf"{one}\s*(?:leitos|pacientes|contratos|registros)"), lambda m: _point(m, number(m), F.regexp_extract(m, r"(\p{L}+)$", 1), False))
+    moves = F.flatten(F.filter(F.transform(found(MOVE), steps), lambda a: ~F.exists(a, lambda p: _is_year(p["value"]))))
+    counted = F.transform(found(COUNTED), lambda m: _point(m, number(m), F.regexp_extract(m, r"(\p{L}+)$", 1), False))
     return F.concat(*[F.coalesce(a.cast(f"array<{POINT}>"), F.array().cast(f"array<{POINT}>")) for a in (percents, sized, moves, counted)])
 
 
 def has_calculation(text: Column, points: Column) -> Column:
     """Two values or more and a percentage that is said to follow from them."""
     percents, values = F.filter(points, lambda p: p["percent"]), F.filter(points, lambda p: ~p["percent"])
-    annual = text.rlike(r"(?i)crescimento\s+anual|taxa\s+anual|CAGR")
-    span = (F.size(percents) >= 2) & text.rlike(r"(?i)entre\s+\d+[,.]?\d*\s*%\s+e\s+\d+|de\s+\d+[,.]?\d*\s*%\s+a\s+\d+")
-    moved = text.rlike(r"\d+\s*(?:para|→)\s*\d+")
-    told = text.rlike(
-        r"(?i)(?:redu[çc]ão|melhor(?:ia|ou)|queda|varia[çc]ão|aument)\s+(?:de\s+)?\d+[,.]?\d*\s*%"
-        r"|\d+\s*(?:para|→)\s*\d+.*?(?:—|–|-)\s*(?:uma?\s+)?(?:redu|melhor|queda|aument)\S*\s+(?:de\s+)?\d+[,.]?\d*\s*%"
-    )
-    return (F.size(values) >= 2) & (F.size(percents) > 0) & ~annual & ~span & moved & told
+    span = (F.size(percents) >= 2) & text.rlike(SPAN)
+    return (F.size(values) >= 2) & (F.size(percents) > 0) & ~text.rlike(ANNUAL) & ~span & text.rlike(MOVED) & text.rlike(TOLD)
 
 
 def extract(texts: DataFrame, id_col: str = "doc", text_col: str = "text") -> DataFrame:

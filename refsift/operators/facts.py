@@ -11,20 +11,24 @@ from ..functions.text import collapsed, stripped
 from .dedup import cut, leaders
 from .keyed import band_join
 
+# How alike a quote must be, lines and links that don't count, what a number looks like, what is none.
 QUOTE, SHORT_QUOTE = 93.0, 40
+METADATA = r"(?m)^(\*\*(Link|Autores|Grade|Eixos|Acesso):.*|---.*)$\n?"
+LINKS = r"https?://\S+|10\.\d{4,}/\S+"
+AMOUNT = r"((?:(?:US?\$|R\$|\$)\s*)?(?:\d[\d,.']*\d|\d)(?:\s*%)?)"
+CITED, YEAR = r"\[\d+(?:\s*[,–-]\s*\d+)*\]", r"^(19|20)\d\d$"
 
 
 def searchable(content: Column) -> Column:
     """Without the header's lines of metadata, links and DOIs."""
-    bare = F.regexp_replace(content, r"(?m)^(\*\*(Link|Autores|Grade|Eixos|Acesso):.*|---.*)$\n?", "")
-    return F.regexp_replace(bare, r"https?://\S+|10\.\d{4,}/\S+", "")
+    return F.regexp_replace(F.regexp_replace(content, METADATA, ""), LINKS, "")
 
 
 def number_candidates(contents: DataFrame, reach: int = 150) -> DataFrame:
     """number, ordinal, raw, context, value, kind for every number of a content that is no citation, year, zero or
     single digit (unless a percentage or an amount)."""
     clean = contents.select("number", searchable(F.col("content")).alias("text"))
-    pattern = r"((?:(?:US?\$|R\$|\$)\s*)?(?:\d[\d,.']*\d|\d)(?:\s*%)?)"
+    pattern = AMOUNT
     parts = clean.withColumns({"gaps": F.split("text", pattern), "hits": F.regexp_extract_all("text", F.lit(pattern), 1)})
     # a number has a sign of its own and one beside it, so so many on either side hold all signs within reach
     far = reach // 2 + 1
@@ -45,7 +49,7 @@ def number_candidates(contents: DataFrame, reach: int = 150) -> DataFrame:
     context = F.concat("before", "hit", "after")
     near = F.concat(F.substring("before", F.greatest(F.length("before") - 14, F.lit(1)), F.lit(15)), F.col("hit"), F.substring("after", 1, 15))
     told = one.select("number", "ordinal", raw.alias("raw"), "hit", context.alias("context"), near.alias("near"))
-    noise = F.col("near").rlike(r"\[\d+(?:\s*[,–-]\s*\d+)*\]") | F.col("raw").rlike(r"^(19|20)\d\d$")
+    noise = F.col("near").rlike(CITED) | F.col("raw").rlike(YEAR)
     single = (F.length("raw") == 1) & ~F.col("hit").rlike(r"[%$]")
     told = told.where(~noise & ~single).withColumns({"value": number_value(F.col("raw"), F.col("context")), "kind": number_class(F.col("context"))})
     return told.where("value is not null and value <> 0").select("number", "ordinal", "raw", "context", "value", "kind")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.text import dois, filled, stripped
 from ..operators.dedup import cut
 
+# The line of a tag, and the entry of a numbered list.
 RIS_TAG = r"^([A-Z][A-Z0-9])  ?- ?(.*)$"
+BIB = r"(\d{4});(\d+)(?:\(([^)]+)\))?:(\S+?)\.?\s*$"
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +123,7 @@ def numbered_references(files: DataFrame) -> DataFrame:
     e = e.withColumn("url", filled(F.regexp_extract("_cut", r"Disponível na Internet:\s*(https?://\S+?)(?:\s*\(|$)", 1)))
     law = F.col("raw").rlike("Diário Oficial|Lei nº|Decreto")
     kind = F.when(law, "legislation").when(F.col("url").isNotNull() & F.col("doi").isNull(), "web").when(F.col("doi").isNotNull() | F.col("raw").rlike(r"\d{4};\d+"), "journal").when(F.col("url").isNotNull(), "web").otherwise("unknown")
-    bib = r"(\d{4});(\d+)(?:\(([^)]+)\))?:(\S+?)\.?\s*$"
+    bib = BIB
     e = e.withColumns({"ref_type": kind, "_bib": F.regexp_extract("_cut", bib, 0)})
     has = F.col("_bib") != ""
     before = F.when(has, F.rtrim(stripped(F.regexp_replace("_cut", bib, "")), F.lit("."))).otherwise(F.col("_cut"))
