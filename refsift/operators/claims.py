@@ -101,11 +101,17 @@ def extract(texts: DataFrame, id_col: str = "doc", text_col: str = "text") -> Da
     paragraphs = texts.select(F.col(id_col).alias("doc"), F.posexplode(F.split(body, r"\n\s*\n")).alias("paragraph", "p")).withColumn("p", stripped(F.col("p")))
     paragraphs = paragraphs.where(F.col("p").rlike(CITATION) & ~F.col("p").startswith("#"))
     told = paragraphs.withColumns({"parts": F.split("p", CITATION), "cites": F.regexp_extract_all(F.col("p"), F.lit(f"({CITATION})"), 1)})
-    one = told.select("doc", "paragraph", "parts", "cites", F.posexplode("cites").alias("ordinal", "cite"))
-    part = F.get("parts", F.col("ordinal"))
-    plain = F.regexp_replace(F.regexp_replace(stripped(part), r"\*{1,2}(.+?)\*{1,2}", "$1"), r"^\s*[—–\-]\s*", "")
-    before = F.array_join(F.transform(F.sequence(F.lit(0), F.col("ordinal")), lambda i: F.concat(F.get("parts", i), F.when(i < F.col("ordinal"), F.get("cites", i)).otherwise(""))), "")
-    sentence = stripped(F.element_at(F.split(before, r"\."), -1))
+
+    def since(i: Column) -> Column:
+        """The text from the last part with a full stop on."""
+        dotted = F.filter(F.sequence(F.lit(0), i), lambda k: F.contains(F.get("parts", k), F.lit(".")))
+        return F.array_join(F.transform(F.sequence(F.coalesce(F.array_max(dotted), F.lit(0)), i), lambda k: F.concat(F.get("parts", k), F.when(k < i, F.get("cites", k)).otherwise(""))), "")
+
+    # a citation's own text is cut out before the rows are spread, so no row carries its whole paragraph along
+    spans = F.transform("cites", lambda cite, i: F.struct(i.alias("ordinal"), cite.alias("cite"), F.get("parts", i).alias("part"), since(i).alias("since")))
+    one = told.select("doc", "paragraph", F.explode(spans).alias("s")).select("doc", "paragraph", "s.*")
+    plain = F.regexp_replace(F.regexp_replace(stripped(F.col("part")), r"\*{1,2}(.+?)\*{1,2}", "$1"), r"^\s*[—–\-]\s*", "")
+    sentence = stripped(F.element_at(F.split("since", r"\."), -1))
     one = one.withColumns({"_plain": plain, "_sentence": sentence})
     text = F.when(F.length("_plain") >= 10, F.col("_plain")).otherwise(F.col("_sentence"))
     one = one.withColumn("claim_text", text).where(F.length("claim_text") >= 10)
