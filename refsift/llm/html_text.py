@@ -148,8 +148,9 @@ def blocks(html: str | None) -> list[Block]:
             continue
         attributes = m[3] or m[6] or ""
         if m[1] or m[4]:
-            if any(tag == x.tag for x in stack):
-                if tag in BLOCK_TAGS:
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
+            if k is not None:
+                if any(x.tag in BLOCK_TAGS for x in stack[k:]):
                     flush()
                 while pop() != tag:
                     pass
@@ -183,13 +184,11 @@ def blocks(html: str | None) -> list[Block]:
                         pop()
         if attributes.endswith("/"):
             continue
-        hush = tag in SILENT_TAGS
         is_named, slot = _element(tag, attributes, marked > 0, stack[-1].slot if stack else "")
-        if hush and not silent or is_named and not named:
-            flush()
+        hush = tag in SILENT_TAGS
+        if tag not in BLOCK_TAGS:  # furniture within a line is no line of its own, and no part of a slot
+            hush, is_named, slot = hush or is_named, False, stack[-1].slot if stack else ""
         mark = tag in ARTICLE_TAGS and not (is_named or named or hush or silent)
-        if tag not in BLOCK_TAGS and not is_named:
-            slot = stack[-1].slot if stack else ""  # a slot is made of block-level elements
         stack.append(Element(tag, hush, is_named, mark, slot))
         silent += hush
         named += is_named

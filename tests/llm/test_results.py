@@ -416,6 +416,8 @@ PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var
         ("<nav>never closed<article>a<!-- <p>no</p> --><p>b</article>", "a\n\nb"),
         ("<article><header><h1>title</h1></header><p>1 &lt; 2 <a href='x>y'>go</a></p></article>", "title\n\n1 < 2 go"),
         ("<article><ul><li>one<li>two</ul><div id=login>h</div><button>b</button></article></body></html>", "one\n\ntwo\n\nh\n\nb"),
+        ("<article><p>one <span class='ad'>buy</span>two <svg><text>x</text></svg>three<em>!</em></p></article>", "one two three!"),
+        ("<article><p>one<b><div class='ad'>buy</b>two</article>", "one\n\ntwo"),
         ("", ""),
         ("plain <i>te</i>xt", "plain text"),
     ],
