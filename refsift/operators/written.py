@@ -83,9 +83,9 @@ def percent(c: str = "percent") -> Column:
     return F.concat(F.format_string("%.1f", F.col(c)), F.lit("%"))
 
 
-def _shares(section: int, rows: DataFrame, column: str, values: Sequence, names: Column) -> DataFrame:
+def _shares(section: int, rows: DataFrame, column: str, values: Sequence, name: Column, *more: Column) -> DataFrame:
     told = reports.by_domain(rows, column, values)
-    return listed(section, told, cells(names, "n", percent()), F.col("position"))
+    return listed(section, told, cells(name, "n", percent(), *more), F.col("position"))
 
 
 def by_source(refs: DataFrame, none: str = "seed/manual") -> DataFrame:
@@ -130,8 +130,8 @@ def audit(refs: DataFrame, scope: Scope) -> DataFrame:
             listed(1, pending(refs), cells("id", F.substring(title, 1, 60), F.coalesce(filled(F.col("doi")), F.lit("-")), F.array_join("pendencies", "; ")), F.col("_seq")),
             said(spark, 2, ["", "## Grades", "", *heading("grade", "records", "share")]),
             _shares(3, active, "grade", GRADES, F.upper("grade")),
-            said(spark, 4, ["", "## Tiers", "", *heading("tier", "records", "share")]),
-            _shares(5, active, "tier", tuple(TIERS), F.concat_ws(": ", "tier", tiers)),
+            said(spark, 4, ["", "## Tiers", "", *heading("tier", "records", "share", "meaning")]),
+            _shares(5, active, "tier", tuple(TIERS), F.col("tier"), tiers),
             listed(6, alert, F.concat(F.lit("> ALERT: T1 is at "), F.format_string("%.0f", F.col("share")), F.lit(f"%, below the {reports.T1_SHARE.get(scope.modality, 50)}% that {scope.modality} asks for")), F.lit(0)),
             said(spark, 7, ["", "## Relevance", "", *heading("relevance", "records", "share")]),
             _shares(8, active, "relevance", (DIRECT, TANGENTIAL, OFF_TOPIC), F.col("relevance")),

@@ -41,7 +41,7 @@ ROWS = [
 def test_audit_and_flow(spark):
     r = refs(spark, ROWS)
     audit = lines(written.audit(r, SCOPE))
-    for wanted in ("| identified | 6 |", "| after deduplication | 5 |", "| duplicates | 1 |", "| retracted | 1 |", "| corrected | 1 |", "| GOLD | 2 | 40.0% |", "| T1: peer-reviewed | 2 | 40.0% |", "| pubmed | 2 |"):
+    for wanted in ("| identified | 6 |", "| after deduplication | 5 |", "| duplicates | 1 |", "| retracted | 1 |", "| corrected | 1 |", "| GOLD | 2 | 40.0% |", "| T1 | 2 | 40.0% | peer-reviewed |", "| pubmed | 2 |"):
         assert wanted in audit
     assert any(x.startswith("> ALERT: T1 is at 40%") and "70%" in x for x in audit)
     assert "| r2 | Left open | - | unverifiable |" in audit and "| r3 | Off | off_topic |" in audit
