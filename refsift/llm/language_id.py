@@ -27,19 +27,22 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, shipped
+from .common import held_out, shipped, tidy
 from .textvec import codepoints, slices
 
 DOCS = 400
 WINDOW = 8192
 LETTERS = 64_000
 BLOCK = 256
+#: So many blocks or fewer are parsed anew one by one.
+FEW = 48
 #: How sharply differences of entropy (bits a symbol) turn into the score.
 SHARPNESS = 8.0
 #: A text whose best entropy is over so many bits a symbol shares hardly more than single letters with any sample (a
@@ -55,6 +58,7 @@ LENGTHS = tuple(1 << k for k in range(2, 14))
 MOST_LANGUAGES = 512
 
 
+@cache
 def _unicode_letters() -> np.ndarray:
     """For each code point its lower-case letter, or 0 where it is no letter."""
     out = np.zeros(0x110000, np.uint32)
@@ -138,7 +142,8 @@ def places_of(nexts: list[dict[int, int]], size: int) -> tuple[list[int], int]:
         if not edges:
             break
         least, others = edges[0], edges[1:]
-        at, tries = taken.find(0, max(least, begin.get(len(edges), 0))), 0
+        first = begin[len(edges)] = max(0, taken.find(0, begin.get(len(edges), 0)))
+        at, tries = taken.find(0, max(least, first)), 0
         while True:
             if at < 0 or at + size >= len(taken):
                 taken.extend(bytes(len(taken)))
@@ -199,6 +204,7 @@ class Parser:
         alone, end, total = count.copy(), state.copy(), count
         entered = np.full(blocks, self.start, np.int64)
         later = np.flatnonzero(before >= 0)
+        view, restart = memoryview(self.steps), self.restart.tolist()
         while True:
             todo = later[end[before[later]] != entered[later]]
             if not len(todo):
@@ -206,13 +212,12 @@ class Parser:
             entered[todo] = end[before[todo]]
             mine, made = entered[todo], np.zeros(len(todo), np.int32)
             row = 0
-            while len(todo):
+            while len(todo) > FEW:
                 over = lengths[todo] <= row
                 if over.any():
                     end[todo[over]], total[todo[over]] = mine[over], made[over]
                     todo, mine, made = todo[~over], mine[~over], made[~over]
-                    if not len(todo):
-                        break
+                    continue
                 mine, begins = self._step(mine, grid[row, todo])
                 made = made + begins
                 row += 1
@@ -221,6 +226,19 @@ class Parser:
                     done = todo[agreed]
                     end[done], total[done] = state[done], made[agreed] + alone[done] - counts[row, done]
                     todo, mine, made = todo[~agreed], mine[~agreed], made[~agreed]
+            for k, here, n in zip(todo.tolist(), mine.tolist(), made.tolist(), strict=True):  # a few: one by one
+                at, stop = row, int(lengths[k])
+                for c, other in zip(grid[row:stop, k].tolist(), states[row + 1 : stop + 1, k].tolist(), strict=True):
+                    found = view[here + c]
+                    if found >> 32 == here:
+                        here = found & 0xFFFFFFFF
+                    else:
+                        here, n = restart[c], n + 1
+                    at += 1
+                    if here == other:
+                        here, n = int(state[k]), n + int(alone[k] - counts[at, k])
+                        break
+                end[k], total[k] = here, n
 
 
 class Model:
@@ -361,7 +379,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(language), pa.array(score), pa.array(bits), pa.array(strange)], names=["doc_id", "lang_pred", "score", "bits", "strange"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double, strange boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, bits double, strange boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -385,4 +403,4 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
                 language, _, _, strange = model.predict(texts[i:j])
                 yield batch.slice(i, j - i).filter(pa.array(~strange & (np.array(language) != "und")))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
