@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -22,11 +23,12 @@ from .textvec import U64, codepoints, run_hashes
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 _BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Distinct pre-tokens remembered between slices.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Signs after which a sentence may end.
 STOPS = frozenset(".!?\n")
 
 
+@cache
 def classes() -> np.ndarray:
     """The class of every code point."""
     by = {"L": LETTER, "N": NUMBER}

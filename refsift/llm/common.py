@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import pickle
+import sys
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,3 +123,21 @@ def shipped(spark: SparkSession, model: object) -> Callable[[], object]:
     """A function that gives workers a model of bounded size; its classes travel by value with it."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(model))
     return lambda: pickle.loads(held.value)  # noqa: S301  our own bytes
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which a worker gives back the memory that it has freed: workers are kept from task to task, and what
+    one operator needed would otherwise count beside the next one's."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+                if trim is not None:
+                    trim(0)
+
+    return inner

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, tidy
 from .ordered import dealt
 
 ROWS = 1024
@@ -345,4 +345,4 @@ def extract(pages: DataFrame) -> DataFrame:
         if rows:
             yield batch_of(ids)
 
-    return ranged.select("_rs_range", "_rs_ghost", "page_id", "url", "html", "host", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_shared long, n_named long")
+    return ranged.select("_rs_range", "_rs_ghost", "page_id", "url", "html", "host", "path").mapInArrow(tidy(run), f"page_id {kind}, url string, text string, n_chars long, n_shared long, n_named long")

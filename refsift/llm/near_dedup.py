@@ -20,7 +20,7 @@ similarity is at least 3/4; the answer is the smallest doc_id reachable over lin
 5. A key of over BLOCK members is divided before that, without losing a pair at 3/4: such a pair shares one of the first
    |x| - ceil(3/4 |x|) + 1 shingles of either set in any common order. In the order used here the shingles that most of
    these members have come last, so texts that have a passage in common meet only if they have more than that in common.
-   Shingles that still have over BLOCK members are compared in blocks of that size.
+   Shingles that still have over PART members are compared in blocks of that size.
 
 A set is held as 64-bit hashes: n_shingles and the confirmation are exact but for collisions of these, of which a text
 of a million shingles has one with a probability of 3e-8.
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import Workspace, freed_shuffles, once, shipped
+from .common import Workspace, freed_shuffles, once, shipped, tidy
 from .components import components
 from .textvec import U64, Words, mix64, seeded, shingle_hashes, slices, string_buffers
 
@@ -61,7 +61,7 @@ FAR = 126
 #: that, in how many of the SYMBOLS. (4.3 and 4.7 standard deviations beyond the mean at 3/4.)
 WIDE = 768
 FAR_WIDE, FAR_FIRST = 243, 44
-BLOCK = 1024
+BLOCK, PART = 1024, 1024
 #: So many of the most frequent shingles of members of large keys are told to all tasks, to be put last.
 FREQUENT = 1 << 16
 #: Turns in which members are compared with one member of their key.
@@ -170,14 +170,14 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, same (digest of the set), signature."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_described, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidy(_described), _SCHEMA)
 
 
 def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """rep, shingles (the sorted set) of the documents named in reps. The texts are dealt out by id at every size; the
     sets of documents that share no key are never kept."""
     plain = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text"))
-    found = plain.join(reps.select("rep").hint("merge"), "rep", "left_semi").mapInArrow(_shingled, "rep long, shingles array<long>")
+    found = plain.join(reps.select("rep").hint("merge"), "rep", "left_semi").mapInArrow(tidy(_shingled), "rep long, shingles array<long>")
     return found.where(F.size("shingles") > 0)
 
 
@@ -266,7 +266,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame
 def _signed(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     one = signed.select(F.col("rep").alias("a"), F.col("signature").alias("one"))
     two = signed.select(F.col("rep").alias("b"), F.col("signature").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_near, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(tidy(_near), "a long, b long")
 
 
 def _named(members: DataFrame, links: DataFrame | None, space: Workspace) -> DataFrame:
@@ -297,9 +297,10 @@ def _hub_pairs(named: DataFrame, weights: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
-def _compared(sized: DataFrame, signed: DataFrame, wide: DataFrame) -> DataFrame:
-    """Rows (key, rep, comp, n) as `_across` takes them: members of one key side by side, in pairs of blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def _compared(sized: DataFrame, signed: DataFrame, wide: DataFrame, size: int) -> DataFrame:
+    """Rows (key, rep, comp, n) as `_across` takes them: members of one key side by side, in pairs of blocks of about
+    size members."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
     dealt = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "rep", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
@@ -328,7 +329,7 @@ def _divided(large: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
                 chosen = prefix(shingles.values.to_numpy(), frequent)
                 yield pa.RecordBatch.from_arrays([pa.array(chosen), pa.array(np.full(len(chosen), rep)), pa.array(np.full(len(chosen), comp))], names=["key", "rep", "comp"])
 
-    spread = own.select("rep", "shingles", "comp").mapInArrow(run, "key long, rep long, comp long").distinct()
+    spread = own.select("rep", "shingles", "comp").mapInArrow(tidy(run), "key long, rep long, comp long").distinct()
     held = spread.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     return spread.join(held.select("key", "n"), "key")
 
@@ -345,7 +346,7 @@ def link(docs: DataFrame) -> DataFrame:
         classes = space.cut(thin.where("doc_id is not null and same is not null").groupBy("same").agg(F.min("doc_id").alias("rep")), "classes")
         firsts = told.where("doc_id is not null and same is not null").select(F.col("doc_id").alias("rep"), "same", "signature").join(classes, ["same", "rep"], "left_semi")
         signed = space.cut(firsts.select("rep", "signature").distinct(), "signed")
-        keyed = signed.mapInArrow(_keyed, "key long, rep long")
+        keyed = signed.mapInArrow(tidy(_keyed), "key long, rep long")
         shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         members = space.cut(keyed.join(shared, "key").select("key", "rep", "n"), "members")
         weights = space.cut(members.groupBy("rep").agg(F.sum("n").alias("weight")), "weights")
@@ -364,13 +365,13 @@ def link(docs: DataFrame) -> DataFrame:
         rest = space.cut(_open(named), "rest")
         space.drop(members)
         counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        wide = space.cut(sets.join(rest.select("rep").distinct(), "rep", "left_semi").mapInArrow(_widened, "rep long, wide binary").distinct(), "wide")
+        wide = space.cut(sets.join(rest.select("rep").distinct(), "rep", "left_semi").mapInArrow(tidy(_widened), "rep long, wide binary").distinct(), "wide")
         sized = rest.join(counts, "key")
-        crossed = _compared(sized.where(F.col("n") <= BLOCK), signed, wide).mapInArrow(_across, "a long, b long")
+        crossed = _compared(sized.where(F.col("n") <= BLOCK), signed, wide, BLOCK).mapInArrow(tidy(_across), "a long, b long")
         large = space.cut(sized.where(F.col("n") > BLOCK).select("rep", "comp").distinct(), "large")
         if not large.isEmpty():
             divided = space.cut(_divided(large, sets, space), "divided")
-            crossed = crossed.unionByName(_compared(divided, signed, wide).mapInArrow(lambda rows: _across(rows, False), "a long, b long"))
+            crossed = crossed.unionByName(_compared(divided, signed, wide, PART).mapInArrow(tidy(lambda rows: _across(rows, False)), "a long, b long"))
         crossed = space.cut(crossed.distinct().join(tried, ["a", "b"], "left_anti"), "crossed")
         more = _confirmed(crossed, sets, space)
         shared_ids = _shared_ids(thin, classes)

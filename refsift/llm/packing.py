@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bytebpe import ByteBPE
+from .common import tidy
 from .textvec import SLICE, slices
 
 LIMIT = 2048
@@ -159,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, with_ids: bool = F
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            for i, j in slices(sizes, 2 * SLICE):
+            for i, j in slices(sizes, SLICE // 2):
                 ids, at, stops = encoder.encode(texts[i:j])
                 for k in range(j - i):
                     own = np.append(ids[at[k] : at[k + 1]], np.uint32(END)).astype("<u4")
@@ -171,4 +172,4 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, with_ids: bool = F
         if rows:
             yield rows_of(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {field.simpleString()}, {COLUMNS}{', ids array<int>' * with_ids}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {field.simpleString()}, {COLUMNS}{', ids array<int>' * with_ids}")

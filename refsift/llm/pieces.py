@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytebpe import Remembered
+from .common import tidy
 from .textvec import SLICE, U64, codepoints, slices, string_buffers
 
 MARK = 0x2581
@@ -410,4 +411,4 @@ def encode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
                     arrays.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean{', ids array<int>' * with_ids}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean{', ids array<int>' * with_ids}")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, shipped
+from .common import held_out, shipped, tidy
 from .textvec import BLANK, U64, Words, mix64, run_hashes, seeded, slices, string_buffers
 
 DIM = 64
@@ -232,7 +232,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_vectors(texts: DataFrame) -> Vectors:
     """Token vectors of all texts; text is the only column."""
-    added = texts.mapInArrow(_sums, "bucket int, v array<bigint>").groupBy("bucket").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
+    added = texts.mapInArrow(tidy(_sums), "bucket int, v array<bigint>").groupBy("bucket").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
     found = added.toArrow()  # a row a bucket, 36,864 at most
     vectors = Vectors()
     vectors.put(found.column(0).to_numpy(), np.stack([found.column(i + 1).to_numpy() for i in range(DIM)], axis=1))
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(x.astype(np.float32).ravel()))], names=["doc_id", "quality", "x"])
 
     kinds = dict(docs.dtypes)["doc_id"], dict(labels.dtypes)["quality"]
-    found = whole.join(chosen, F.col("doc_id") == F.col("_rs_id")).select("doc_id", "text", "quality").mapInArrow(run, f"doc_id {kinds[0]}, quality {kinds[1]}, x array<float>")
+    found = whole.join(chosen, F.col("doc_id") == F.col("_rs_id")).select("doc_id", "text", "quality").mapInArrow(tidy(run), f"doc_id {kinds[0]}, quality {kinds[1]}, x array<float>")
     # one text of each chosen id, however many rows share it
     each = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*")
     rows = sorted(((r["doc_id"], r["quality"], r["x"]) for r in each.collect()))
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found.astype(np.float64))], names=["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def keep(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -304,7 +304,7 @@ def keep(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                 found = model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield batch.slice(i, j - i).filter(pa.array(found >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

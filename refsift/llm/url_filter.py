@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, tidy
 from .exact_dedup import digests
 from .html_text import blocks, host_of, main_text, path_of
 
@@ -174,5 +174,5 @@ def labelled(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
     bad = F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0))
     marks = labels.groupBy("doc_id").agg(bad.alias("bad")).where("bad is not null")
     texts = digests(docs).select("doc_id", "text_sha256").join(marks, "doc_id").groupBy("text_sha256").agg(F.max("bad").alias("bad"))
-    seen = pages.select("url", "html").mapInArrow(_digested, "url string, text_sha256 string")
+    seen = pages.select("url", "html").mapInArrow(tidy(_digested), "url string, text_sha256 string")
     return seen.join(texts, "text_sha256").select(host_of(F.col("url")).alias("host"), "bad")

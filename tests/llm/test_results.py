@@ -71,7 +71,8 @@ def components_of(rows):
 
 @pytest.mark.parametrize("seed", (1, 2))
 def test_near_dedup(spark, monkeypatch, seed):
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # hot keys in several blocks
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # hot keys are divided, and their shingles cut into blocks
+    monkeypatch.setattr(near_dedup, "PART", 5)
     rows = texts(seed, 160)
     want, sets = components_of(rows)
     got = {r["doc_id"]: r for r in near_dedup.link(frame(spark, rows)).collect()}
@@ -131,6 +132,7 @@ def test_prefixes_of_similar_sets_meet():
 def test_texts_with_a_common_passage(spark, monkeypatch):
     """Many texts of one template, some of them near-duplicates: every key of the template is divided."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PART", 3)
     rng = random.Random(14)
     passage = [rng.choice(WORDS) for _ in range(60)]
     rows = []
