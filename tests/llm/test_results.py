@@ -71,8 +71,7 @@ def components_of(rows):
 
 @pytest.mark.parametrize("seed", (1, 2))
 def test_near_dedup(spark, monkeypatch, seed):
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # hot keys are divided, and their shingles cut into blocks
-    monkeypatch.setattr(near_dedup, "PART", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # hot keys in several blocks
     rows = texts(seed, 160)
     want, sets = components_of(rows)
     got = {r["doc_id"]: r for r in near_dedup.link(frame(spark, rows)).collect()}
@@ -115,24 +114,9 @@ def test_pairs_within_the_guaranteed_distance_are_confirmed():
     assert sorted(found) == [(k, 1000 + k) for k in range(200)]  # each once
 
 
-def test_prefixes_of_similar_sets_meet():
-    """Whatever shingles count as frequent, two sets at 3/4 share a shingle of their prefixes."""
-    rng = random.Random(5)
-    for _ in range(400):
-        n = rng.randint(1, 60)
-        one = set(rng.sample(range(500), n))
-        two = set(rng.sample(sorted(one), rng.randint(max(1, n - n // 5), n))) | set(rng.sample(range(500, 600), rng.randint(0, n // 8)))
-        frequent = np.array(rng.sample(range(500), 100))
-        a, b = (set(near_dedup.prefix(np.array(sorted(s)), frequent).tolist()) for s in (one, two))
-        if 100 * len(one & two) >= 75 * len(one | two):
-            assert a & b
-        assert len(a) == n - math.ceil(0.75 * n) + 1
-
-
 def test_texts_with_a_common_passage(spark, monkeypatch):
-    """Many texts of one template, some of them near-duplicates: every key of the template is divided."""
+    """Many texts of one template, some of them near-duplicates: the template's keys are cut into blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "PART", 3)
     rng = random.Random(14)
     passage = [rng.choice(WORDS) for _ in range(60)]
     rows = []
@@ -143,12 +127,9 @@ def test_texts_with_a_common_passage(spark, monkeypatch):
             rows.append(" ".join(words))
         else:
             rows.append(" ".join(passage + [rng.choice(WORDS) for _ in range(rng.choice((12, 16, 30)))]))
-    seen = []
-    divided = near_dedup._divided
-    monkeypatch.setattr(near_dedup, "_divided", lambda *a: seen.append(1) or divided(*a))
     want, _ = components_of(rows)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.link(frame(spark, rows)).collect()}
-    assert [got[i] for i in range(len(rows))] == want and len(set(want)) < len(rows) and seen
+    assert [got[i] for i in range(len(rows))] == want and len(set(want)) < len(rows)
 
 
 def test_pairs_of_groups():
