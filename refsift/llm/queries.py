@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, pieces, quality, sharding, url_filter
+from . import divergence, exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, pieces, quality, sharding, toxicity, url_filter
 from .common import table
 
 SHARDS = 256
@@ -63,6 +63,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_near_dedup,
     op2_exact_dedup,
@@ -74,6 +82,8 @@ _ALL = (
     op8_url_filter,
     op9_sharding,
     op10_fingerprints,
+    op11_toxicity,
+    op13_source_divergence,
 )
 
 
@@ -82,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op9_sharding": sharding.oracle(SHARDS)}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op9_sharding": sharding.oracle(SHARDS), "op13_source_divergence": divergence.ORACLE}
