@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, pieces, quality, sharding, toxicity, url_filter
+from . import alignment, divergence, exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, pieces, quality, sharding, toxicity, url_filter
 from .common import table
 
 SHARDS = 256
@@ -67,6 +67,10 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measure(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ _ALL = (
     op9_sharding,
     op10_fingerprints,
     op11_toxicity,
+    op12_alignment,
     op13_source_divergence,
 )
 
