@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteBPE, byte_letters
+from .bytebpe import ByteBPE, byte_letters, classes
 from .common import Workspace, tidy
 from .pieces import MARK, Coder
 from .textvec import SLICE, slices, string_buffers
@@ -72,8 +72,8 @@ def byte_level(tokenizer: ByteBPE) -> Bytes:
 class Aligner:
     """Tokens of both kinds for many texts at once."""
 
-    def __init__(self, config: str, proto: bytes):
-        self.a, self.b = ByteBPE(config), Coder(proto)
+    def __init__(self, config: str, proto: bytes, kinds: np.ndarray | None = None):
+        self.a, self.b = ByteBPE(config, kinds), Coder(proto)
         self.spelled = byte_level(self.a), Bytes(self.b.v.bytes_of)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -273,7 +273,7 @@ def align(docs: DataFrame, tokenizer: str, model: str) -> tuple[DataFrame, DataF
 def _aligned(docs: DataFrame, tokenizer: str, model: str, space: Workspace) -> tuple[DataFrame, DataFrame, tuple[Bytes, Bytes]]:
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f, open(model, "rb") as g:
-        made = f.read(), g.read()
+        made = f.read(), g.read(), classes()
     shared = spark.sparkContext.broadcast(made)
     aligner = Aligner(*made)
     spelled = aligner.spelled

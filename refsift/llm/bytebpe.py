@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -28,9 +27,8 @@ REMEMBERED = 300_000
 STOPS = frozenset(".!?\n")
 
 
-@cache
 def classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point. Made once, on the driver, and sent to tasks beside the tokenizer."""
     by = {"L": LETTER, "N": NUMBER}
     out = np.empty(0x110000, np.uint8)
     for c in range(0x110000):
@@ -131,15 +129,15 @@ class Remembered:
 class ByteBPE(Remembered):
     """encode(): ids of all texts, one after another; offsets of the texts; where a sentence ends."""
 
-    def __init__(self, config: str):
-        """config: the tokenizer's JSON."""
+    def __init__(self, config: str, kinds: np.ndarray | None = None):
+        """config: the tokenizer's JSON; kinds: what classes() gives."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(config)
         self.library.encode_special_tokens = True
         self.merger = _merger(config)
-        self.kinds = classes()
+        self.kinds = classes() if kinds is None else kinds
         super().__init__()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:

@@ -13,8 +13,10 @@ lies in an element that by tag, role, class or id is a menu, header, footer, sid
 readers, and, on a page that marks its article (`article` or `main`), all that lies outside of it. Every other line is
 compared by its text.
 
-Furniture that a neighbour shares goes. Furniture that neither neighbour has (an advert on this page only), or of a page
-without neighbours, goes for its element's name; n_named counts its lines, n_shared those that differencing deleted.
+Furniture that a neighbour shares goes, and so does furniture that one of the FURTHER pages before it on its host shares
+(an advert that not every page has). Furniture that none of them shares stays: it is this page's own. Only a page that is
+alone on its host, where there is nothing to compare it with, loses its furniture by its elements' names; n_named counts
+those lines, n_shared those that differencing deleted.
 Lines of a marked article stay: a passage that two articles share belongs to both. On a page without a mark, shared
 lines go unless that would delete more than half of the text that is no furniture: then the two may be copies of one
 article rather than pages of one template, and the other neighbour is tried. Lines that both neighbours share go
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from html import unescape
 from itertools import zip_longest
@@ -47,6 +50,8 @@ from .common import Workspace, tidy
 from .ordered import dealt
 
 ROWS = 1024
+#: Earlier pages of the host, beside the two neighbours, that furniture is compared with.
+FURTHER = 6
 NAMES = ["page_id", "url", "text", "n_chars", "n_shared", "n_named"]
 
 BLOCK_TAGS = frozenset(
@@ -200,13 +205,19 @@ def blocks(html: str | None) -> list[Block]:
 
 def shared(mine: list[str], other: list[str]) -> set[int]:
     """Places in mine of one longest common subsequence (Hunt and Szymanski)."""
+    head, most = 0, min(len(mine), len(other))  # what both begin and end with is in some longest one
+    while head < most and mine[head] == other[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and mine[-1 - tail] == other[-1 - tail]:
+        tail += 1
     where: dict[str, list[int]] = {}
-    for j in range(len(other) - 1, -1, -1):
+    for j in range(len(other) - 1 - tail, head - 1, -1):
         where.setdefault(other[j], []).append(j)
     ends: list[int] = []
     chains: list[tuple] = []
-    for i, line in enumerate(mine):
-        for j in where.get(line, ()):
+    for i in range(head, len(mine) - tail):
+        for j in where.get(mine[i], ()):
             k = bisect_left(ends, j)
             link = (i, chains[k - 1] if k else None)
             if k == len(ends):
@@ -214,7 +225,7 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
                 chains.append(link)
             elif j < ends[k]:
                 ends[k], chains[k] = j, link
-    out: set[int] = set()
+    out = {*range(head), *range(len(mine) - tail, len(mine))}
     link = chains[-1] if chains else None
     while link:
         out.add(link[0])
@@ -245,15 +256,19 @@ def units(page: list[Block]) -> list[Unit]:
 class Told(NamedTuple):
     lines: list[Block]
     shared: int  # lines that differencing deleted
-    named: int  # lines of furniture that no neighbour shares
+    named: int  # lines of furniture of a page without neighbours
 
 
-def differenced(own: list[Block], neighbours: list[list[Block]], copies: tuple[bool, ...] = (), by_name: bool = True) -> Told:
+def differenced(own: list[Block], neighbours: list[list[Block]], copies: tuple[bool, ...] = (), further: list[list[Block]] = []) -> Told:  # noqa: B006  read only
     """The lines of the main text; neighbours: the nearest page's first; copies: which of them have the page's title;
-    by_name: whether furniture that no neighbour shares goes too."""
+    further: other pages of the host, which furniture alone is compared with."""
     mine, others = units(own), [units(n) for n in neighbours]
     found = [shared([u.key for u in mine], [u.key for u in other]) for other in others]
     gone = {i for g in found for i in g if mine[i].furniture}
+    for other in further:
+        if all(i in gone for i, u in enumerate(mine) if u.furniture):
+            break
+        gone |= {i for i in shared([u.key for u in mine], [u.key for u in units(other)]) if mine[i].furniture}
     if not any(b.marked and not b.named for b in own):
         prose = {i for i, u in enumerate(mine) if not u.furniture}
         size = sum(len(mine[i].lines[0].text) for i in prose)
@@ -263,7 +278,7 @@ def differenced(own: list[Block], neighbours: list[list[Block]], copies: tuple[b
         apart = [len(g) < n and not c for g, n, c in zip_longest(same, least, copies[: len(same)], fillvalue=False)]
         if len(same) > 1 and all(apart):
             gone |= set.intersection(*same)
-    left = {i for i, u in enumerate(mine) if u.furniture and i not in gone} if by_name else set()
+    left = {i for i, u in enumerate(mine) if u.furniture and i not in gone} if not neighbours else set()
     kept = [b for i, u in enumerate(mine) if i not in gone and i not in left for b in u.lines]
     return Told(kept, *(sum(len(mine[i].lines) for i in some) for some in (gone, left)))
 
@@ -295,11 +310,11 @@ class _Page(NamedTuple):
     blocks: list[Block]
 
 
-def _told(before: _Page | None, page: _Page, after: _Page | None) -> Told:
+def _told(before: _Page | None, page: _Page, after: _Page | None, further: list[_Page]) -> Told:
     near = [x for x in (before, after) if x is not None and x.range == page.range and x.host == page.host]
     near.sort(key=lambda x: -len(commonprefix([x.path, page.path])))
     copies = tuple(bool(page.title) and x.title == page.title for x in near)
-    return differenced(page.blocks, [x.blocks for x in near], copies)
+    return differenced(page.blocks, [x.blocks for x in near], copies, [x.blocks for x in further if x.range == page.range and x.host == page.host])
 
 
 def title_of(html: str | None) -> str:
@@ -319,10 +334,11 @@ def extract(pages: DataFrame) -> DataFrame:
         before: _Page | None = None
         page: _Page | None = None
         rows: list[tuple] = []
+        earlier: deque[_Page] = deque(maxlen=FURTHER)  # before the page before
 
         def told(after: _Page | None) -> None:
             if page is not None and page.ghost == 0:
-                found = _told(before, page, after)
+                found = _told(before, page, after, [*earlier][::-1])
                 rows.append((page.page_id, page.url, "\n\n".join(b.text for b in found.lines), found.shared, found.named))
 
         def batch_of(ids: pa.DataType) -> pa.RecordBatch:
@@ -337,6 +353,8 @@ def extract(pages: DataFrame) -> DataFrame:
             for r, g, i, url, html, host, path in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
                 after = _Page(r, g, host, path, i, url, title_of(html), blocks(html))
                 told(after)
+                if before is not None:
+                    earlier.append(before)
                 before, page = page, after
                 if len(rows) >= 512:
                     yield batch_of(ids)

@@ -5,10 +5,11 @@ into the longest phrases that occur in the sample; the entropy estimate is phras
 the language with the smallest estimate wins. Numpy steps many blocks of BLOCK symbols at once through the automaton,
 whose transitions lie in a double array; the blocks of a text are then joined to the parse of the whole.
 
-The model is fitted on rows sampled by hash of id and text: about DOCS rows a language, of any length; of a longer text
-WINDOW code points from a place drawn by hash are read. Of the distinct ones every third, up to CLEAN, is kept for the
+The model is fitted on distinct texts drawn by hash: about DOCS a language (of many languages fewer, MOST_DOCS
+altogether), of any length; of a longer text WINDOW code points from a place drawn by hash are read, so at most some
+MOST_DOCS * WINDOW code points come to the driver, however often a text is repeated. Of these texts every third, up to CLEAN, is kept for the
 cuts below; each of the others gives an equal part of LETTERS code points (one shorter than that gives all of itself,
-and what it leaves goes to the others), from a place drawn by its hash. So with DOCS rows some 270 texts of about 240
+and what it leaves goes to the others), from a place drawn by its hash. So with DOCS texts some 270 texts of about 240
 code points make a language's model, no row is left out for its length, and none fills the model. Only text and lang of
 rows outside the held-out fifth are read for it.
 
@@ -27,7 +28,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ from .common import held_out, shipped, tidy
 from .textvec import codepoints, slices
 
 DOCS = 400
+MOST_DOCS = 8_000
 WINDOW = 8192
 LETTERS = 64_000
 BLOCK = 256
@@ -58,7 +59,6 @@ LENGTHS = tuple(1 << k for k in range(2, 14))
 MOST_LANGUAGES = 512
 
 
-@cache
 def _unicode_letters() -> np.ndarray:
     """For each code point its lower-case letter, or 0 where it is no letter."""
     out = np.zeros(0x110000, np.uint32)
@@ -71,21 +71,21 @@ def _unicode_letters() -> np.ndarray:
 
 
 class Alphabet:
-    """Maps code points to symbols: 0 between words, 1.. the letters of the samples, the last any other letter."""
+    """Maps code points to symbols: 0 between words, 1.. the letters of the samples, the last any other letter. The map
+    is made where the model is, and travels with it."""
 
-    def __init__(self, letters: list[int]):
+    def __init__(self, letters: list[int], low: np.ndarray | None = None):
+        """low: for each code point its lower-case letter, or 0."""
         self.letters = sorted(letters)
         self.size = len(self.letters) + 2
-        self._map: np.ndarray | None = None
+        low = _unicode_letters() if low is None else low
+        kind = np.uint16 if self.size < 65536 else np.int32
+        place = np.zeros(0x110000, kind)
+        place[self.letters] = np.arange(1, len(self.letters) + 1)
+        self._map = np.where(low == 0, 0, np.where(place[low] > 0, place[low], self.size - 1)).astype(kind)
 
     def symbols(self, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of every text, runs of non-letters as one 0, and the n + 1 offsets."""
-        if self._map is None:
-            low = _unicode_letters()
-            kind = np.uint16 if self.size < 65536 else np.int32
-            place = np.zeros(0x110000, kind)
-            place[self.letters] = np.arange(1, len(self.letters) + 1)
-            self._map = np.where(low == 0, 0, np.where(place[low] > 0, place[low], self.size - 1)).astype(kind)
         raw = self._map[cps]
         keep = np.ones(len(raw), bool)
         keep[1:] = (raw[1:] != 0) | (raw[:-1] != 0)
@@ -94,9 +94,6 @@ class Alphabet:
         before = np.concatenate([[0], np.cumsum(keep)])
         return raw[keep], before[offsets]
 
-    def __getstate__(self):
-        return {"letters": self.letters, "size": self.size, "_map": None}
-
 
 def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
     """The transitions of the automaton of all substrings; state 0 is the root."""
@@ -248,7 +245,7 @@ class Model:
         low = _unicode_letters()
         cps, offsets = codepoints([samples[x] for x in self.languages])
         seen = np.unique(low[cps])
-        self.alphabet = Alphabet([int(c) for c in seen if c])
+        self.alphabet = Alphabet([int(c) for c in seen if c], low)
         symbols, at = self.alphabet.symbols(cps, offsets)
         self.parsers = [Parser(symbols[at[i] : at[i + 1]], self.alphabet.size) for i in range(len(self.languages))]
         self.cuts = np.full((len(self.languages), len(LENGTHS)), STRANGE)
@@ -329,22 +326,25 @@ def parts(texts: list[str], limit: int) -> list[str]:
 
 
 def sample(docs: DataFrame, docs_a_language: int = DOCS) -> tuple[dict[str, str], dict[str, list[str]]]:
-    """The labelled text that the automata are built of, and texts that are no part of it: together bounded by
-    languages * docs_a_language rows, give or take."""
+    """The labelled text that the automata are built of, and texts that are no part of it: together about
+    docs_a_language distinct texts of each language, MOST_DOCS at most, give or take a tenth."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    labelled = labelled.where(F.col("text").isNotNull()).withColumn("_rs_h", F.xxhash64(F.lit(5), "text"))
+    # repeated texts are one text here, however many rows have them
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("_rs_h", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages in the labels")
     if not counts:
         return {}, {}
     span = 1 << 40
-    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(span))
-    # of equal texts the same part, so that they count as one below
+    draw = F.pmod(F.xxhash64(F.lit(7), "_rs_h"), F.lit(span))
+    # of equal texts the same part
     first = F.pmod(F.xxhash64(F.lit(6), "text"), F.greatest(F.lit(1), F.length("text") - (WINDOW - 1))) + 1
     read = F.substring(F.col("text"), first.cast("int"), F.lit(WINDOW))
-    quota = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(span, docs_a_language * span // n)))]), F.col("lang"))
-    drawn = labelled.where(F.col("text").isNotNull() & (draw < quota)).select("lang", read.alias("text"), draw.alias("at"), "doc_id")
-    rows = sorted(drawn.collect(), key=lambda r: (r["lang"], r["at"], r["doc_id"], r["text"]))
+    each = max(1, min(docs_a_language, MOST_DOCS // len(counts)))
+    quota = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(span, each * span // max(1, n))))]), F.col("lang"))
+    drawn = labelled.where(draw < quota).select("lang", draw.alias("at"), read.alias("text"))
+    rows = sorted(drawn.groupBy("lang", "at").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], r["at"]))
     drawn_texts: dict[str, dict[str, None]] = {k: {} for k in counts}
     for r in rows:
         drawn_texts[r["lang"]][r["text"]] = None  # distinct ones, in the order of the draw

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bytebpe import ByteBPE
+from .bytebpe import ByteBPE, classes
 from .common import tidy
 from .textvec import SLICE, slices
 
@@ -141,7 +141,7 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
     """One row per piece. tokenizer: path, on the driver, of a byte-level BPE of the tokenizers library."""
     with open(tokenizer, encoding="utf-8") as f:
-        config = docs.sparkSession.sparkContext.broadcast(f.read())
+        config = docs.sparkSession.sparkContext.broadcast((f.read(), classes()))
     field = docs.schema["doc_id"].dataType
     kind = to_arrow_type(field)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, with_ids: bool = F
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteBPE(config.value)
+        encoder = ByteBPE(*config.value)
         packer = Packer(TaskContext.get().partitionId() << 40, limit)
         rows: list[tuple] = []
         for batch in batches:
