@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import ByteBPE, byte_letters, classes
-from .common import Workspace, tidy
+from .common import Workspace, shipped, tidy
 from .pieces import MARK, Coder
 from .textvec import SLICE, slices, string_buffers
 
@@ -222,8 +222,9 @@ def _arrays(counts: DataFrame) -> Callable[[], Counted]:
     return fetched
 
 
-def _partial(spelled: tuple[Bytes, Bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _partial(spelled_of: Callable[[], tuple[Bytes, Bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled = spelled_of()
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, tokens in _slices(batch):
@@ -289,7 +290,7 @@ def _aligned(docs: DataFrame, tokenizer: str, model: str, space: Workspace) -> t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["doc_id", "a", "b"])
 
     tokens = space.cut(docs.select("doc_id", "text").mapInArrow(tidy(encode), f"doc_id {kind}, a array<int>, b array<int>"), "tokens")
-    partial = space.cut(tokens.mapInArrow(tidy(_partial(spelled)), "key long, n long"), "partial")
+    partial = space.cut(tokens.mapInArrow(tidy(_partial(shipped(spark, spelled))), "key long, n long"), "partial")
     shards = max(1, min(MOST_SHARDS, -(-partial.count() // SHARD_ROWS)))
     counts = space.cut(partial.repartitionByRange(shards, "key").sortWithinPartitions("key").mapInArrow(_runs, "key long, n long"), "counts")
     space.drop(partial)
@@ -305,12 +306,12 @@ def measure(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
     highest = np.zeros(size_b, np.int64)
     for row in counts.groupBy(F.shiftright("key", 32).alias("b")).agg(F.max("n").alias("n")).collect():  # a row an id of B
         highest[row["b"]] = row["n"]
-    shared = docs.sparkSession.sparkContext.broadcast((spelled, highest))
+    known_of = shipped(docs.sparkSession, (spelled, highest))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled, highest = shared.value
+        spelled, highest = known_of()
         counted = counted_of()
         digits = decimal_digits(max(len(s.sizes) for s in spelled))
         for batch in batches:

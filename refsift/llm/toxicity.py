@@ -1,9 +1,10 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
-A text is cut into windows of WINDOW bytes, one from the first word that starts in each STRIDE bytes (from the place
-itself where none does), so that windows cover all of it. Each window is compressed under both dictionaries; the bytes
+A text is cut into windows of about STRIDE bytes, at the first word that starts in each STRIDE bytes (at the place itself
+where none does), so that windows cover all of it and no word of usual length is cut. Each window is compressed under both dictionaries; the bytes
 that the toxic one saves are its gain. Both begin with the same trained dictionary of ordinary text, so that what is
-usual is cheap under either; it is followed by OWN bytes trained on other ordinary windows, or on toxic ones.
+usual is cheap under either; it is followed by OWN bytes trained on other ordinary windows, or on toxic ones. A window
+is compressed under the own parts alone first, by a quicker search, and gains nothing where the toxic one doesn't save.
 
 Most windows of a toxic text are ordinary. The toxic part is therefore trained anew ROUNDS times, on the PICKED windows of
 each toxic text that gain most. Toxic texts are in two halves meanwhile, and those of one half gain under the dictionary
@@ -39,8 +40,10 @@ from pyspark.sql import functions as F
 from .common import held_out, shipped, tidy
 from .textvec import BLANK, slices, string_buffers
 
-WINDOW, STRIDE = 32, 16
+STRIDE = 32
 LEVEL = 16
+#: The quick comparison: a lazy search of few steps.
+QUICK = {"strategy": zstandard.STRATEGY_LAZY2, "min_match": 4, "search_log": 4}
 #: Bytes of the common dictionary, and of each dictionary's own part.
 COMMON, OWN = 1 << 20, 1 << 15
 ROUNDS, PICKED = 2, 3
@@ -50,6 +53,8 @@ TOP = 6
 #: Texts that the model is fitted on, and code points of each.
 TOXIC, ORDINARY, PART = 2_000, 8_000, 16_384
 FEWEST = 4
+#: A toxic text that is missed weighs as much as so many ordinary ones that are accused.
+MISSED = 3.0
 #: predicted is 1 from this score on.
 CUT = 0.5
 #: Gains are counted from -SPAN to SPAN bytes.
@@ -75,7 +80,9 @@ class Windows:
         end = offsets[1:][owner]
         word = starts[np.searchsorted(starts, place)]
         at = np.where(word < np.minimum(place + STRIDE, end), word, place)
-        to = np.minimum(at + WINDOW, end)
+        at[np.append(True, owner[1:] != owner[:-1])[: len(owner)]] = offsets[:-1][sizes > 0]
+        to = np.append(at[1:], 0)
+        to[np.append(owner[1:] != owner[:-1], True)[: len(owner)]] = offsets[1:][sizes > 0]
         count = np.concatenate([[0], np.cumsum(solid)])
         some = count[to] > count[at]
         self.data, self.owner, self.at, self.to, self.texts = data.tobytes(), owner[some], at[some], to[some], len(sizes)
@@ -95,26 +102,28 @@ def trained(windows: list[bytes], size: int) -> bytes:
     """A dictionary of size bytes at most, a quarter of the windows' bytes at most; the windows themselves where they are
     too few to train on."""
     some = [w for w in windows if len(w) >= 8]
-    # mixed: the trainer takes its segments from stretches of the samples in turn, and tries them on the last quarter
+    # mixed: the trainer takes its segments from stretches of the samples in turn
     some = [some[i] for i in np.random.default_rng(1).permutation(len(some))[:SAMPLES].tolist()]
     size = min(size, sum(map(len, some)) // 4)
     try:
-        return zstandard.train_dictionary(max(size, 512), some).as_bytes()
+        return zstandard.train_dictionary(max(size, 512), some, k=64, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(some)[-max(size, 512) :]
 
 
-def compressor(dictionary: bytes) -> Callable[[bytes], bytes]:
+def compressor(dictionary: bytes, **ways: int) -> Callable[[bytes], bytes]:
     found = zstandard.ZstdCompressionDict(dictionary)
-    found.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=found, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    plain = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+    settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(dictionary), **ways, **plain)
+    found.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=found, compression_params=settings).compress
 
 
 class Model:
     """Dictionaries, thresholds and the logistic function; compressors are made where they are used."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, share: float):
-        self.ordinary, self.toxic, self.share = ordinary, toxic, share
+    def __init__(self, common: bytes, ordinary: bytes, toxic: bytes, share: float):
+        self.common, self.ordinary, self.toxic, self.share = common, ordinary, toxic, share
         self.evidence = np.zeros(2 * SPAN + 1)
         self.slope, self.bias = 1.0, 0.0
         self._made = None
@@ -122,13 +131,17 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_made": None}
 
-    def gains(self, windows: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionary saves, from 0 (-SPAN or less) to 2 * SPAN."""
+    def gains(self, windows: list[bytes], all_whole: bool = False) -> np.ndarray:
+        """Bytes that the toxic dictionary saves, from 0 (-SPAN or less) to 2 * SPAN; 0 too where its own part saves
+        nothing against the ordinary one's, unless all_whole."""
         if self._made is None:
-            self._made = compressor(self.ordinary), compressor(self.toxic)
-        plain, toxic = self._made
-        found = np.fromiter((len(plain(w)) - len(toxic(w)) for w in windows), np.int64, len(windows))
-        return np.clip(found, -SPAN, SPAN) + SPAN
+            own = [compressor(part, **QUICK) for part in (self.ordinary, self.toxic)]
+            self._made = *own, *(compressor(self.common + part) for part in (self.ordinary, self.toxic))
+        quick, quick_toxic, plain, toxic = self._made
+        out = np.zeros(len(windows), np.int64)
+        some = [i for i, w in enumerate(windows) if all_whole or len(quick_toxic(w)) < len(quick(w))]
+        out[some] = np.clip([len(plain(windows[i])) - len(toxic(windows[i])) for i in some], -SPAN, SPAN) + SPAN
+        return out
 
     def calibrate(self, gains: np.ndarray) -> None:
         """Evidence by the gains of windows of ordinary texts."""
@@ -175,13 +188,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _favoured(parts: list[list[bytes]], model: Model) -> list[bytes]:
     """The windows of each text that gain most."""
-    return [part[i] for part in parts for i in np.argsort(-model.gains(part), kind="stable")[:PICKED].tolist()]
+    return [part[i] for part in parts for i in np.argsort(-model.gains(part, all_whole=True), kind="stable")[:PICKED].tolist()]
 
 
 def train(ordinary: list[str], toxic: list[str], share: float) -> Model:
     """ordinary, toxic: distinct texts; share: of toxic ones among all labelled ones."""
     if len(ordinary) < FEWEST or len(toxic) < FEWEST:
-        return Model(b"", b"", share)
+        return Model(b"", b"", b"", share)
 
     def each(texts: list[str]) -> list[list[bytes]]:
         return [w.each() for text in texts for w in windows_of(pa.array([text], pa.string()))]
@@ -192,23 +205,19 @@ def train(ordinary: list[str], toxic: list[str], share: float) -> Model:
     usual, bad = each(ordinary), each(toxic)
     learned = [part for i, part in enumerate(bad) if i % 4]  # every fourth text is for the logistic function
     halves = learned[0::2], learned[1::2]
-    common = trained(flat(usual[0::3]), COMMON)
-    own, parts = trained(flat(usual[1::3]), OWN), [trained(flat(half), OWN) for half in halves]
+    common, own, parts = trained(flat(usual[0::3]), COMMON), trained(flat(usual[1::3]), OWN), [trained(flat(half), OWN) for half in halves]
     for _ in range(ROUNDS):
-        picks = [_favoured(half, Model(common + own, common + part, share)) for half, part in zip(halves, parts[::-1], strict=True)]
+        picks = [_favoured(half, Model(common, own, part, share)) for half, part in zip(halves, parts[::-1], strict=True)]
         parts = [trained(part, OWN) for part in picks]
-    model = Model(common + own, common + trained(picks[0] + picks[1], OWN), share)
+    model = Model(common, own, trained(picks[0] + picks[1], OWN), share)
     unseen = flat(usual[2::3])
-    for _ in range(ROUNDS):
-        favoured = [[part[i] for part in parts for i in np.argsort(-model.gains(part), kind="stable")[:PICKED].tolist()] for parts in (usual[1::3], learned)]
-        model = Model(common + trained(favoured[0], OWN), common + trained(favoured[1], OWN), share)
     model.calibrate(model.gains(unseen))
     texts, marks = ordinary[2::3] + toxic[0::4], [0] * len(ordinary[2::3]) + [1] * len(toxic[0::4])
     statistics = np.concatenate([model.statistic(w) for w in windows_of(pa.array(texts, pa.string()))])
     y = np.array(marks, np.float64)
     some = np.isfinite(statistics)
     statistics, y = statistics[some], y[some]
-    weights = np.where(y == 1, share / max(1.0, y.sum()), (1 - share) / max(1.0, (1 - y).sum())) * len(y)
+    weights = np.where(y == 1, MISSED * share / max(1.0, y.sum()), (1 - share) / max(1.0, (1 - y).sum())) * len(y)
     model.fit(statistics, y, weights)
     return model
 
