@@ -188,12 +188,12 @@ def extract_manual(spark: SparkSession, args: argparse.Namespace) -> int:
 
 @command("import-ris", "source", "out")
 def import_ris(spark: SparkSession, args: argparse.Namespace) -> int:
-    return _write(args, tables.conformed(texts.ris(texts.whole_files(spark, args.source), "ris")))
+    return _write(args, tables.conformed(texts.ris(texts.split_lines(spark, args.source), "ris")))
 
 
 @command("verify-refs", "text", "answers")
 def verify_refs(spark: SparkSession, args: argparse.Namespace) -> int:
-    entries = texts.numbered_references(texts.whole_files(spark, args.text)).withColumn("pmid", F.lit(None).cast("string"))
+    entries = texts.numbered_references(texts.split_lines(spark, args.text)).withColumn("pmid", F.lit(None).cast("string"))
     told = dedup.cut(vancouver.verify(entries, spark.read.parquet(args.answers)))
     _tell(args, written.references(told, Path(args.text).name))
     return int(vancouver.failed(told))
@@ -308,7 +308,7 @@ def journals_strata(spark: SparkSession, args: argparse.Namespace) -> int:
 
 @command("journals-seed", "source", "answers", "crossref", "as_of", "out")
 def journals_seed(spark: SparkSession, args: argparse.Namespace) -> int:
-    entries = texts.curated_list(texts.whole_files(spark, args.source))
+    entries = texts.curated_list(texts.split_lines(spark, args.source))
     told, _ = venues.seed(entries, Path(args.source).name, spark.read.parquet(args.answers), spark.read.parquet(args.crossref), F.lit(args.as_of).cast("date"))
     return _write(args, told)
 

@@ -22,3 +22,13 @@ def domain_tiers(spark: SparkSession) -> DataFrame:
 def health_categories(spark: SparkSession) -> DataFrame:
     """categoria: the subject categories that count as health."""
     return spark.createDataFrame([(c,) for c in _lines("health_categories.txt")], "categoria string")
+
+
+def claim_terms() -> dict[str, list[str]]:
+    """Composite terms and what sources in English call them."""
+    return {term: english.split(";") for term, english in list(csv.reader(_lines("claim_terms.csv")))[1:]}
+
+
+def claim_stop_words() -> list[str]:
+    """Words that say nothing about a claim's theme."""
+    return [w for line in _lines("claim_stop_words.txt") for w in line.split()]

@@ -6,6 +6,9 @@ Arrow UDF; `may_reach` is a cheaper JVM filter that never excludes a pair at or
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,20 +33,47 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
-def partial_indel_ratio(a: str, b: str) -> float:
+def partial_indel_ratio(a: str, b: str, least: float = 0.0) -> float:
     """The best ratio of the shorter string with a stretch of the longer one of at most its length, which may hang
-    over either end. An empty string is like another empty string only."""
+    over either end; 0 where that is under `least`. An empty string is like another empty string only.
+
+    Where a stretch has a common subsequence of l signs, the one that begins j places on has l + j at most, since it
+    lacks j signs of the first and has j others. So the search goes on where the best so far, or `least`, can be beaten
+    first, and stretches far from both cost nothing."""
     short, long_ = sorted((a, b), key=len)
     if not short:
-        return 100.0 if not long_ else 0.0
-    n, best = len(short), 0.0
-    for at in range(1 - n, len(long_)):
-        part = long_[max(0, at) : at + n]
-        if part and 200.0 * min(n, len(part)) / (n + len(part)) > best:
-            best = max(best, indel_ratio(short, part))
-            if best == 100.0:
-                break
-    return best
+        return (100.0 if not long_ else 0.0) if least <= 100 else 0.0
+    n, m = len(short), len(long_)
+    places: dict[str, int] = {}
+    for i, ch in enumerate(short):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full = (1 << n) - 1
+    best, found = least, 0.0
+
+    def common(part: str) -> int:
+        row = full
+        for ch in part:
+            hit = row & places.get(ch, 0)
+            row = (row + hit | row - hit) & full
+        return n - row.bit_count()
+
+    # stretches that hang over: of w signs, and so with w in common at most
+    ends = [(2 * w * 100.0 / (n + w), part) for w in range(min(n, m + 1) - 1, 0, -1) for part in ((long_[:w], long_[m - w :]) if w < m else (long_,))]
+    at = 0
+    while at + n <= m and found < 100.0:
+        length = common(long_[at : at + n])
+        ratio = 200.0 * length / (2 * n)
+        if ratio > best or ratio == best > found:
+            best = found = ratio
+        needed = math.floor(best * n / 100.0) + 1 if found else math.ceil(best * n / 100.0 - 1e-9)
+        at += max(1, needed - length)
+    for bound, part in ends:
+        if found == 100.0 or bound < best:
+            break
+        ratio = 200.0 * common(part) / (n + len(part))
+        if ratio > best or ratio == best > found:
+            best = found = ratio
+    return found
 
 
 def token_set_ratio_of(a: str, b: str) -> float:
@@ -66,11 +96,6 @@ def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 @F.pandas_udf(DoubleType())
 def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio_of(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -80,8 +105,15 @@ def indel(a: Column, b: Column) -> Column:
     return _indel(a, b)
 
 
-def partial_indel(a: Column, b: Column) -> Column:
-    return _partial(a, b)
+def partial_indel(a: Column, b: Column, least: float = 0.0) -> Column:
+    """The best ratio with a stretch of the longer text, 0 under `least`; the higher `least` is, the less is searched."""
+
+    @F.pandas_udf(DoubleType())
+    def partial(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in parts:
+            yield pd.Series([partial_indel_ratio(p or "", q or "", least) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return partial(a, b)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import enrich, facts, journals, records, reports, screening, venues, written
+from .operators import claims, dedup, enrich, facts, journals, records, reports, screening, venues, written
 from .queries import _GRADED, _REFS, _SCREENED, SCOPE, _flow_refs, _whole, query, refs, table
 from .sources import documents, sinks, tables
+from .sources import text as text_sources
 
 
 @query(
@@ -318,3 +319,58 @@ def snapshots_due(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.cast("string").alias("issn_l"), F.concat(F.lit("http://h/"), k.cast("string")).alias("url"), F.when(k % 2 == 1, "text").alias("text"), F.date_sub(day, F.when(k % 7 < 4, 100).otherwise(200)).alias("captured")
     )
     return enrich.due_snapshots(enrich.candidate_urls(base), held, day).select("issn_l", "url")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+    n AS (SELECT doc_id, lead(body) OVER (ORDER BY doc_id) AS other FROM t),
+    w AS (SELECT t.doc_id, CASE WHEN t.doc_id % 2 = 0 THEN body ELSE coalesce(other, '') END AS content, list_slice(regexp_extract_all(lower(body), '[a-z]{5,}'), 3, 8) AS own FROM t JOIN n USING (doc_id)),
+    k AS (SELECT doc_id, content || CASE WHEN doc_id % 10 = 5 THEN ' Data Governance' ELSE '' END AS content,
+      list_distinct(list_filter(own, lambda x: x NOT IN ('entre', 'sobre', 'ainda', 'muito', 'outros', 'outras', 'todos', 'sistema', 'sistemas', 'dados', 'forma', 'casos', 'parte', 'setor', 'papel', 'primeiro', 'segundo', 'exemplo', 'permite', 'inclui', 'incluem', 'chamados', 'chamada', 'assim', 'sendo', 'geral', 'maior', 'menor', 'novos')) ||
+      CASE WHEN doc_id % 5 = 0 THEN ['governança de dados', 'data governance', 'governança'] ELSE [] END) AS words FROM w)
+    SELECT doc_id, len(words) AS n_words, CASE WHEN content = '' THEN 'UNVERIFIABLE' WHEN len(words) = 0 THEN 'THEMATIC_MATCH'
+      WHEN len(list_filter(words, lambda x: contains(lower(content), x))) / len(words) >= 0.3 THEN 'THEMATIC_MATCH' ELSE 'NOT_FOUND_ABSTRACT' END AS status FROM k"""
+)
+def claims_thematic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conceptual claim of words of each document, with a composite term in every fifth, about its own whole text or
+    the next one's; in every tenth that is given the term in English."""
+    i = F.col("doc_id")
+    d = _whole(spark, sf_dir)
+    own = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0), 3, 6)
+    said = F.concat(F.lit("Os sistemas de ainda "), F.when(i % 5 == 0, "governança de dados ").otherwise(""), F.array_join(own, " "), F.lit(" muito [1]."))
+    texts = d.select(i.cast("string").alias("doc"), said.alias("text"))
+    # the next document's text: ids follow each other in the table
+    following = d.select((i - 1).alias("doc_id"), F.col("text").alias("other"))
+    cited = d.join(following, "doc_id", "left").select("doc_id", F.when(i % 2 == 0, F.col("text")).otherwise(F.coalesce("other", F.lit(""))).alias("content"))
+    contents = cited.select(i.cast("string").alias("doc"), F.lit(1).alias("number"), F.concat("content", F.when(i % 10 == 5, " Data Governance").otherwise("")).alias("content"), F.lit("abstract").alias("source_level"))
+    told = claims.verify(claims.extract(texts).where("claim_type = 'C'"), contents)
+    return told.select(F.col("doc").cast("long").alias("doc_id"), F.size(claims.keywords(F.col("claim_text"))).cast("long").alias("n_words"), "status")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r?\\n') AS a FROM documents)
+    SELECT 'Study ' || doc_id AS title, 1990 + doc_id % 30 AS year, md5(nullif(trim(array_to_string(list_prepend(a[1], list_transform(a[2:], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), ' '), E' \\t\\n\\r\\f\\x0B'), '')) AS abstract FROM l"""
+)
+def ris_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as abstracts of records in RIS files, which are written once and read back in as many splits as they
+    give; a record's lines may lie in two of them."""
+    i = F.col("doc_id").cast("string")
+    body = F.regexp_replace("text", r"\r?\n", "\n")
+    record = F.concat(F.lit("TY  - JOUR\nTI  - Study "), i, F.lit("\nPY  - "), (1990 + F.col("doc_id") % 30).cast("string"), F.lit("\nAB  - "), body, F.lit("\nER  - "))
+    path = dedup.shared_path(spark, "ris")
+    _whole(spark, sf_dir).select(record.alias("value")).write.text(path)
+    r = text_sources.ris(text_sources.split_lines(spark, path), "imp")
+    return r.select("title", F.col("year").cast("long").alias("year"), F.md5("abstract").alias("abstract"))
+
+
+@query(
+    """SELECT doc_id, length(trim(text)) >= 400 AS own, false AS strange FROM documents WHERE length(trim(coalesce(text, ''))) >= 400"""
+)
+def quotes_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a quote is in a document's whole text: one of its middle that lacks every twentieth sign, and signs that
+    no text is made of. A quote that lacks every twentieth sign is alike to 97 of 100 to where it comes from."""
+    d = _whole(spark, sf_dir).withColumn("n", F.length(F.trim("text"))).where("n >= 400")
+    middle = F.substring(F.trim("text"), (F.col("n") / 2).cast("int") - 100, F.lit(240))
+    quote = F.regexp_replace(middle, r"(?s)(.{19}).", "$1")
+    told = d.select("doc_id", facts.quote_found(quote, F.col("text")).alias("own"), facts.quote_found(F.lit("@#~^|" * 20), F.col("text")).alias("strange"))
+    return told

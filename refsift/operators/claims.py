@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..data import claim_stop_words, claim_terms
 from ..functions.numbers import MAGNITUDES, pt_number, transition_holds
 from ..functions.text import stripped
 from ..schema import RISK_OF_STATUS
@@ -37,6 +38,10 @@ TOLD = (
     r"|\d+\s*(?:para|→)\s*\d+.*?(?:—|–|-)\s*(?:uma?\s+)?(?:redu|melhor|queda|aument)\S*\s+(?:de\s+)?\d+[,.]?\d*\s*%"
 )
 
+KEYWORD = r"([a-záàâãéêíóôõúçA-Z]{5,})"
+#: A text is on a claim's theme from this share of the claim's keywords on.
+THEMATIC = 0.3
+
 POINT = "struct<raw:string,value:double,unit:string,percent:boolean>"
 
 
@@ -128,6 +133,20 @@ def entities(text: Column) -> Column:
     return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(MODELS), 1), F.regexp_extract_all(text, F.lit(INSTITUTIONS), 1), names))
 
 
+def keywords(text: Column, terms: dict[str, list[str]] | None = None, stop_words: list[str] | None = None) -> Column:
+    """What a source on a claim's theme may say: the composite terms that the claim names, each with what it is called in
+    the source's language, then its words of five letters or more that are no stop words; each once.
+
+    terms, stop_words: tables of a project's own instead of those in `data`."""
+    known = claim_terms() if terms is None else terms
+    stops = F.array(*[F.lit(w) for w in (claim_stop_words() if stop_words is None else stop_words)]).cast("array<string>")
+    low = F.lower(text)
+    named = [F.when(F.contains(low, F.lit(term.lower())), F.array(*[F.lit(x) for x in (term, *others)])) for term, others in known.items()]
+    found = F.flatten(F.filter(F.array(*named), lambda x: x.isNotNull())) if named else F.array().cast("array<string>")
+    words = F.filter(F.regexp_extract_all(text, F.lit(KEYWORD), 1), lambda w: ~F.array_contains(stops, F.lower(w)))
+    return F.array_distinct(F.concat(found, words))
+
+
 def variants(point: Column) -> Column:
     """Texts that a data point may have in a source."""
     v = point["value"]
@@ -170,17 +189,19 @@ def approximate(value: Column, content: Column, tolerance: float = 0.30) -> Colu
     return F.get(F.filter(tried, lambda x: (value != 0) & (F.abs(x - value) <= F.abs(value) * tolerance)), F.lit(0))
 
 
-def verify(claims: DataFrame, contents: DataFrame, keywords: Column | None = None) -> DataFrame:
+def verify(claims: DataFrame, contents: DataFrame, words: Column | None = None) -> DataFrame:
     """claims with status, risk and source_level. contents: doc, number, content, source_level (full_text, abstract).
 
     A: arithmetic first; then one data point found as text in a cited content is enough (by plain substring), else one
-    within 30 %; B: an entity found; C: three tenths of the keywords. Claims without contents can't be verified."""
+    within 30 %; B: an entity found; C: three tenths of the keywords in one content, or none to look for. Claims without
+    contents can't be verified. source_level is, of a thematic match, that of the content that holds most keywords (of
+    equal ones the first cited), of other conceptual claims none. words: the keywords, where not those of `keywords`."""
     key = ["doc", "paragraph", "ordinal"]
     c = claims.withColumns(
         {
             "points": F.transform("data_points", lambda p: F.struct(p["value"].alias("value"), variants(p).alias("texts"))),
             "names": entities(F.col("claim_text")),
-            "words": keywords if keywords is not None else F.array_distinct(F.regexp_extract_all("claim_text", F.lit(r"([a-záàâãéêíóôõúçA-Z]{5,})"), 1)),
+            "words": words if words is not None else keywords(F.col("claim_text")),
         }
     )
     refs = c.select(*key, "claim_type", "points", "names", "words", F.posexplode("ref_numbers").alias("at", "number"))
@@ -195,6 +216,7 @@ def verify(claims: DataFrame, contents: DataFrame, keywords: Column | None = Non
         F.bool_or(has_near).alias("has_near"),
         F.bool_or(has_name).alias("has_name"),
         F.max(share).alias("share"),
+        F.max_by("source_level", F.struct(share, -F.col("at"))).alias("best_level"),
         F.min_by("source_level", "at").alias("source_level"),
         F.bool_or(F.col("source_level") == "full_text").alias("full"),
     )
@@ -213,12 +235,12 @@ def verify(claims: DataFrame, contents: DataFrame, keywords: Column | None = Non
     missing = F.when(F.coalesce("full", F.lit(False)), "NOT_FOUND_FULLTEXT").otherwise("NOT_FOUND_ABSTRACT")
     status = (
         F.when((F.col("claim_type") == "A") & wrong, "MATH_ERROR")
-        .when((kind == "C") & (F.size("words") == 0), "THEMATIC_MATCH")
         .when(F.col("source_level").isNull(), "UNVERIFIABLE")
         .when(kind == "A", F.when(F.col("has_text"), "VERIFIED").when(F.col("has_near"), "APPROXIMATE_MATCH").otherwise(missing))
         .when(kind == "B", F.when(F.col("has_name"), "ENTITY_FOUND").otherwise(missing))
-        .when(F.col("share") >= 0.3, "THEMATIC_MATCH")
+        .when((F.size("words") == 0) | (F.col("share") >= THEMATIC), "THEMATIC_MATCH")
         .otherwise("NOT_FOUND_ABSTRACT")
     )
+    level = F.when((kind != "C") | (F.col("status") == "MATH_ERROR"), F.col("source_level")).when((F.col("status") == "THEMATIC_MATCH") & (F.size("words") > 0), F.col("best_level"))
     risk = F.element_at(F.create_map(*[F.lit(v) for kv in RISK_OF_STATUS.items() for v in kv]), F.col("status"))
-    return out.withColumn("status", status).withColumn("risk", risk).select(*claims.columns, "status", "risk", F.coalesce("source_level", F.lit("none")).alias("source_level"))
+    return out.withColumn("status", status).withColumn("risk", risk).select(*claims.columns, "status", "risk", F.coalesce(level, F.lit("none")).alias("source_level"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
+import weakref
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,17 +20,35 @@ DUPLICATE, SUSPECT = 90, 80
 BAGS = ("e", "a", "i", "o", "n", "r", "s", "t", "d", "l", "u", "c", "mp", "gbf", "hvyk", "wqxzj", " ", "0123456789")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that spark.checkpoint.dir names, and read back: no lineage is left."""
-    spark = df.sparkSession
+def _remove(session: weakref.ref, path: str) -> None:
+    """Best effort at the end of the program; a stopped session leaves the table to the cluster's retention."""
+    spark = session()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone already
+        return
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; what is written there goes when the program ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{os.path.join(os.environ.get('TMPDIR', '/tmp'), 'refsift-cuts')}"  # one machine, tests
-    path = f"{base.rstrip('/')}/records-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, weakref.ref(spark), path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, and read back: no lineage is left."""
+    path = shared_path(df.sparkSession, "records")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def normalize_fields(refs: DataFrame) -> DataFrame:

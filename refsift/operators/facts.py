@@ -58,7 +58,7 @@ def number_candidates(contents: DataFrame, reach: int = 150) -> DataFrame:
 def quote_found(quote: Column, content: Column) -> Column:
     """Short quotes by substring, longer ones by the best partial ratio."""
     q, text = F.lower(stripped(quote)), F.lower(searchable(content))
-    return F.when(F.length(q) < SHORT_QUOTE, F.contains(text, q)).otherwise(partial_indel(q, text) >= QUOTE)
+    return F.when(F.length(q) < SHORT_QUOTE, F.contains(text, q)).otherwise(partial_indel(q, text, QUOTE) >= QUOTE)
 
 
 def import_pending(pending: DataFrame, contents: DataFrame) -> DataFrame:

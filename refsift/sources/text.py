@@ -11,6 +11,7 @@ from ..operators.dedup import cut
 
 # The line of a tag, and the entry of a numbered list.
 RIS_TAG = r"^([A-Z][A-Z0-9])  ?- ?(.*)$"
+NUMBERED = r"^\d+\.(\s|$)"
 BIB = r"(\d{4});(\d+)(?:\(([^)]+)\))?:(\S+?)\.?\s*$"
 
 
@@ -19,29 +20,75 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 0), value of text files of any size: a file is read in as many splits as Spark makes of it.
+
+    Within a split, ids ascend one by one, so a line's number is its id less the split's first, and the lines of the
+    splits before, which are a row a split."""
+    rows = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r$", "").alias("value")
+    )
+    counts = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    since = counts.select("file", "_block", (before - F.col("_first")).alias("_since"))
+    return rows.join(since, ["file", "_block"]).select("file", (F.col("_id") + F.col("_since")).alias("line"), "value")
+
+
 def lines_of(files: DataFrame) -> DataFrame:
+    """file, line, value of files (file, text), or of lines that are so already."""
+    if "line" in files.columns:
+        return files.select("file", "line", "value")
     return files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line", "value"))
 
 
-def ris(files: DataFrame, label: str) -> DataFrame:
-    """files: file, text. Records end at ER, the last one without it too; repeated tags collect; other lines go on with
-    the last tag. A record needs a title. `_seq` is the record's place, ids are label and number.
+#: Lines that are scanned together.
+SEGMENT = 1 << 16
+
+
+def _segmented(rows: DataFrame, segment: int) -> tuple[DataFrame, W, W]:
+    """rows with _segment, the order within a segment up to a row, and the order of a file's segments before one."""
+    rows = rows.withColumn("_segment", F.floor(F.col("line") / segment))
+    here = W.partitionBy("file", "_segment").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    return rows, here, W.partitionBy("file").orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
+
+
+def counted_upto(rows: DataFrame, marks: dict[str, Column], segment: int = SEGMENT) -> DataFrame:
+    """rows (file, line, ...) with, for each name, how many lines of the file up to this one its mark holds for.
 
-    A file is parsed by its own rows' windows, so files spread over tasks; one file is one task's work."""
+    Each segment of a file's lines is counted by itself; what the segments before hold is carried over by their sums, a
+    row a segment. So no task has more than a segment's lines, however long a file is."""
+    rows, here, before = _segmented(rows.withColumns({name: mark.cast("int") for name, mark in marks.items()}), segment)
+    sums = rows.groupBy("file", "_segment").agg(*[F.sum(name).alias(name) for name in marks])
+    carried = sums.select("file", "_segment", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in marks])
+    met = rows.join(carried, ["file", "_segment"])
+    return met.withColumns({name: F.coalesce(F.sum(name).over(here), F.lit(0)) + F.col(f"_before_{name}") for name in marks}).drop("_segment", *[f"_before_{name}" for name in marks])
+
+
+def last_upto(rows: DataFrame, name: str, value: Column, segment: int = SEGMENT) -> DataFrame:
+    """rows with the last value that is not null of the file's lines up to this one, in segments like `counted_upto`."""
+    rows, here, before = _segmented(rows.withColumn(name, value), segment)
+    lasts = rows.groupBy("file", "_segment").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line"))).alias(name))
+    carried = lasts.select("file", "_segment", F.last(name, ignorenulls=True).over(before).alias("_before"))
+    met = rows.join(carried, ["file", "_segment"])
+    return met.withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(here), F.col("_before"))).drop("_segment", "_before")
+
+
+def ris(files: DataFrame, label: str, segment: int = SEGMENT) -> DataFrame:
+    """files: file, text, or the lines that `split_lines` reads. Records end at ER, the last one without it too; repeated
+    tags collect; other lines go on with the last tag. A record needs a title. `_seq` is the record's place, ids are
+    label and number.
+
+    Places of records and tags are counts up to a line, so one file is the work of many tasks: only the lines of one tag,
+    and the tags of one record, come together."""
     rows = lines_of(files).withColumns({"tag": filled(F.regexp_extract("value", RIS_TAG, 1)), "rest": F.regexp_extract("value", RIS_TAG, 2)})
-    order = W.partitionBy("file").orderBy("line")
-    upto = order.rowsBetween(W.unboundedPreceding, -1)
-    marked = rows.withColumns(
-        {
-            "record": F.coalesce(F.sum(F.when(F.col("tag") == "ER", 1).otherwise(0)).over(upto), F.lit(0)),
-            "entry": F.sum(F.when(F.col("tag").isNotNull(), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)),
-        }
-    ).where("entry > 0")
+    ends = F.coalesce(F.col("tag") == "ER", F.lit(False))
+    marked = counted_upto(rows, {"record": ends, "entry": F.col("tag").isNotNull()}, segment).withColumn("record", F.col("record") - ends.cast("int")).where("entry > 0")
     texts = marked.groupBy("file", "record", "entry").agg(
+        F.min("line").alias("line"),
         F.min_by("tag", "line").alias("tag"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.coalesce(F.when(F.col("tag").isNotNull(), F.col("rest")), stripped(F.col("value"))).alias("t")))), lambda x: x["t"]), " ").alias("t"),
     )
-    tags = texts.where("tag <> 'ER'").withColumn("t", stripped(F.col("t"))).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("entry", "tag", "t"))).alias("e"))
+    tags = texts.where("tag <> 'ER'").withColumn("t", stripped(F.col("t"))).groupBy("file", "record").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("entry", "tag", "t"))).alias("e"))
 
     def all_of(tag: str) -> Column:
         return F.transform(F.filter("e", lambda x: x["tag"] == tag), lambda x: x["t"])
@@ -51,11 +98,12 @@ def ris(files: DataFrame, label: str) -> DataFrame:
 
     authors = F.when(F.size(all_of("AU")) > 0, all_of("AU")).otherwise(all_of("A1"))
     found = tags.withColumn("title", first("TI", "T1")).where("title is not null")
-    # numbered file by file, from the counts of the files before; only the counts are put in order by one task
-    counts = found.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
-    since = counts.select("file", (F.sum("_n").over(W.orderBy("file")) - F.col("_n")).alias("_since"))
-    place = F.row_number().over(W.partitionBy("file").orderBy("record"))
-    numbered = found.withColumn("_place", place).join(since, "file").withColumn("_seq", (F.col("_since") + F.col("_place")).cast("long")).drop("_place", "_since")
+    # numbered segment by segment, from the counts of those before; only the counts are put in order by one task
+    found = found.withColumn("_segment", F.floor(F.col("line") / segment))
+    counts = found.groupBy("file", "_segment").agg(F.count(F.lit(1)).alias("_n"))
+    since = counts.select("file", "_segment", (F.sum("_n").over(W.orderBy("file", "_segment").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_since"))
+    place = F.row_number().over(W.partitionBy("file", "_segment").orderBy("record"))
+    numbered = found.withColumn("_place", place).join(since, ["file", "_segment"]).withColumn("_seq", (F.col("_since") + F.col("_place")).cast("long")).drop("_place", "_since", "_segment")
     pages = F.when(first("SP").isNotNull() & first("EP").isNotNull(), F.concat(first("SP"), F.lit("-"), first("EP"))).otherwise(first("SP"))
     return numbered.select(
         "_seq",
@@ -90,13 +138,12 @@ def append_unique(base: DataFrame, new: DataFrame) -> DataFrame:
     return base.unionByName(out, allowMissingColumns=True)
 
 
-def curated_list(files: DataFrame) -> DataFrame:
+def curated_list(files: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """titulo, estrato_origem, escopo_texto, apc_texto, url of `- **Title** — scope. Taxa ... [Link](url)` bullets; a
-    stratum header holds for the bullets after it, until another header."""
+    stratum header holds for the bullets after it, until another header. files: as for `ris`."""
     rows = lines_of(files)
     header = F.when(stripped(F.col("value")).startswith("##"), F.regexp_extract(stripped(F.col("value")), r"^##\s+(A[1-4]|B[1-5]|C)\s*$", 1))
-    rows = rows.withColumn("header", header)
-    rows = rows.withColumn("estrato", filled(F.last("header", ignorenulls=True).over(W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0))))
+    rows = last_upto(rows, "estrato", header, segment).withColumn("estrato", filled(F.col("estrato")))
     bullet = r"^\s*-\s+\*\*(.+?)\*\*\s*[—–-]\s*(.+)$"
     found = rows.where(F.col("value").rlike(bullet)).withColumn("rest", stripped(F.regexp_extract("value", bullet, 2)))
     plain = stripped(F.regexp_replace("rest", r"\[Link\]\([^)]+\)", ""))
@@ -112,11 +159,19 @@ def curated_list(files: DataFrame) -> DataFrame:
     )
 
 
-def numbered_references(files: DataFrame) -> DataFrame:
+def numbered_references(files: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Entries of the references' section: number, raw, authors_str, title, journal, year, volume, issue, pages, doi, url
-    and ref_type (legislation, web, journal or unknown)."""
-    section = F.coalesce(*[filled(F.regexp_extract("text", rf"(?ms)^{h} Referências\s*\n(.+)", 1)) for h in ("##", "#")])
-    entries = files.select("file", F.explode(F.regexp_extract_all(section, F.lit(r"(?ms)^(\d+\.\s+.+?)(?=\n\d+\.\s|\Z)"), 1)).alias("entry"))
+    and ref_type (legislation, web, journal or unknown). files: as for `ris`.
+
+    The section begins after its first heading and ends with the file; of the two forms of the heading the second counts
+    where the first is absent. An entry begins at a numbered line and holds those up to the next."""
+    rows = lines_of(files)
+    heads = rows.groupBy("file").agg(*[F.min(F.when(F.col("value").rlike(rf"^{h} Referências\s*$"), F.col("line"))).alias(f"_{len(h)}") for h in ("##", "#")])
+    since = heads.select("file", F.coalesce("_2", "_1").alias("_since")).where("_since is not null")
+    inside = rows.join(since, "file").where(F.col("line") > F.col("_since"))
+    marked = counted_upto(inside, {"entry": F.col("value").rlike(NUMBERED)}, segment).where("entry > 0")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"])
+    entries = marked.groupBy("file", F.col("entry").alias("_entry")).agg(F.array_join(lines, "\n").alias("entry"))
     e = entries.select("file", F.regexp_extract("entry", r"^(\d+)", 1).cast("int").alias("number"), F.replace(stripped(F.regexp_replace("entry", r"^\d+\.\s+", "")), F.lit("\n"), F.lit(" ")).alias("raw"))
     named = filled(F.regexp_extract("raw", r"DOI:\s*(10\.\S+?)\.?\s*$", 1))
     e = e.withColumns({"doi": F.coalesce(named, filled(F.regexp_extract("raw", r"\b(10\.\d{4,}/\S+?)\.?\s*$", 1))), "_cut": F.when(named.isNotNull(), F.rtrim(stripped(F.regexp_replace("raw", r"DOI:\s*10\.\S+?\.?\s*$", "")), F.lit("."))).otherwise(F.col("raw"))})
@@ -155,7 +210,7 @@ def author_list(c: Column) -> Column:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows that parse, with `_line`, and the lines that don't: (rows, rejected). One file keeps its line order."""
-    rows = lines_of(whole_files(spark, path)).where(F.length(F.trim("value")) > 0)
+    rows = split_lines(spark, path).where(F.length(F.trim("value")) > 0)
     parsed = rows.withColumn("v", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     good = parsed.where("v is not null and v._corrupt is null").select("v.*", F.col("line").alias("_line")).drop("_corrupt")
     return good, parsed.where("v is null or v._corrupt is not null").select("file", "line", "value")
