@@ -5,39 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, stripped
+from .markup import LEAST_PAGE, LEAST_XML, article_text, xml_flat, xml_sections  # noqa: F401  part of this module's functions
 
-#: Least lengths of a usable content.
-LEAST_XML, LEAST_PAGE, LEAST_SNAPSHOT = 500, 200, 200
+#: Least length of a usable snapshot.
+LEAST_SNAPSHOT = 200
 #: Levels in the order in which they are preferred.
 LEVELS = ("cache", "local", "pmc", "pubmed_abstract", "crossref_abstract")
 
 
-def xml_sections(xml: Column) -> Column:
-    """Sections of full-text XML as Markdown: titles as `###`, paragraphs as plain text."""
-    titled = F.regexp_replace(xml, r"(?s)<title[^>]*>(.*?)</title>", "\n\n### $1\n\n")
-    parted = F.regexp_replace(titled, r"(?s)</p>", "\n\n")
-    body = F.regexp_extract(parted, r"(?s)<body[^>]*>(.*)</body>", 1)
-    plain = F.regexp_replace(body, r"(?s)<[^>]*>", "")
-    return F.regexp_replace(stripped(F.regexp_replace(plain, r"[ \t]+", " ")), r"\n\s*\n\s*(\n\s*)*", "\n\n")
-
-
-def article_text(html: Column) -> Column:
-    """Text of the first of article, a content division, main and body that the page has, without scripts and menus; null
-    below LEAST_PAGE signs."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header|noscript|svg|iframe)\b.*?</\1\s*>", " ")
-    found = F.coalesce(
-        filled(F.regexp_extract(bare, r"(?is)<article\b[^>]*>(.*)</article>", 1)),
-        filled(F.regexp_extract(bare, r"(?is)<div\b[^>]*class=[\"'][^\"']*(?:article|content|paper)[^\"']*[\"'][^>]*>(.*)</div>", 1)),
-        filled(F.regexp_extract(bare, r"(?is)<main\b[^>]*>(.*)</main>", 1)),
-        filled(F.regexp_extract(bare, r"(?is)<body\b[^>]*>(.*)", 1)),
-        bare,
-    )
-    lines = F.regexp_replace(F.regexp_replace(found, r"(?i)</(p|div|h\d|li|section)>|<br\s*/?>", "\n"), r"(?s)<[^>]*>", "")
-    text = stripped(F.regexp_replace(F.regexp_replace(lines, r"[ \t]+", " "), r"\n\s*\n\s*(\n\s*)+", "\n\n"))
-    return F.when(F.length(text) >= LEAST_PAGE, text)
-
-
 def resolve(works: DataFrame, found: DataFrame) -> DataFrame:
     """works: number, ref_type; found: number, level (one of LEVELS), content. number, content, source_level: the content
     of the first level that has one, whole. Web pages and legislation have none by rule; abstracts are abstracts."""
@@ -62,9 +37,22 @@ def name_words(c: Column) -> Column:
 
 def match_files(files: DataFrame, works: DataFrame) -> DataFrame:
     """files: file; works: work. Each file with the work whose name shares most words with it: two at least, and three
-    tenths of the longer name; by an equi-join on words."""
-    a = files.select("file", name_words(F.col("file")).alias("fw")).withColumn("w", F.explode("fw"))
-    b = works.select("work", name_words(F.col("work")).alias("ww")).withColumn("w", F.explode("ww"))
-    met = a.join(b, "w").groupBy("file", "work").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.size("fw"), F.size("ww"))).alias("most"))
-    good = met.withColumn("score", F.col("n") / F.col("most")).where("n >= 2 and score >= 0.3")
+    tenths of the longer name.
+
+    Words are put in the order of how rare they are among all names. Names of x and y words that match share k =
+    max(2, ceil(0.3 * max(x, y))) words at least, so with the longer one's k each has one of them among its first x - k + 1
+    or y - k + 1: only these are joined, and a word that all names hold makes no pair unless a name has little else."""
+    a, b = files.select("file", name_words(F.col("file")).alias("fw")), works.select("work", name_words(F.col("work")).alias("ww"))
+    every = a.select(F.explode("fw").alias("w")).unionByName(b.select(F.explode("ww").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    def rare(names: DataFrame, name: str, words: str) -> DataFrame:
+        """One row for each of a name's first words. The least k of any partner is that of a partner no longer than it."""
+        spread = names.withColumn("w", F.explode(words)).join(every, "w")
+        ranked = spread.groupBy(name).agg(F.transform(F.array_sort(F.collect_set(F.struct("n", "w"))), lambda x: x["w"]).alias(words))
+        least = F.greatest(F.lit(2), F.ceil(F.size(words) * F.lit(3) / F.lit(10)))
+        return ranked.withColumn("w", F.explode(F.slice(words, 1, F.greatest(F.size(words) - least + 1, F.lit(0)).cast("int"))))
+
+    met = rare(a, "file", "fw").join(rare(b, "work", "ww"), "w").dropDuplicates(["file", "work"])
+    counted = met.select("file", "work", F.size(F.array_intersect("fw", "ww")).alias("n"), F.greatest(F.size("fw"), F.size("ww")).alias("most"))
+    good = counted.withColumn("score", F.col("n") / F.col("most")).where("n >= 2 and score >= 0.3")
     return good.groupBy("file").agg(F.max_by("work", F.struct("score", "work")).alias("work"), F.max("score").alias("score"))
