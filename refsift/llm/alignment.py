@@ -39,6 +39,8 @@ from .common import Workspace, shipped, tidy
 from .pieces import MARK, Coder
 from .textvec import SLICE, slices, string_buffers
 
+#: Segments whose ids each tokenizer remembers; two of them share a task's memory.
+REMEMBERED = 200_000
 #: Different keys that a task holds.
 HELD = 1 << 20
 #: Partial counts a shard, and shards at most.
@@ -74,6 +76,7 @@ class Aligner:
 
     def __init__(self, config: str, proto: bytes, kinds: np.ndarray | None = None):
         self.a, self.b = ByteBPE(config, kinds), Coder(proto)
+        self.a.most = self.b.most = REMEMBERED
         self.spelled = byte_level(self.a), Bytes(self.b.v.bytes_of)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -84,10 +87,12 @@ class Aligner:
         found = [self.a.encode(whole)[:2], self.b.encode(usable)]
         data, offsets = string_buffers(pa.array(whole, pa.string()))
         good = np.array([bool(t) for t in usable])
-        for (ids, at), spelled in zip(found, self.spelled, strict=True):
+        for k, ((ids, at), spelled) in enumerate(zip(found, self.spelled, strict=True)):
             made = np.concatenate([[0], np.cumsum(spelled.sizes[ids])])[at]
+            if k == 0 and np.array_equal(made, offsets):  # byte-level tokens are the text's bytes, if all are there
+                continue
             joined = spelled.join(ids)
-            if len(joined) != len(data) or not np.array_equal(made, offsets) or not np.array_equal(joined, data):
+            if not np.array_equal(made, offsets) or not np.array_equal(joined, data):
                 good &= np.array([np.array_equal(joined[made[i] : made[i + 1]], data[offsets[i] : offsets[i + 1]]) for i in range(len(texts))])
         out = []
         for ids, at in found:
@@ -102,22 +107,29 @@ class Aligned:
     def __init__(self, spelled: tuple[Bytes, Bytes], a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray):
         self.a, self.b, self.a_at, self.b_at = a, b, a_at, b_at
         self.a_ends, self.b_ends = np.cumsum(spelled[0].sizes[a]), np.cumsum(spelled[1].sizes[b])
-        self.text_ends = np.concatenate([[0], self.a_ends])[a_at[1:]]
-        self.both = np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
-        self.groups = np.diff(np.searchsorted(self.both, self.text_ends, "right"), prepend=0)
+        whole = int(self.a_ends[-1]) + 1 if len(a) else 1
+        # a mark at each place where a token ends
+        self.a_marks, self.b_marks = np.zeros(whole, bool), np.zeros(whole, bool)
+        self.a_marks[self.a_ends], self.b_marks[self.b_ends] = True, True
+        self.upto = np.cumsum(self.a_marks & self.b_marks, dtype=np.int32)
+        text_ends = np.concatenate([[0], self.a_ends])[a_at[1:]]
+        self.groups = np.diff(self.upto[text_ends], prepend=0).astype(np.int64)
         self.links = np.diff(a_at) + np.diff(b_at) - self.groups
 
     def keys(self) -> np.ndarray:
         """A key for each link, text by text."""
-        ends = np.union1d(self.a_ends, self.b_ends)
-        return self.b[np.searchsorted(self.b_ends, ends)].astype(np.int64) << 32 | self.a[np.searchsorted(self.a_ends, ends)]
+        ends = np.flatnonzero(self.a_marks | self.b_marks)
+        a = np.cumsum(self.a_marks, dtype=np.int32)[ends] - self.a_marks[ends]
+        b = np.cumsum(self.b_marks, dtype=np.int32)[ends] - self.b_marks[ends]
+        return self.b[b].astype(np.int64) << 32 | self.a[a]
 
     def written(self, digits: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """`a1,a2|b1;a3|b2,b3` of all texts, and the n + 1 offsets. digits: of each id five signs, and how many count."""
         n, m = len(self.a), len(self.b)
-        group_a, group_b = np.searchsorted(self.both, self.a_ends), np.searchsorted(self.both, self.b_ends)
-        upto_a, upto_b = np.searchsorted(group_a, np.arange(len(self.both)), "right"), np.searchsorted(group_b, np.arange(len(self.both)), "left")
-        place_a, place_b = np.arange(n) + upto_b[group_a], np.arange(m) + upto_a[group_b]
+        both = self.a_marks & self.b_marks
+        group_a, group_b = self.upto[self.a_ends] - both[self.a_ends], self.upto[self.b_ends] - both[self.b_ends]
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        place_a, place_b = np.arange(n) + (np.cumsum(in_b) - in_b)[group_a], np.arange(m) + np.cumsum(in_a)[group_b]
         ids, after = np.empty(n + m, np.int64), np.full(n + m, ord(","), np.uint8)
         ids[place_a], ids[place_b] = self.a, self.b
         after[place_a[np.append(group_a[1:] != group_a[:-1], True)[:n]]] = ord("|")
@@ -155,9 +167,9 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
-    """Rows of about SLICE tokens, and their A ids, places, B ids and places."""
+    """Rows of about SLICE / 2 tokens, and their A ids, places, B ids and places."""
     a_at = _flat(batch.column(1))[1]
-    for i, j in slices(a_at, SLICE):
+    for i, j in slices(a_at, SLICE // 2):
         part = batch.slice(i, j - i)
         yield part, (*_flat(part.column(1)), *_flat(part.column(2)))
 
@@ -222,22 +234,32 @@ def _arrays(counts: DataFrame) -> Callable[[], Counted]:
     return fetched
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of sorted counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")  # runs that are sorted already are merged
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[heads], np.add.reduceat(counts, heads)
+
+
 def _partial(spelled_of: Callable[[], tuple[Bytes, Bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = spelled_of()
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             for _, tokens in _slices(batch):
-                some, n = np.unique(Aligned(spelled, *tokens).keys(), return_counts=True)
-                merged, place = np.unique(np.concatenate([keys, some]), return_inverse=True)
-                total = np.zeros(len(merged), np.int64)
-                np.add.at(total, place, np.concatenate([counts, n]))
-                keys, counts = merged, total
-                if len(keys) >= HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-                    keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+                parts.append(np.unique(Aligned(spelled, *tokens).keys(), return_counts=True))
+                held += len(parts[-1][0])
+                if held >= HELD:
+                    parts = [_merged(parts)]
+                    held = len(parts[0][0])
+                    if held >= HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["key", "n"])
+                        parts, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(parts)], names=["key", "n"])
 
     return run
 

@@ -82,7 +82,9 @@ def _merger(config: str):
 
 
 class Remembered:
-    """Ids of text segments: each distinct one is encoded once, until REMEMBERED are held."""
+    """Ids of text segments: each distinct one is encoded once, until `most` are held."""
+
+    most = REMEMBERED
 
     def __init__(self):
         self._forget()
@@ -100,7 +102,7 @@ class Remembered:
         place = np.fromiter(map(self.known.get, segments, repeat(-1)), np.int64, len(segments))
         new = np.flatnonzero(place < 0)
         if len(new):
-            if len(self.known) + len(new) > REMEMBERED:
+            if len(self.known) + len(new) > self.most:
                 self._forget()
                 new = np.arange(len(segments))
             unseen = [segments[i] for i in new.tolist()]
