@@ -10,6 +10,7 @@ from .operators import claims, dedup, enrich, facts, journals, records, reports,
 from .queries import _GRADED, _REFS, _SCREENED, SCOPE, _flow_refs, _whole, query, refs, table
 from .sources import documents, sinks, tables
 from .sources import text as text_sources
+from .streaming import pending
 
 
 @query(
@@ -270,14 +271,12 @@ def verdict_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.divergences(r).select("id", "keyword", "verdict", "kind")
 
 
-@query("SELECT seq, id FROM (SELECT row_number() OVER (ORDER BY k, id) AS seq, id FROM (SELECT 0 AS k, s_suppkey AS id FROM supplier UNION ALL SELECT 1, n_nationkey FROM nation UNION ALL SELECT 2, r_regionkey FROM region))")
+@query("SELECT 0 AS source, s_suppkey AS place, s_suppkey AS id FROM supplier UNION ALL SELECT 1, n_nationkey, n_nationkey FROM nation UNION ALL SELECT 2, r_regionkey, r_regionkey FROM region")
 def union_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sources one after another; the place in the union is told by counting, for the comparison only."""
-    from pyspark.sql import Window
-
+    """Three sources one after another: places ascend through the first, then the second, then the third."""
     one = [table(spark, sf_dir, t).select(F.col(c).cast("long").alias("_seq"), F.col(c).cast("long").alias("id")) for t, c in (("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("region", "r_regionkey"))]
     both = tables.union_sources(one)
-    return both.select(F.row_number().over(Window.orderBy("_seq")).cast("long").alias("seq"), "id")
+    return both.select(F.floor(F.col("_seq") / tables.MOST_OF_A_SOURCE).cast("int").alias("source"), (F.col("_seq") % tables.MOST_OF_A_SOURCE).alias("place"), "id")
 
 
 @query(
@@ -374,3 +373,50 @@ def quotes_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     quote = F.regexp_replace(middle, r"(?s)(.{19}).", "$1")
     told = d.select("doc_id", facts.quote_found(quote, F.col("text")).alias("own"), facts.quote_found(F.lit("@#~^|" * 20), F.col("text")).alias("strange"))
     return told
+
+
+@query(
+    """WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '\\s+', ' ', 'g')) AS body FROM documents)
+    SELECT doc_id, md5('### Study ' || doc_id || chr(10) || chr(10) || 'first and last' || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || '### Deep' || chr(10) || chr(10) || body END) AS sections FROM t"""
+)
+def xml_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as paragraphs of a section within a section, beside paragraphs that belong to neither."""
+    body = F.trim(F.regexp_replace(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), r"\s+", " "))
+    safe = F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    xml = F.concat(
+        F.lit("<article><front><p>no</p></front><body><p>none</p><sec><title>Study "), F.col("doc_id").cast("string"), F.lit("</title><p>first <i>and</i> last</p><sec><title>Deep</title><p> "), safe, F.lit(" </p></sec><list><p>no</p></list></sec></body></article>")
+    )
+    return _whole(spark, sf_dir).select("doc_id", F.md5(documents.xml_sections(xml)).alias("sections"))
+
+
+@query(
+    """WITH t AS (SELECT page_id, trim(regexp_replace(coalesce(html, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS body FROM pages)
+    SELECT page_id, CASE WHEN length(body) >= 200 THEN md5(body) END AS article FROM t"""
+)
+def page_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters and digits of each page's whole markup as the text of containers of every kind, nested and repeated:
+    of each page the right one is found, and ends where it ends."""
+    body = F.trim(F.regexp_replace(F.coalesce("html", F.lit("")), "[^A-Za-z0-9]+", " "))
+    i = F.col("page_id") % 4
+    page = (
+        F.when(i == 0, F.concat(F.lit("<body><main>m</main><div class='content'>d</div><article><nav>n</nav>"), body, F.lit("</article>x<article>y</article></body>")))
+        .when(i == 1, F.concat(F.lit("<body>a<div class='b page-content'><script>s</script><span>"), body, F.lit("</span></div>x<div class='paper'>y</div></body>")))
+        .when(i == 2, F.concat(F.lit("<body>a<div class='other'>o</div><main>"), body, F.lit("<footer>f</footer></main>x</body>")))
+        .otherwise(F.concat(F.lit("<head><style>h</style></head><body><header>h</header>"), body, F.lit("</body>")))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(documents.article_text(page)).alias("article"))
+
+
+@query("SELECT DISTINCT user_id % 40 AS ref_number, event_type AS unit, floor(value) AS value FROM events")
+def registry_over_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as quantitative facts that come in three batches, each of which holds what others have told: every fact is
+    registered once."""
+    number = F.col("event_id")
+    told = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 40).cast("int").alias("ref_number"), F.lit("quantitative").alias("fact_type"), F.lit(None).cast("string").alias("exact_quote"), F.floor("value").cast("double").alias("value"), F.col("event_type").alias("unit"),
+        F.lit("verified").alias("status"), F.lit("events").alias("_file"), F.lit(0).cast("long").alias("_block"), (number % 3).alias("part"),
+    )
+    registry = dedup.shared_path(spark, "registry")
+    for k in range(3):
+        pending.add_batch(told.where(F.col("part") == k).drop("part"), k, registry, lambda batch: batch)
+    return pending.registered(spark, registry).select("ref_number", "unit", "value")

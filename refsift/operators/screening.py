@@ -47,8 +47,9 @@ def axes_of(hits: Column, scope: Scope) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def screen(refs: DataFrame, scope: Scope) -> DataFrame:
-    """relevance, relevance_method and mapped_axes of the active rows; duplicates pass unchanged.
+def screen(refs: DataFrame, scope: Scope, with_hits: bool = False) -> DataFrame:
+    """relevance, relevance_method and mapped_axes of the active rows; duplicates pass unchanged. with_hits: also _hits,
+    the scope's terms that the text holds, which `rank` then need not look for again.
 
     The first rule that fits decides, and rows that the first four rules decide are closed: axes and verdicts don't
     reach them."""
@@ -108,13 +109,15 @@ def screen(refs: DataFrame, scope: Scope) -> DataFrame:
             "mapped_axes": F.when(active & ~closed & (F.col("_level") != OFF_TOPIC), F.col("_axes")).otherwise(F.coalesce(F.col("mapped_axes"), F.array().cast("array<string>"))),
         }
     )
+    out = out.withColumn("_hits", hits) if with_hits else out
     return out.drop("_seen", "_k", "_direct", "_out", "_axes", "_closed", "_level", "_method")
 
 
 def rank(refs: DataFrame, scope: Scope) -> DataFrame:
     """relevance_score: 0 for duplicates and off-topic rows."""
-    text = evaluation_text(F.col("title"), F.col("abstract"), F.col("journal"))
-    refs = refs.withColumn("_hits", once(term_hits(text, [*scope.application_terms, *scope.domain_terms, *scope.direct_terms])))
+    if "_hits" not in refs.columns:
+        text = evaluation_text(F.col("title"), F.col("abstract"), F.col("journal"))
+        refs = refs.withColumn("_hits", once(term_hits(text, [*scope.application_terms, *scope.domain_terms, *scope.direct_terms])))
     hits = F.col("_hits")
     year, cites = F.coalesce("year", F.lit(0)), F.coalesce(F.col("citation_count"), F.lit(0)).cast("double")
     recency = F.when(year >= 2025, 3).when(year >= 2023, 2).when(year >= 2021, 1).otherwise(0)

@@ -16,7 +16,7 @@ def stages(scope: Scope, tiers: DataFrame, answers: DataFrame | None = None, pro
     """name -> frame to frame. Without the tables of a service its stage passes rows through."""
 
     def screened(refs: DataFrame) -> DataFrame:
-        return screening.mark_landmarks(screening.rank(screening.screen(refs, scope), scope))
+        return screening.mark_landmarks(screening.rank(screening.screen(refs, scope, with_hits=True), scope))
 
     return {
         "dedup": lambda r: dedup.deduplicate(r)[0],

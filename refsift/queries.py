@@ -123,7 +123,7 @@ _SCREENED = f"""
 
 
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screening.rank(screening.screen(refs(spark, sf_dir), SCOPE), SCOPE)
+    return screening.rank(screening.screen(refs(spark, sf_dir), SCOPE, with_hits=True), SCOPE)
 
 
 @query(f"WITH {_SCREENED} SELECT id, CAST(level AS INT) AS relevance, method AS relevance_method, CAST(round_even(score, 2) AS DOUBLE) AS relevance_score FROM screened ORDER BY round_even(score, 2) DESC, seq LIMIT 40")
