@@ -420,3 +420,58 @@ def registry_over_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(3):
         pending.add_batch(told.where(F.col("part") == k).drop("part"), k, registry, lambda batch: batch)
     return pending.registered(spark, registry).select("ref_number", "unit", "value")
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_orderkey % 4 AS k, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN cents * 1000000 ELSE cents END AS cents FROM l"""
+)
+def number_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices in two notations, with and without grouping, by themselves or in millions."""
+    price, k = F.col("l_extendedprice"), F.col("l_orderkey") % 4
+    english = F.format_number(price, 2)
+    swapped = F.translate(english, ",.", ".,")
+    raw = F.when(k == 0, english).when(k == 1, swapped).when(k == 2, F.replace(english, F.lit(","), F.lit(""))).otherwise(F.replace(swapped, F.lit("."), F.lit("")))
+    context = F.concat(F.lit("some "), raw, F.when(F.col("l_linenumber") % 2 == 0, " million in all").otherwise(" in all"))
+    value = numbers.number_value(raw, context)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(value * 100).cast("long").alias("cents"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS f, o_custkey % 5 AS off, o_totalprice AS a, o_totalprice * 0.8 + o_custkey AS b FROM orders),
+    c AS (SELECT *, CASE f WHEN 0 THEN (a - b) / a * 100 WHEN 1 THEN (b - a) / a * 100 WHEN 2 THEN a / b WHEN 3 THEN a - b WHEN 4 THEN a + b END AS v FROM o)
+    SELECT o_orderkey, coalesce(abs(v * (1 + off * 0.004) - v) <= greatest(abs(v) * 0.01, 0.1), false) AS holds FROM c"""
+)
+def derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of orders, and what is said to follow from them: right, up to 0.8 % off, or more."""
+    f = F.element_at(F.array(*[F.lit(n) for n in ("percentage_reduction", "percentage_increase", "ratio", "difference", "sum", "unknown")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    values = F.array(F.col("o_totalprice"), F.col("o_totalprice") * 0.8 + F.col("o_custkey"))
+    told = table(spark, sf_dir, "orders").select("o_orderkey", f.alias("f"), values.alias("v"), (F.col("o_custkey") % 5).alias("off"))
+    stated = numbers.derived(F.col("f"), F.col("v")) * (1 + F.col("off") * 0.004)
+    return told.select("o_orderkey", numbers.derivation_holds(F.col("f"), F.col("v"), stated).alias("holds"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, 100.0 + o_custkey % 90 AS a, 1.0 + o_orderkey % 150 AS b, CAST(o_orderkey % 97 AS DOUBLE) AS p FROM orders),
+    c AS (SELECT *, greatest(a, b) AS h, least(a, b) AS l FROM o)
+    SELECT o_orderkey, abs((h - l) / h * 100 - p) <= 5 OR abs((h - l) / l * 100 - p) <= 5 AS holds FROM c"""
+)
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`a to b, a change of p percent`: by the larger or by the smaller value, give or take five points."""
+    a, b, p = 100.0 + F.col("o_custkey") % 90, 1.0 + F.col("o_orderkey") % 150, (F.col("o_orderkey") % 97).cast("double")
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.transition_holds(a, b, p).alias("holds"))
+
+
+@query(
+    """SELECT p_partkey, p_partkey % 3 < 2 AS abbreviates FROM part
+    WHERE len(string_split(p_name, ' ')) = len(list_distinct(list_transform(string_split(p_name, ' '), lambda w: left(w, 3))))"""
+)
+def journal_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names abridged word by word, in their order or the other way round, and other words; names whose words begin
+    alike are left out, since there a word of another place may stand for it."""
+    words = F.split("p_name", " ")
+    short = F.transform(words, lambda w: F.concat(F.substring(w, 1, 3), F.lit(".")))
+    own = table(spark, sf_dir, "part").where(F.size(words) == F.size(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))))
+    k = F.col("p_partkey") % 3
+    given = F.when(k == 0, F.array_join(short, " ")).when(k == 1, F.array_join(F.reverse(short), " ")).otherwise("Qzx. Xyz.")
+    return own.select("p_partkey", records.abbreviates(given, F.col("p_name")).alias("abbreviates"))
