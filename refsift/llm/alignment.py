@@ -25,6 +25,7 @@ import hashlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
@@ -71,11 +72,26 @@ def byte_level(tokenizer: ByteBPE) -> Bytes:
     return Bytes([bytes(letters.get(c, 0) for c in name) for name in names])
 
 
+class Pieces(Coder):
+    """The library's ids, segment by segment: it finds those of a new segment sooner than the search that this class has
+    of its own, and here the ids alone count."""
+
+    def fresh(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.v.merges is None:
+            return super().fresh(segments)
+        found = self.v.merges.encode(segments, num_threads=1)
+        for k, segment in enumerate(segments):
+            if len(segment) == 1 and segment not in self.v.letters:  # as its bytes
+                found[k] = self.v.spelled(segment)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", sizes.sum()), sizes
+
+
 class Aligner:
     """Tokens of both kinds for many texts at once."""
 
     def __init__(self, config: str, proto: bytes, kinds: np.ndarray | None = None):
-        self.a, self.b = ByteBPE(config, kinds), Coder(proto)
+        self.a, self.b = ByteBPE(config, kinds), Pieces(proto)
         self.a.most = self.b.most = REMEMBERED
         self.spelled = byte_level(self.a), Bytes(self.b.v.bytes_of)
 
