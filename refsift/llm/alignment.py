@@ -41,7 +41,7 @@ from .pieces import MARK, Coder
 from .textvec import SLICE, slices, string_buffers
 
 #: Segments whose ids each tokenizer remembers; two of them share a task's memory.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Different keys that a task holds.
 HELD = 1 << 20
 #: Partial counts a shard, and shards at most.
@@ -76,6 +76,11 @@ class Pieces(Coder):
     """The library's ids, segment by segment: it finds those of a new segment sooner than the search that this class has
     of its own, and here the ids alone count."""
 
+    def __init__(self, proto: bytes):
+        super().__init__(proto)
+        if self.v.merges is not None:
+            self.pair_key = self.pair_ok = None  # the search's own memory
+
     def fresh(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.v.merges is None:
             return super().fresh(segments)
@@ -183,9 +188,9 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
-    """Rows of about SLICE / 2 tokens, and their A ids, places, B ids and places."""
+    """Rows of about SLICE / 8 tokens, and their A ids, places, B ids and places."""
     a_at = _flat(batch.column(1))[1]
-    for i, j in slices(a_at, SLICE // 2):
+    for i, j in slices(a_at, SLICE // 8):
         part = batch.slice(i, j - i)
         yield part, (*_flat(part.column(1)), *_flat(part.column(2)))
 
@@ -321,10 +326,10 @@ def _aligned(docs: DataFrame, tokenizer: str, model: str, space: Workspace) -> t
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            _, sizes = string_buffers(batch.column(1))
             for i, j in slices(sizes, SLICE // 2):
-                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)) for ids, at in aligner.encode(texts[i:j])]
+                texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)) for ids, at in aligner.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["doc_id", "a", "b"])
 
     tokens = space.cut(docs.select("doc_id", "text").mapInArrow(tidy(encode), f"doc_id {kind}, a array<int>, b array<int>"), "tokens")
