@@ -182,17 +182,30 @@ def decimal_digits(size: int) -> tuple[np.ndarray, np.ndarray]:
     return table, counts
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    at = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
+def _packed(ids: np.ndarray, at: np.ndarray, kind: str) -> pa.Array:
+    """Ids of each text as bytes, which take half the room of integers in what Spark and its workers exchange."""
+    width = np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, kind))])
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(whole).view(kind).astype(np.int32), (at - at[0]) // np.dtype(kind).itemsize
+
+
+def kind_of(spelled: tuple[Bytes, Bytes]) -> str:
+    """Of the ids as bytes."""
+    return "<u2" if max(len(s.sizes) for s in spelled) <= 1 << 16 else "<u4"
+
+
+def _slices(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
     """Rows of about SLICE / 8 tokens, and their A ids, places, B ids and places."""
-    a_at = _flat(batch.column(1))[1]
+    a_at = np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: len(batch) + 1] // np.dtype(kind).itemsize
     for i, j in slices(a_at, SLICE // 8):
         part = batch.slice(i, j - i)
-        yield part, (*_flat(part.column(1)), *_flat(part.column(2)))
+        yield part, (*_flat(part.column(1), kind), *_flat(part.column(2), kind))
 
 
 class Counted:
@@ -270,7 +283,7 @@ def _partial(spelled_of: Callable[[], tuple[Bytes, Bytes]]) -> Callable[[Iterato
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         for batch in batches:
-            for _, tokens in _slices(batch):
+            for _, tokens in _slices(batch, kind_of(spelled)):
                 parts.append(np.unique(Aligned(spelled, *tokens).keys(), return_counts=True))
                 held += len(parts[-1][0])
                 if held >= HELD:
@@ -307,7 +320,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def align(docs: DataFrame, tokenizer: str, model: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, a, b: ids of A and B; one row a row of docs), (key, n: links of a pair of ids over all of them, key being
+    """(doc_id, a, b: ids of A and B as little-endian bytes, see `kind_of`; one row a row of docs), (key, n: links of a pair of ids over all of them, key being
     B's id * 2^32 + A's). tokenizer, model: paths, on the driver, of a byte-level BPE and a SentencePiece model."""
     space = Workspace(docs.sparkSession, "alignment")
     tokens, counts, _ = _aligned(docs, tokenizer, model, space)
@@ -329,10 +342,10 @@ def _aligned(docs: DataFrame, tokenizer: str, model: str, space: Workspace) -> t
             _, sizes = string_buffers(batch.column(1))
             for i, j in slices(sizes, SLICE // 2):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
-                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)) for ids, at in aligner.encode(texts)]
+                lists = [_packed(ids, at, kind_of(aligner.spelled)) for ids, at in aligner.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["doc_id", "a", "b"])
 
-    tokens = space.cut(docs.select("doc_id", "text").mapInArrow(tidy(encode), f"doc_id {kind}, a array<int>, b array<int>"), "tokens")
+    tokens = space.cut(docs.select("doc_id", "text").mapInArrow(tidy(encode), f"doc_id {kind}, a binary, b binary"), "tokens")
     partial = space.cut(tokens.mapInArrow(tidy(_partial(shipped(spark, spelled))), "key long, n long"), "partial")
     shards = max(1, min(MOST_SHARDS, -(-partial.count() // SHARD_ROWS)))
     counts = space.cut(partial.repartitionByRange(shards, "key").sortWithinPartitions("key").mapInArrow(_runs, "key long, n long"), "counts")
@@ -358,7 +371,7 @@ def measure(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
         counted = counted_of()
         digits = decimal_digits(max(len(s.sizes) for s in spelled))
         for batch in batches:
-            for part, tokens in _slices(batch):
+            for part, tokens in _slices(batch, kind_of(spelled)):
                 found = Aligned(spelled, *tokens)
                 keys = found.keys()
                 some, place = np.unique(keys, return_inverse=True)
