@@ -1,7 +1,8 @@
 """String and vector similarity.
 
 `indel` is 100 * 2 * LCS(a, b) / (|a| + |b|): insertions and deletions only. It is computed by a bit-parallel LCS in an
-Arrow UDF; `may_reach` is a cheaper JVM filter that never excludes a pair at or above a limit.
+Arrow UDF; `may_reach` is a cheaper JVM filter that never excludes a pair at or above a limit. `alike` compares all texts of
+two blocks at once: counts of signs first, then the same LCS for thousands of pairs side by side.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,165 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
+def lcs_reaching(a: str, b: str, least: int) -> int:
+    """The length of the longest common subsequence where it is least or more; else 0, as soon as that is certain."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for at in range(0, len(b), 64):
+        for ch in b[at : at + 64]:
+            hit = row & places.get(ch, 0)
+            row = (row + hit | row - hit) & full
+        left = max(len(b) - at - 64, 0)
+        cut = max(len(a) - left, 0)
+        if cut - (row & (1 << cut) - 1).bit_count() + min(left, len(a)) < least:
+            return 0
+    found = len(a) - row.bit_count()
+    return found if found >= least else 0
+
+
+#: Bits of a word of a row (one is left for the carry), pairs side by side, steps between two looks at what can still be
+#: reached, signs that are counted by themselves.
+_BITS, _BESIDE, _STEPS, _BAGS = 63, 4096, 16, 64
+
+
+def _masks(codes: np.ndarray, lengths: np.ndarray, signs: int, words: int) -> np.ndarray:
+    """For each word, text and sign, the bits of the places where the text has the sign."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = ((place // _BITS) * len(lengths) + row) * signs + codes
+    order = np.argsort(key, kind="stable")
+    key, bit = key[order], (np.uint64(1) << (place % _BITS).astype(np.uint64))[order]
+    out = np.zeros(words * len(lengths) * signs, np.uint64)
+    if len(key):
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        out[key[heads]] = np.bitwise_or.reduceat(bit, heads)
+    return out.reshape(words, -1)
+
+
+def _matched(rows: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Zero bits among the first upto of each pair's row."""
+    found = np.zeros(len(upto), np.int64)
+    for w in range(len(rows)):
+        bits = np.clip(upto - w * _BITS, 0, _BITS).astype(np.uint64)
+        found += np.bitwise_count(~rows[w] & ((np.uint64(1) << bits) - np.uint64(1)))
+    return found
+
+
+def _lcs_beside(masks: np.ndarray, first: np.ndarray, padded: np.ndarray, at: np.ndarray, la: np.ndarray, lb: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """LCS lengths of pairs, all one step at a time: places of those that reach need, their lengths, and places of pairs
+    left open when too few went on side by side. first: a pair's offset in the masks; at: its row in padded.
+
+    A pair that reaches need leaves at most la - need signs of the one text and lb - need of the other, so places further
+    than that from the diagonal aren't looked at: this drops no alignment that reaches need, and adds none. After j steps
+    at most the row's value at la - (lb - j), and all signs that are left, can be reached."""
+    live = np.arange(len(la))
+    done, lengths = [], []
+    ones = np.uint64((1 << _BITS) - 1)
+    rows = np.full((len(masks), len(la)), ones)
+    for s in range(0, int(lb.max(initial=0)), _STEPS):
+        index = padded[at[live], s : s + _STEPS].T.astype(np.intp) + first[live]
+        behind, ahead = int((lb - need)[live].max()), int((la - need)[live].max())
+        hit, total, carry = (np.empty(len(live), np.uint64) for _ in range(3))
+        for k in range(len(index)):
+            low, high = max(0, (s + k - behind) // _BITS), min(len(masks) - 1, (s + k + ahead) // _BITS)
+            for w in range(low, high + 1):
+                row = rows[w]
+                np.take(masks[w], index[k], out=hit, mode="clip")
+                np.bitwise_and(hit, row, out=hit)
+                np.add(row, hit, out=total)
+                if w > low:
+                    np.add(total, carry, out=total)
+                if w < high:
+                    np.right_shift(total, np.uint64(_BITS), out=carry)
+                np.bitwise_xor(row, hit, out=row)
+                np.bitwise_or(row, total, out=row)
+                np.bitwise_and(row, ones, out=row)
+        a, left = la[live], np.maximum(lb[live] - s - _STEPS, 0)
+        upto = np.maximum(a - left, 0)
+        can = _matched(rows, upto) + np.minimum(a - upto, left)
+        good, ended = can >= need[live], left == 0
+        done.append(live[good & ended])
+        lengths.append(can[good & ended])
+        stay = good & ~ended
+        if 4 * np.count_nonzero(stay) < 3 * len(live):
+            live, rows = live[stay], np.ascontiguousarray(rows[:, stay])
+        elif ended.any():  # what has ended is not told twice
+            live, rows = live[stay], np.ascontiguousarray(rows[:, stay])
+        if len(live) < min(14 * len(masks), 400):
+            break
+    return np.concatenate([*done, live[:0]]), np.concatenate([*lengths, np.zeros(0, np.int64)]), live
+
+
+def alike(left: list[str], right: list[str] | None, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, score of all pairs of left[i] and right[j] (without right: of left[i] and left[j], i < j) whose indel ratio
+    is limit or more. No text may be empty. Texts of very different lengths are best kept in different blocks."""
+    texts = left + (right or [])
+    n = len(left)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    _, inverse, often = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+    codes = rank[inverse]
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    bags = np.bincount(owner * _BAGS + np.minimum(codes, _BAGS - 1), minlength=len(texts) * _BAGS).reshape(-1, _BAGS).astype(np.int32)
+    ones, two = np.arange(n), np.arange(n) if right is None else np.arange(n, len(texts))
+    i, j = [], []
+    strip = max(1, (1 << 17) // max(len(two), 1))
+    for s in range(0, n, strip):
+        part = ones[s : s + strip]
+        both = lengths[part][:, None] + lengths[two][None, :]
+        met = 200 * np.minimum(lengths[part][:, None], lengths[two][None, :]) >= limit * both
+        if right is None:
+            met &= part[:, None] < two[None, :]
+        if met.any():
+            common = np.zeros(both.shape, np.int32)
+            for k in range(min(_BAGS, len(often))):
+                common += np.minimum(bags[part, k][:, None], bags[two, k][None, :])
+            met &= 200 * common.astype(np.int64) >= limit * both
+        x, y = np.nonzero(met)
+        i.append(part[x])
+        j.append(two[y])
+    i, j = np.concatenate([*i, ones[:0]]), np.concatenate([*j, ones[:0]])
+    if not len(i):
+        return i, j, np.zeros(0)
+    need = -(-limit * (lengths[i] + lengths[j]) // 200)
+    order = np.argsort(lengths[i], kind="stable")
+    i, j, need = i[order], j[order], need[order]
+    starts = np.cumsum(lengths) - lengths
+    signs = len(often) + 1  # the last stands for no sign
+    low = int(two[0])
+    padded = np.full((len(two), int(lengths[two].max())), signs - 1, np.int32)
+    mine = owner >= low
+    padded[owner[mine] - low, (np.arange(len(owner)) - starts[owner])[mine]] = codes[mine]
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    s = 0
+    while s < len(i):
+        e = min(s + _BESIDE, len(i))
+        used, row_of = np.unique(i[s:e], return_inverse=True)
+        words = -(-int(lengths[used].max()) // _BITS)
+        most = max(1, (1 << 22) // (signs * words))  # texts whose masks are held at once
+        if len(used) > most:
+            ordered = np.argsort(i[s:e], kind="stable")
+            i[s:e], j[s:e], need[s:e] = i[s:e][ordered], j[s:e][ordered], need[s:e][ordered]
+            e = s + int(np.searchsorted(i[s:e], used[most]))
+            used, row_of = np.unique(i[s:e], return_inverse=True)
+        x, y, least = i[s:e], j[s:e], need[s:e]
+        opened = np.arange(len(x))
+        if len(x) >= min(14 * words, 400):
+            held = np.concatenate([codes[starts[t] : starts[t] + lengths[t]] for t in used])
+            masks = _masks(held, lengths[used], signs, words)
+            good, found, opened = _lcs_beside(masks, row_of * signs, padded, y - low, lengths[x], lengths[y], least)
+            kept.append((x[good], y[good], found))
+        told = np.array([lcs_reaching(texts[x[k]], texts[y[k]], int(least[k])) for k in opened], np.int64)
+        kept.append((x[opened][told > 0], y[opened][told > 0], told[told > 0]))
+        s = e
+    a, b, found = (np.concatenate([k[c] for k in kept] or [ones[:0]]) for c in range(3))
+    return a, b if right is None else b - n, 200.0 * found / (lengths[a] + lengths[b])
+
+
 def partial_indel_ratio(a: str, b: str, least: float = 0.0) -> float:
     """The best ratio of the shorter string with a stretch of the longer one of at most its length, which may hang
     over either end; 0 where that is under `least`. An empty string is like another empty string only.
