@@ -271,12 +271,11 @@ def verdict_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.divergences(r).select("id", "keyword", "verdict", "kind")
 
 
-@query("SELECT 0 AS source, s_suppkey AS place, s_suppkey AS id FROM supplier UNION ALL SELECT 1, n_nationkey, n_nationkey FROM nation UNION ALL SELECT 2, r_regionkey, r_regionkey FROM region")
+@query("SELECT seq, id FROM (SELECT row_number() OVER (ORDER BY k, id) AS seq, id FROM (SELECT 0 AS k, s_suppkey AS id FROM supplier UNION ALL SELECT 1, n_nationkey FROM nation UNION ALL SELECT 2, r_regionkey FROM region))")
 def union_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sources one after another: places ascend through the first, then the second, then the third."""
+    """Three sources one after another, numbered throughout."""
     one = [table(spark, sf_dir, t).select(F.col(c).cast("long").alias("_seq"), F.col(c).cast("long").alias("id")) for t, c in (("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("region", "r_regionkey"))]
-    both = tables.union_sources(one)
-    return both.select(F.floor(F.col("_seq") / tables.MOST_OF_A_SOURCE).cast("int").alias("source"), (F.col("_seq") % tables.MOST_OF_A_SOURCE).alias("place"), "id")
+    return tables.numbered(tables.union_sources(one)).select(F.col("place").alias("seq"), "id")
 
 
 @query(
