@@ -15,8 +15,9 @@ similarity is at least 3/4; the answer is the smallest doc_id reachable over lin
    the mean at 3/4) are left. Confirmed links are contracted to components. A second turn does so with a hub of another
    component.
 4. Keys that still join different components are compared member by member, in blocks of at most BLOCK members, by
-   signature first, each pair under the first key that it shares; all pairs within SURE, and near ones beyond it, are
-   confirmed on their full sets and contracted once more. No key and no partner is left out.
+   signature first, each pair under the first key that it shares. Members that are in a near pair get their full sets, and
+   the same pairs are confirmed on them block by block: all within SURE, and near ones beyond it. What is shuffled are
+   members of blocks, and links that join something, never pairs. No key and no partner is left out.
 
 A set is held as 64-bit hashes: n_shingles and the confirmation are exact but for collisions of these, of which a text
 of a million shingles has one with a probability of 3e-8.
@@ -207,30 +208,8 @@ def _of_groups(sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.nd
         at = to
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of different components. Rows (key, one, two, block, rep, comp, first symbols, wide) come sorted by
-    key and pair of blocks; within a pair of different blocks only rows of different blocks are compared."""
-
-    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, one, two, block, rep, comp = (rows.column(c).to_numpy() for c in range(6))
-        signed = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        wide = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, WIDE)
-        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-        for i, j in _of_groups(np.diff(heads, append=len(key)), 1 << 16):
-            open_ = (comp[i] != comp[j]) & ((one[i] == two[i]) | (block[i] != block[j]))
-            i, j = i[open_], j[open_]
-            apart = signed[i] != signed[j]
-            distance = apart.sum(axis=1)
-            good = np.flatnonzero(distance <= FAR_FIRST)
-            sure = distance[good] <= SURE
-            good = good[sure | ((wide[i[good]] != wide[j[good]]).sum(axis=1) <= FAR_WIDE)]
-            i, j, apart = i[good], j[good], apart[good].reshape(-1, CHUNKS, WIDTH)
-            first = np.argmax(apart.sum(axis=2) <= ERRORS, axis=1)
-            wrong = np.argmax(apart[np.arange(len(i)), first], axis=1)
-            mine = keys(signed[i])[np.arange(len(i)), first * WIDTH + wrong].view(np.int64) == key[i]
-            a, b = rep[i[mine]], rep[j[mine]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by key, one, two: some whole groups of equal values at once."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -240,10 +219,85 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, one, two = (held.column(c).to_numpy() for c in range(3))
         last = np.flatnonzero((key == key[-1]) & (one == one[-1]) & (two == two[-1]))[0]
         if last:  # the last group may go on in the next batch
-            yield from told(held.slice(0, last).combine_chunks())
+            yield held.slice(0, last).combine_chunks()
             held = held.slice(last).combine_chunks()
     if held is not None:
-        yield from told(held)
+        yield held
+
+
+def _heads(rows: pa.Table) -> np.ndarray:
+    key, one, two = (rows.column(c).to_numpy() for c in range(3))
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+
+
+def _near_pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of near pairs of different components within the groups of rows, each pair in one group only. Rows: key,
+    one, two, block, rep, comp, first symbols, wide. Within a pair of different blocks only rows of different blocks are
+    compared."""
+    key, one, two, block, rep, comp = (rows.column(c).to_numpy() for c in range(6))
+    signed = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    wide = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, WIDE)
+    for i, j in _of_groups(np.diff(_heads(rows), append=len(key)), 1 << 16):
+        open_ = (comp[i] != comp[j]) & ((one[i] == two[i]) | (block[i] != block[j]))
+        i, j = i[open_], j[open_]
+        apart = signed[i] != signed[j]
+        distance = apart.sum(axis=1)
+        good = np.flatnonzero(distance <= FAR_FIRST)
+        sure = distance[good] <= SURE
+        good = good[sure | ((wide[i[good]] != wide[j[good]]).sum(axis=1) <= FAR_WIDE)]
+        i, j, apart = i[good], j[good], apart[good].reshape(-1, CHUNKS, WIDTH)
+        first = np.argmax(apart.sum(axis=2) <= ERRORS, axis=1)
+        wrong = np.argmax(apart[np.arange(len(i)), first], axis=1)
+        mine = keys(signed[i])[np.arange(len(i)), first * WIDTH + wrong].view(np.int64) == key[i]
+        yield i[mine], j[mine]
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows that `_near_pairs` takes, those that are in a pair: as many as members at most, never as pairs."""
+    for rows in _groups(batches):
+        met = np.zeros(rows.num_rows, bool)
+        for i, j in _near_pairs(rows):
+            met[i] = met[j] = True
+        yield from rows.filter(pa.array(met)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between the rows that `_across` gives, with their full sets (the ninth column): every near pair is
+    confirmed on its sets, except where links of the group have joined its two already, so a group of n rows gives fewer
+    than n links."""
+    for rows in _groups(batches):
+        rep, label = rows.column(4).to_numpy(), rows.column(5).to_numpy().copy()
+        ends = np.concatenate([_heads(rows), [rows.num_rows]])
+        group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        column = rows.column(8).combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        known, codes = np.unique(column.flatten().to_numpy(), return_inverse=True)
+        marked = np.zeros(len(known), np.int64)
+        a, b = [], []
+        for i, j in _near_pairs(rows):
+            for x in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+                if not len(x):
+                    continue
+                one, others = int(i[x[0]]), j[x]
+                others = others[label[others] != label[one]]
+                if not len(others):
+                    continue
+                own = codes[offsets[one] : offsets[one + 1]]
+                marked[own] = 1
+                sizes = offsets[others + 1] - offsets[others]
+                starts = np.cumsum(sizes) - sizes
+                flat = codes[np.repeat(offsets[others] - starts, sizes) + np.arange(int(sizes.sum()))]
+                common = np.add.reduceat(marked[flat], starts)
+                marked[own] = 0
+                for other in others[100 * common >= SIMILAR * (len(own) + sizes - common)]:
+                    if label[other] != label[one]:
+                        within = slice(ends[group[one]], ends[group[one] + 1])
+                        label[within][label[within] == label[other]] = label[one]
+                        a.append(min(rep[one], rep[other]))
+                        b.append(max(rep[one], rep[other]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
@@ -327,10 +381,14 @@ def link(docs: DataFrame) -> DataFrame:
         dealt = dealt.select("key", "rep", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
         wide = space.cut(sets.join(rest.select("rep").distinct(), "rep", "left_semi").mapInArrow(tidy(_widened), "rep long, wide binary").distinct(), "wide")
         dealt = dealt.join(signed.select("rep", F.substring("signature", 1, 2 * SYMBOLS).alias("first")), "rep").join(wide, "rep")
-        dealt = dealt.select("key", "one", "two", "block", "rep", "comp", "first", "wide").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep")
-        crossed = dealt.mapInArrow(tidy(_across), "a long, b long")
-        crossed = space.cut(crossed.join(tried, ["a", "b"], "left_anti"), "crossed")
-        more = _confirmed(crossed, sets, space)
+        columns = ["key", "one", "two", "block", "rep", "comp", "first", "wide"]
+        dealt = dealt.select(*columns).repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep")
+        crossed = dealt.mapInArrow(tidy(_across), "key long, one int, two int, block int, rep long, comp long, first binary, wide binary")
+        crossed = space.cut(crossed, "crossed")
+        own = sets.join(crossed.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", "shingles"])
+        crossed = crossed.join(own, "rep").select(*columns, "shingles")
+        crossed = crossed.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep")
+        more = space.cut(crossed.mapInArrow(tidy(_linked), "a long, b long").distinct(), "linked")
         shared_ids = _shared_ids(thin, classes)
         edges = links.unionByName(more).unionByName(shared_ids)
         final = components(edges, space)
