@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -237,6 +237,56 @@ def partial_indel_ratio(a: str, b: str, least: float = 0.0) -> float:
     return found
 
 
+def partial_indel_reaches(a: str, b: str, least: float) -> bool:
+    """Whether `partial_indel_ratio` is least or more (least over 0).
+
+    A stretch of w signs that reaches it has l >= least * (n + w) / 200 signs in common with the n of the shorter text, so
+    at most n + w - 2 l signs of both are left over, fewest for the longest stretch: d in all, for w = n. Each of them
+    spoils at most one of d + 1 pieces of the shorter text, so one piece at least stands whole in the stretch, at most d
+    places from where it stands in the shorter text. Only such places are looked at, and each only once."""
+    short, long_ = sorted((a, b), key=len)
+    n, m = len(short), len(long_)
+    if not short or least <= 0:
+        return partial_indel_ratio(a, b, least) >= least
+    d = int((200.0 - 2 * least) * n / 100.0 + 1e-9)
+    if d + 1 > n // 2:  # pieces of a sign or two stand everywhere
+        return partial_indel_ratio(a, b, least) >= least
+    places: dict[str, int] = {}
+    for i, ch in enumerate(short):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full = (1 << n) - 1
+    seen = bytearray(m + 2 * n)
+
+    def common(part: str) -> int:
+        row = full
+        for ch in part:
+            hit = row & places.get(ch, 0)
+            row = (row + hit | row - hit) & full
+        return n - row.bit_count()
+
+    for k in range(d + 1):
+        start, end = k * n // (d + 1), (k + 1) * n // (d + 1)
+        piece = short[start:end]
+        hit = long_.find(piece)
+        while hit >= 0:
+            at, last = max(hit - start - d, 1 - n), min(hit - start + d, m - 1)  # where it may begin; under 0 it hangs over
+            while at <= last and (at := seen.find(0, at + n, last + n + 1) - n) > -n:
+                seen[at + n] = 1
+                part = long_[max(at, 0) : at + n]
+                length = common(part)
+                if 200.0 * length / (n + len(part)) >= least:
+                    return True
+                if len(part) < n:
+                    at += 1
+                    continue
+                step = max(1, math.ceil(least * n / 100.0 - 1e-9) - length)
+                for x in range(at + 1, min(at + step, m - n + 1)):
+                    seen[x + n] = 1
+                at += step if at + step + n <= m else max(1, min(step, m - n + 1 - at))
+            hit = long_.find(piece, hit + 1)
+    return False
+
+
 def token_set_ratio_of(a: str, b: str) -> float:
     """The best of three ratios between the common words, and the common words with either string's own words."""
     x, y = set(a.split()), set(b.split())
@@ -277,6 +327,17 @@ def partial_indel(a: Column, b: Column, least: float = 0.0) -> Column:
     return partial(a, b)
 
 
+def partial_reaches(a: Column, b: Column, least: float) -> Column:
+    """Whether the best ratio with a stretch of the longer text is least or more."""
+
+    @F.pandas_udf(BooleanType())
+    def reaches(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in parts:
+            yield pd.Series([partial_indel_reaches(p or "", q or "", least) for p, q in zip(x, y, strict=True)], dtype="bool")
+
+    return reaches(a, b)
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     return _token_set(a, b)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import TOLERANCE, close_to, derivation_holds, number_class, number_value
-from ..functions.similarity import indel, partial_indel
+from ..functions.similarity import indel, partial_reaches
 from ..functions.text import collapsed, stripped
 from .dedup import cut, leaders
 from .keyed import band_join
@@ -58,7 +58,7 @@ def number_candidates(contents: DataFrame, reach: int = 150) -> DataFrame:
 def quote_found(quote: Column, content: Column) -> Column:
     """Short quotes by substring, longer ones by the best partial ratio."""
     q, text = F.lower(stripped(quote)), F.lower(searchable(content))
-    return F.when(F.length(q) < SHORT_QUOTE, F.contains(text, q)).otherwise(partial_indel(q, text, QUOTE) >= QUOTE)
+    return F.when(F.length(q) < SHORT_QUOTE, F.contains(text, q)).otherwise(partial_reaches(q, text, QUOTE))
 
 
 def import_pending(pending: DataFrame, contents: DataFrame) -> DataFrame:
