@@ -105,6 +105,11 @@ def transition_holds(first: Column, second: Column, percent: Column, points: flo
 def ref_range(c: Column) -> Column:
     """`1,5,11-17` as sorted distinct numbers; parts that are no number or range are left out."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda p: F.trim(p))
-    ends = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d+)(?:\s*-\s*(\d+))?$", 1).try_cast("int").alias("a"), F.regexp_extract(p, r"^(\d+)(?:\s*-\s*(\d+))?$", 2).try_cast("int").alias("b")))
+
+    def end(p: Column, group: int) -> Column:
+        digits = F.regexp_extract(p, r"^(\d+)(?:\s*-\s*(\d+))?$", group)
+        return F.when(digits != "", digits.try_cast("int"))  # a cast that fails costs some ten times as much as one that doesn't
+
+    ends = F.transform(parts, lambda p: F.struct(end(p, 1).alias("a"), end(p, 2).alias("b")))
     known = F.filter(ends, lambda e: e["a"].isNotNull() & (F.coalesce(e["b"], e["a"]) >= e["a"]))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(known, lambda e: F.sequence(e["a"], F.coalesce(e["b"], e["a"]))))))
