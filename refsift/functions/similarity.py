@@ -2,7 +2,8 @@
 
 `indel` is 100 * 2 * LCS(a, b) / (|a| + |b|): insertions and deletions only. It is computed by a bit-parallel LCS in an
 Arrow UDF; `may_reach` is a cheaper JVM filter that never excludes a pair at or above a limit. `alike` compares all texts of
-two blocks at once: counts of signs first, then the same LCS for thousands of pairs side by side.
+two blocks at once: counts of signs first, then the same LCS of what is left of the texts when all but a few signs go,
+where nearly all pairs end, then of the texts, for thousands of pairs side by side.
 """
 
 from __future__ import annotations
@@ -57,15 +58,18 @@ def lcs_reaching(a: str, b: str, least: int) -> int:
 #: Bits of a word of a row (one is left for the carry), pairs side by side, steps between two looks at what can still be
 #: reached, signs that are counted by themselves.
 _BITS, _BESIDE, _STEPS, _BAGS = 63, 4096, 16, 64
+#: Groups of texts with like counts of signs; classes of signs have at least so many signs, and such a share of all, until
+#: that share is reached; pairs that go through the classes together; fewer are not worth it.
+_GROUPS, _CLASS, _SHARE, _CLASSED, _TOGETHER, _FEW = 4, 3, 0.08, 0.5, 16384, 30
 
 
-def _masks(codes: np.ndarray, lengths: np.ndarray, signs: int, words: int) -> np.ndarray:
+def _masks(codes: np.ndarray, lengths: np.ndarray, signs: int, words: int, bits: int = _BITS) -> np.ndarray:
     """For each word, text and sign, the bits of the places where the text has the sign."""
     row = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    key = ((place // _BITS) * len(lengths) + row) * signs + codes
+    key = ((place // bits) * len(lengths) + row) * signs + codes
     order = np.argsort(key, kind="stable")
-    key, bit = key[order], (np.uint64(1) << (place % _BITS).astype(np.uint64))[order]
+    key, bit = key[order], (np.uint64(1) << (place % bits).astype(np.uint64))[order]
     out = np.zeros(words * len(lengths) * signs, np.uint64)
     if len(key):
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -122,14 +126,118 @@ def _lcs_beside(masks: np.ndarray, first: np.ndarray, padded: np.ndarray, at: np
             live, rows = live[stay], np.ascontiguousarray(rows[:, stay])
         elif ended.any():  # what has ended is not told twice
             live, rows = live[stay], np.ascontiguousarray(rows[:, stay])
-        if len(live) < min(14 * len(masks), 400):
+        if len(live) < 3 * len(masks) + 8:
             break
     return np.concatenate([*done, live[:0]]), np.concatenate([*lengths, np.zeros(0, np.int64)]), live
 
 
-def alike(left: list[str], right: list[str] | None, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _groups(bags: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each text a group of texts whose signs are alike in their shares. What is found does not depend on them."""
+    share = bags.astype(np.float32) / lengths[:, None].astype(np.float32)
+    centres = share[:1]
+    far = np.full(len(share), np.inf, np.float32)
+    while len(centres) < min(_GROUPS, len(share)):
+        far = np.minimum(far, ((share - centres[-1]) ** 2).sum(1))
+        centres = np.concatenate([centres, share[[far.argmax()]]])
+    for _ in range(4):
+        group = ((centres**2).sum(1)[None, :] - 2 * share @ centres.T).argmin(1)
+        own = [share[group == g] for g in range(len(centres))]
+        centres = np.stack([o.mean(0) if len(o) else c for o, c in zip(own, centres, strict=True)])
+    return group
+
+
+def _classes(often: np.ndarray, length: float) -> list[np.ndarray]:
+    """Signs of like frequency in classes, the rarest first; smaller ones where texts are long, so that a word holds them."""
+    out, first, total = [], 0, often.sum()
+    share = min(_SHARE, max(_SHARE / 2, 56 / length))
+    order = np.argsort(often, kind="stable")[np.count_nonzero(often == 0) :]
+    for at in range(1, len(order) + 1):
+        mass = often[order[first:at]].sum()
+        if at - first >= _CLASS and mass >= share * total:
+            out.append(order[first:at])
+            first = at
+            if often[order[:at]].sum() > _CLASSED * total:
+                break
+    return out
+
+
+def _only(held: list[np.ndarray], signs: np.ndarray) -> list[np.ndarray]:
+    """What is left of texts when all but these signs go, as numbers of the signs."""
+    number = np.full(_BAGS, -1)
+    number[signs] = np.arange(len(signs))
+    sizes = np.array([len(t) for t in held], np.int64)
+    told = number[np.concatenate(held)]
+    kept = np.add.reduceat(told >= 0, np.cumsum(sizes) - sizes)
+    return np.split(told[told >= 0], np.cumsum(kept)[:-1])
+
+
+def _lcs_or_more(one: list[np.ndarray], two: list[np.ndarray], x: np.ndarray, y: np.ndarray, signs: int) -> np.ndarray:
+    """The LCS, or more, of one[x] and two[y] for each pair, over numbers under signs; pairs of like y lie together.
+
+    Words are as wide as most texts of one are long; the longest of both sides are cut, and what is cut counts."""
+    la, lb = (np.array([len(t) for t in side], np.int64) for side in (one, two))
+    usual, most = (max(1, int(np.quantile(n, 0.85))) for n in (la, lb))
+    if usual <= 64:
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if usual <= np.iinfo(k).bits)
+        words, bits, full = 1, np.iinfo(kind).bits, kind(np.iinfo(kind).max)
+    else:
+        kind, words, bits, full = np.uint64, -(-usual // _BITS), _BITS, np.uint64((1 << _BITS) - 1)
+    over_a, over_b = np.maximum(la - words * bits, 0), np.maximum(lb - most, 0)
+    masks = _masks(np.concatenate([t[: words * bits] for t in one]), la - over_a, signs + 1, words, bits).astype(kind)
+    steps = np.full((most, len(two)), signs, np.intp)  # the last number stands for no sign
+    for k, t in enumerate(two):
+        steps[: len(t), k] = t[:most]
+    found = over_a[x] + over_b[y]
+    for s in range(0, len(x), _TOGETHER):
+        part = y[s : s + _TOGETHER]
+        first = x[s : s + _TOGETHER] * (signs + 1)
+        rows = np.full((words, len(part)), full)
+        index = np.empty(len(part), np.intp)
+        hit, total, carry = (np.empty(len(part), kind) for _ in range(3))
+        for step in steps[: int(lb[part].max())]:
+            step.take(part, out=index, mode="clip")
+            np.add(index, first, out=index)
+            for w in range(words):
+                row = rows[w]
+                masks[w].take(index, out=hit, mode="clip")
+                np.bitwise_and(hit, row, out=hit)
+                np.add(row, hit, out=total)
+                if words > 1:
+                    if w:
+                        np.add(total, carry, out=total)
+                    np.right_shift(total, kind(_BITS), out=carry)
+                np.bitwise_xor(row, hit, out=row)
+                np.bitwise_or(row, total, out=row)
+                if words > 1:
+                    np.bitwise_and(row, full, out=row)
+        for row in rows:
+            found[s : s + _TOGETHER] += np.bitwise_count(row ^ full)
+    return found
+
+
+def _open_pairs(one: list[np.ndarray], two: list[np.ndarray], met: np.ndarray, spare: np.ndarray, shared: list[np.ndarray], classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two and in one of the pairs of met (a row for each text of two) that may have what they need.
+
+    Of the signs of a class two texts have no more in common than the LCS of what is left when all other signs go: short
+    texts of like frequent signs, whose LCS is far below the counts that they share. spare is what the counts of all
+    signs share beyond the need, shared what those of each class do; a pair goes once it has nothing to spare."""
+    y, x = np.nonzero(met)
+    left = spare[y, x]
+    for c, signs in enumerate(classes):
+        if len(x) < _FEW:
+            break
+        counted = shared[c][y, x]
+        left = left - counted + np.minimum(counted, _lcs_or_more(_only(one, signs), _only(two, signs), x, y, len(signs)))
+        y, x, left = (v[left >= 0] for v in (y, x, left))
+    return y, x
+
+
+def alike(left: list[str], right: list[str] | None, limit: int, years: np.ndarray | None = None, apart: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """i, j, score of all pairs of left[i] and right[j] (without right: of left[i] and left[j], i < j) whose indel ratio
-    is limit or more. No text may be empty. Texts of very different lengths are best kept in different blocks."""
+    is limit or more. No text may be empty. Texts of very different lengths are best kept in different blocks.
+
+    Where there are years (of left, then of right; 0 is unknown), pairs of adjacent ones need `apart`, and those of years
+    further apart are left out."""
     texts = left + (right or [])
     n = len(left)
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -137,32 +245,62 @@ def alike(left: list[str], right: list[str] | None, limit: int) -> tuple[np.ndar
     rank = np.empty(len(often), np.int64)
     rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
     codes = rank[inverse]
+    starts = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(texts)), lengths)
-    bags = np.bincount(owner * _BAGS + np.minimum(codes, _BAGS - 1), minlength=len(texts) * _BAGS).reshape(-1, _BAGS).astype(np.int32)
+    small = np.uint16 if lengths.max(initial=0) < 1 << 16 else np.int32
+    bags = np.bincount(owner * _BAGS + np.minimum(codes, _BAGS - 1), minlength=len(texts) * _BAGS).reshape(-1, _BAGS).astype(small)
     ones, two = np.arange(n), np.arange(n) if right is None else np.arange(n, len(texts))
+    group = _groups(bags, lengths) if len(texts) else ones
+
+    def limits(one: np.ndarray, two: np.ndarray) -> np.ndarray | int:
+        """What pairs need; over 100 if they are left out."""
+        if years is None:
+            return limit
+        gap = np.where((years[one] == 0) | (years[two] == 0), 0, np.abs(years[one] - years[two]))
+        return np.where(gap == 0, limit, np.where(gap == 1, apart, 101))
+
+    by_length = np.argsort(lengths, kind="stable")
+    parts = [[side[group[side] == g] for side in (by_length[by_length < n], by_length[by_length >= two[0]] if len(two) else two)] for g in range(_GROUPS)]
+    counted = np.minimum(codes, _BAGS - 1)  # signs that are not counted by themselves are taken for one: more may be common
     i, j = [], []
-    strip = max(1, (1 << 17) // max(len(two), 1))
-    for s in range(0, n, strip):
-        part = ones[s : s + strip]
-        both = lengths[part][:, None] + lengths[two][None, :]
-        met = 200 * np.minimum(lengths[part][:, None], lengths[two][None, :]) >= limit * both
-        if right is None:
-            met &= part[:, None] < two[None, :]
-        if met.any():
-            common = np.zeros(both.shape, np.int32)
-            for k in range(min(_BAGS, len(often))):
-                common += np.minimum(bags[part, k][:, None], bags[two, k][None, :])
-            met &= 200 * common.astype(np.int64) >= limit * both
-        x, y = np.nonzero(met)
-        i.append(part[x])
-        j.append(two[y])
+    for g, h in ((g, h) for g in range(_GROUPS) for h in range(g if right is None else 0, _GROUPS)):
+        a, b = parts[g][0], parts[h][1]
+        if not len(a) or not len(b):
+            continue
+        often_here = bags[a].sum(0, dtype=np.int64) + bags[b].sum(0, dtype=np.int64)
+        classes = _classes(often_here, float(lengths[np.concatenate([a, b])].mean()))
+        others = np.setdiff1d(np.flatnonzero(often_here), np.concatenate([*classes, ones[:0]]))
+        one = [counted[starts[t] : starts[t] + lengths[t]] for t in a]
+        counts = np.ascontiguousarray(bags[a].T)
+        strip = max(1, (1 << 20) // len(a))
+        for s in range(0, len(b), strip):
+            part = b[s : s + strip]
+            both = lengths[part][:, None] + lengths[a][None, :]
+            need = -(-limits(part[:, None], a[None, :]) * both // 200)
+            met = np.minimum(lengths[part][:, None], lengths[a][None, :]) >= need
+            if right is None and g == h:
+                met &= np.arange(len(a))[None, :] < np.arange(s, s + len(part))[:, None]
+            if not met.any():
+                continue
+            least = np.empty(both.shape, small)
+            shared = []
+            for signs in (*classes, others):
+                shared.append(np.zeros(both.shape, small))
+                for k in signs:
+                    shared[-1] += np.minimum(bags[part, k][:, None], counts[k][None, :], out=least)
+            spare = sum(shared[1:], shared[0].astype(np.int32)) - need.astype(np.int32)
+            met &= spare >= 0
+            y, x = _open_pairs(one, [counted[starts[t] : starts[t] + lengths[t]] for t in part], met, spare, shared, classes)
+            i.append(a[x])
+            j.append(part[y])
     i, j = np.concatenate([*i, ones[:0]]), np.concatenate([*j, ones[:0]])
+    if right is None:
+        i, j = np.minimum(i, j), np.maximum(i, j)
     if not len(i):
         return i, j, np.zeros(0)
-    need = -(-limit * (lengths[i] + lengths[j]) // 200)
+    need = -(-limits(i, j) * (lengths[i] + lengths[j]) // 200)
     order = np.argsort(lengths[i], kind="stable")
     i, j, need = i[order], j[order], need[order]
-    starts = np.cumsum(lengths) - lengths
     signs = len(often) + 1  # the last stands for no sign
     low = int(two[0])
     padded = np.full((len(two), int(lengths[two].max())), signs - 1, np.int32)
@@ -182,7 +320,7 @@ def alike(left: list[str], right: list[str] | None, limit: int) -> tuple[np.ndar
             used, row_of = np.unique(i[s:e], return_inverse=True)
         x, y, least = i[s:e], j[s:e], need[s:e]
         opened = np.arange(len(x))
-        if len(x) >= min(14 * words, 400):
+        if len(x) >= 3 * words + 8:
             held = np.concatenate([codes[starts[t] : starts[t] + lengths[t]] for t in used])
             masks = _masks(held, lengths[used], signs, words)
             good, found, opened = _lcs_beside(masks, row_of * signs, padded, y - low, lengths[x], lengths[y], least)

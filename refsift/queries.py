@@ -169,7 +169,8 @@ def fuzzy_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def suspects_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.fuzzy(dedup.cut(_titles(spark, sf_dir)))[1]
+    told = _titles(spark, sf_dir).select("_seq", "id", "title", "authors", "year", "journal", "doi", "citation_count", "is_duplicate", "canonical_id")
+    return dedup.fuzzy(dedup.cut(told))[1]
 
 
 _TIERS = "(VALUES ('example.com', 'T1'), ('blog.thering.example.com', 'T4'), ('example.net', 'T2'), ('net', 'T3'), ('thered.example.org', 'T2')) AS t(domain, tier)"
